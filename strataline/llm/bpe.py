@@ -248,15 +248,15 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 class _Memo:
     """Decoded words by their ids: decoding is word by word, and words repeat."""
 
-    def __init__(self, coder: Transducer):
-        self.coder, self.seen = coder, {}
+    def __init__(self, coder: Transducer, joined: bool):
+        self.coder, self.joined, self.seen = coder, joined, {}
 
     def text(self, ids: bytes) -> str:
         got = self.seen.get(ids)
         if got is None:
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
-            got = self.seen[ids] = "".join(self.coder.decode(np.frombuffer(ids, "<u4"), joined=True))
+            got = self.seen[ids] = "".join(self.coder.decode(np.frombuffer(ids, "<u4"), self.joined))
         return got
 
 
@@ -268,7 +268,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         coder = transducer(path)
-        memo = _Memo(coder)
+        memo = _Memo(coder, joined=True)
         for b in batches:
             n, ids_hash, text_hash = [], [], []
             for text in b.column(1).to_pylist():
@@ -295,12 +295,13 @@ def encoded(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "de
 
     def run(batches):
         coder = transducer(path)
+        memo = _Memo(coder, joined=False)
         for b in batches:
             rows, texts = [], []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                got = np.frombuffer(b"".join(coder.encode(text)), "<u4").astype(np.int32)
-                rows.append(got)
-                texts.append("".join(coder.decode(got)))
+                words = coder.encode(text)
+                rows.append(np.frombuffer(b"".join(words), "<u4").astype(np.int32))
+                texts.append("".join([memo.text(w) for w in words]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*b.schema.names, ids, decoded])
 
     return keep.withColumn("text", F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))
