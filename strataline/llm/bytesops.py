@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer single text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 64
 
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -43,6 +43,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def pieces(batches, rows: int = 1024):
+    """The same rows in batches of at most so many: Python objects are made of a few rows at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Ranges of rows (first, after the last) whose texts have `limit` bytes at most, or are one text."""
     n, lo = len(offsets) - 1, 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Bytes of text that one hash bucket of documents is meant to hold.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

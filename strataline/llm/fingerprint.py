@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytesops import byte_values, column_bytes, prefix, slices, span_hash
+from .bytesops import byte_values, column_bytes, pieces, prefix, slices, span_hash
 from .common import batch, bucket_count, text_bytes
 
 #: Letters that a fingerprint's first half has at most, its smallest block size, the rolling hash's bytes.
@@ -35,7 +35,7 @@ _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 def rolling(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The rolling hash at each byte; it starts anew with each row."""
     n = len(data)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    place = np.arange(n, dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), np.diff(offsets))
     value = data.astype(np.uint32)
     total, weighted, shifted = value.copy(), value * np.uint32(ROLLING), value.copy()
     for j in range(1, min(ROLLING, n)):
@@ -121,7 +121,7 @@ def fingerprinted(df: DataFrame, column: str = "fingerprint") -> DataFrame:
     keep = df.drop(column).withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = fingerprints(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, column])
 
@@ -183,7 +183,7 @@ def against_next(df: DataFrame) -> DataFrame:
     def squeeze(own: bool):
         def run(batches):
             packer = zstandard.ZstdCompressor(level=1)
-            for b in batches:
+            for b in pieces(batches):
                 z = [packer.compress((t or "").encode()) for t in b.column(1).to_pylist()]
                 to = pa.array(bucket(_ids(b.column(0)))) if own else b.column(2)
                 yield batch(_MOVED, to, b.column(0), np.full(len(z), own), z)
@@ -200,16 +200,22 @@ def against_next(df: DataFrame) -> DataFrame:
         rows = [(least if i is None else i, own, unpacker.decompress(z).decode()) for i, own, z in zip(group["doc_id"].to_pylist(), group["own"].to_pylist(), group["z"].to_pylist(), strict=True)]
         own = sorted((r for r in rows if r[1]), key=lambda r: (-r[0], r[2]))
         after = sorted((r for r in rows if not r[1]), key=lambda r: (-r[0], r[2]))
+        del rows, group
         texts = [r[2] for r in own] + [(after or own)[0][2]]
-        edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:], strict=False)]
-        plain, changed = fingerprints(pa.array(texts, pa.large_string())), fingerprints(pa.array(edited, pa.large_string()))
+        plain = fingerprints(pa.array(texts, pa.large_string()))
+        changed, digests = [], []
+        for at in range(0, len(own), 256):  # edited texts live a few at a time
+            some = texts[at : at + 257]
+            edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(some[:256], some[1:], strict=False)]
+            changed += fingerprints(pa.array(edited, pa.large_string()))
+            digests += [hashlib.sha256(t.encode()).hexdigest() for t in edited]
         return pa.Table.from_batches(
             [
                 batch(
                     _RESULT,
                     [None if r[0] == least else r[0] for r in own],
                     [len(t) for t in texts[:-1]],
-                    [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+                    digests,
                     plain[:-1],
                     changed,
                     [likeness(a, b) for a, b in zip(plain, changed, strict=False)],
