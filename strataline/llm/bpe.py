@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .bytesops import pieces
 from .common import batch
 
 #: Words whose tokens are remembered, per worker; the memory is emptied when full.
@@ -269,7 +270,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         coder = transducer(path)
         memo = _Memo(coder, joined=True)
-        for b in batches:
+        for b in pieces(batches):
             n, ids_hash, text_hash = [], [], []
             for text in b.column(1).to_pylist():
                 words = coder.encode(text)
@@ -296,7 +297,7 @@ def encoded(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "de
     def run(batches):
         coder = transducer(path)
         memo = _Memo(coder, joined=False)
-        for b in batches:
+        for b in pieces(batches):
             rows, texts = [], []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 words = coder.encode(text)

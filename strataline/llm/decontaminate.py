@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import pieces
+
 WINDOW = 10
 #: Bytes of items that one pass holds in an automaton.
 PASS_BYTES = 16 << 20
@@ -105,7 +107,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
         def run(batches, sent=sent):
             found = automaton(sent.value, window)
-            for b in batches:
+            for b in pieces(batches):
                 got = []
                 for text in b.column(b.schema.get_field_index("text")).to_pylist():
                     n, runs, keys = scan(found, text)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import pieces
+
 # Element names of HTML by what they do.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript noembed noframes iframe xmp template".split())
@@ -301,7 +303,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row; other columns are left out."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             text = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

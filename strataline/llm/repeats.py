@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import column_bytes, mix, slices, span_hash
+from .bytesops import column_bytes, mix, pieces, slices, span_hash
 
 #: Windows that a task holds before it sends them.
 FLUSH = 2_000_000
@@ -146,7 +146,7 @@ def later_windows(docs: DataFrame, symbols: Symbols, width: int, buckets: int, c
             rows = [(b, n, d) for b, n, d in dealt((firsts[0] % np.uint64(buckets)).astype(np.int32), *firsts)]
             return moved(rows + [(-1 - b, n, d) for b, n, d in dealt(doc_buckets(later[0], buckets), *later)])
 
-        for b in batches:
+        for b in pieces(batches, 4096):
             doc = ids(b.column(0))
             data, off = column_bytes(b.column(1))
             for lo, hi in slices(off):
@@ -183,7 +183,7 @@ def placed(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in pieces(batches):
             doc = ids(b.column(key))
             null = b.column(text).is_null()
             z = pa.array([None if m else packer.compress(t.encode()) for t, m in zip(b.column(text).to_pylist(), null.to_pylist(), strict=True)], pa.binary())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import mix
+from .bytesops import mix, pieces
 from .common import cut
 from .components import components
 from .repeats import NO_ID, ids
@@ -109,7 +109,7 @@ def fingerprinted(docs: DataFrame, size: int, lanes: int = 1, distinct: bool = F
     """doc_id (bigint, the least number for null), fp (big-endian bytes) and ones of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             fp = fingerprints(b.column(1).to_pylist(), size, lanes, distinct)
             raw = fp.astype(">u8").tobytes()
             n = 8 * lanes

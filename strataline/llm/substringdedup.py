@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats
-from .bytesops import SPACED, column_bytes, mix, prefix, slices, sliding_min, span_hash, word_hashes, word_spans
+from .bytesops import SPACED, column_bytes, mix, pieces, prefix, slices, sliding_min, span_hash, word_hashes, word_spans
 from .common import bucket_count, text_bytes
 
 WIDTH, SHINGLE = 20, 12
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, cells: int) -> np.ndarray:
             return _bits(rows)
 
         held, size = [], 0
-        for b in batches:
+        for b in pieces(batches, 4096):
             data, off = column_bytes(b.column(0))
             for lo, hi in slices(off):
                 shingle, at = anchors(*word_symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))

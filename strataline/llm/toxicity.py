@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import mix
+from .bytesops import pieces as small
 
 #: Bounds of the training sample: documents of each class, bytes of each class's text.
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         own = model.value
-        for b in batches:
+        for b in small(batches):
             score = np.array([own.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
