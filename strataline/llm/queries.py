@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fingerprint, htmltext, linededup, simhash, substringdedup, toxicity
+from . import bpe, bytededup, chat, decontaminate, fingerprint, htmltext, linededup, simhash, substringdedup, toxicity
 from .common import table
 
 #: The tokenizer file that op5 encodes with; a name in the public_tokenizers package.
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_substring_dedup": op4_substring_dedup,
