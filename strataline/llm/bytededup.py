@@ -45,7 +45,7 @@ from .suffixarray import suffix_array
 
 WIDTH, ANCHOR = 100, 40
 #: Segments that a task holds before it sends them, and different ones of an anchor from which it is hot.
-FLUSH, HOT = 1_000_000, 64
+FLUSH, HOT = 250_000, 64
 #: Letters of one text to sort, about.
 TEXT = 24_000
 
