@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .bytesops import column_bytes, mix, pieces, slices, span_hash
 
 #: Windows that a task holds before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 NO_ID = np.iinfo(np.int64).min
 
 _MOVED = "bucket int, n int, data binary"
