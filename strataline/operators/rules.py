@@ -65,25 +65,25 @@ def multi_scan(docs: DataFrame, patterns: list[tuple], key: str = "doc_id", text
     patterns: kind, pattern, message and, if there is one, severity.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    tries = []
-    for p in patterns:
-        kind, pattern, message, severity = (*p, None)[:4]
+
+    def matches(kind: str, pattern: str, message: str, severity: str | None = None) -> Column:
         # What lies before the n-th match is what n splits leave, and the matches between.
         found = F.regexp_extract_all(body, F.lit(f"(?i)({pattern})"), F.lit(1))
         between = F.split(body, f"(?i)(?:{pattern})", -1)
-        tries.append(
-            F.transform(
-                F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")),
-                lambda n, found=found, between=between, kind=kind, message=message, severity=severity: F.struct(
-                    F.lit(kind).alias("category"),
-                    F.lit(message).alias("message"),
-                    F.lit(severity).cast("string").alias("severity"),
-                    (_newlines(F.concat(F.array_join(F.slice(between, 1, n), ""), F.array_join(F.slice(found, 1, n - 1), ""))) + 1).alias("line"),
-                    F.substring(F.element_at(found, n), 1, limit).alias("matched"),
-                ),
+
+        def row(n: Column) -> Column:
+            before = F.concat(F.array_join(F.slice(between, 1, n), ""), F.array_join(F.slice(found, 1, n - 1), ""))
+            return F.struct(
+                F.lit(kind).alias("category"),
+                F.lit(message).alias("message"),
+                F.lit(severity).cast("string").alias("severity"),
+                (_newlines(before) + 1).alias("line"),
+                F.substring(F.element_at(found, n), 1, limit).alias("matched"),
             )
-        )
-    return docs.select(key, F.explode(F.concat(*tries)).alias("h")).select(key, "h.*")
+
+        return F.transform(F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")), row)
+
+    return docs.select(key, F.explode(F.concat(*[matches(*p) for p in patterns])).alias("h")).select(key, "h.*")
 
 
 def _newlines(text: Column) -> Column:

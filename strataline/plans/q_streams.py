@@ -1 +1,94 @@
+"""Streams over tables of files, run until they have caught up."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams
+from .registry import query
+
+
+def _events(t):
+    # The table may be one file: streams read folders.
+    path = f"{t.folder}/events.parquet"
+    schema = t.events.schema
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(t.spark, path) else f"{t.folder}/events*.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be an instant
+
+
+def _plain(*columns: str):
+    """Times as they were in the table."""
+    return [F.col(c).cast("timestamp_ntz").alias(c) for c in columns]
+
+
+def _is_folder(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("stream_tumbling", "ST9", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling(t):
+    out = streams.drained(streams.tumbling(_events(t), "1 hour", ["event_type"]), "complete")
+    return streams.latest_updates(out, ["start", "end", "event_type"]).select(*_plain("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "stream_sliding",
+    "ST9",
+    "WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start FROM events, range(2) r(k)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2",
+)
+def sliding(t):
+    out = streams.drained(streams.sliding(_events(t), "1 hour", "30 minutes", ["event_type"]), "complete")
+    return streams.latest_updates(out, ["start", "end", "event_type"]).select(*_plain("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "stream_session",
+    "ST9",
+    """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
+)
+def session(t):
+    out = streams.drained(streams.sessions(_events(t), "30 minutes", ["user_id"]), "complete")
+    return streams.latest_updates(out, ["user_id", "start", "end"]).select("user_id", *_plain("start", "end"), "n")
+
+
+@query("stream_dedupe", "ST9", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def dedupe(t):
+    twice = _events(t)
+    return streams.drained(streams.deduped(twice.unionAll(_events(t)), ["event_id"], late="60 days").select("event_id")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("stream_running_severity", "ST3 ST1", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def running(t):
+    out = streams.drained(streams.running_counts(_events(t), ["event_type"]), "update")
+    return streams.latest_updates(out, ["event_type"])
+
+
+@query(
+    "stream_incremental",
+    "ST4 D5",
+    "SELECT 'f' || event_id AS file_path, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'kept' END AS v FROM events WHERE event_type <> 'error'",
+)
+def incremental(t):
+    from ..sources import stores
+
+    base = streams.scratch(t.spark)
+    changes = _events(t).select(F.when(F.col("event_type") == "error", "deleted").otherwise("added").alias("kind"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"))
+    schema = "file_path string, v string"
+    q = streams.apply_changes(changes, lambda: stores.read(t.spark, f"{base}/index", schema), lambda df: stores.replace(df, f"{base}/index"), lambda b: b.where("kind <> 'deleted'").select(F.col("path").alias("file_path"), F.lit("kept").alias("v")))
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{base}/index")
+
+
+@query("stream_last_messages", "ST5 W7", "SELECT user_id::VARCHAR AS session, list_sort(list(event_id ORDER BY event_id DESC)[1:5])::VARCHAR AS turns FROM events GROUP BY user_id")
+def last_messages(t):
+    m = _events(t).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("turn"), F.col("event_type").alias("content"))
+    out = streams.latest_updates(streams.drained(streams.last_messages(m, 5), "update"), ["session"])
+    return out.select("session", F.concat(F.lit("["), F.array_join(F.transform("turns", lambda x: x.cast("string")), ", "), F.lit("]")).alias("turns"))
+
+
+@query("stream_batches", "ST7 V8", "SELECT doc_id, length(coalesce(text, '')) AS n FROM documents")
+def batches(t):
+    d = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return streams.batches_of(d, 32, lambda texts: [len(x) for x in texts], "text", "n", "long").select("doc_id", "n")
