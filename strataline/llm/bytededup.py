@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import byte_values, column_bytes, merge_intervals, mix, pieces, prefix, slices, sliding_min, span_hash
-from .common import bucket_count, cut, text_bytes
+from .common import bucket_count, text_bytes
 from .repeats import doc_buckets, ids, packed, placed, split_later, text_hashes, texts_and_ids, unpacked
 from .suffixarray import suffix_array
 
@@ -221,12 +221,17 @@ def settled_segments(sent: DataFrame, buckets: int) -> DataFrame:
 
 
 def wanted_bytes(texts: DataFrame, settled: DataFrame, buckets: int) -> DataFrame:
-    """Step 2's rows: from `placed` documents the wanted segments' bytes, to buckets of anchors, and hot anchors' strings."""
+    """Step 2's rows: from `placed` documents the wanted segments' bytes, to buckets of anchors, and hot anchors' strings.
+
+    Later segments and strings of step 1 pass through, so that step 1 is read once.
+    """
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         doc, tie, at, count, anchor, hot = _gather(theirs, WANTED, (np.int64, np.uint32, np.int64, np.int64, np.uint64, np.uint8))
+        # What else came this way goes on: later segments to the documents, strings to their buckets.
+        rows = [(-1 - b if kind == LATER else b, kind, n, d.as_py()) for b, kind, n, d in zip(theirs["_bucket"].to_pylist(), theirs["kind"].to_pylist(), theirs["n"].to_pylist(), theirs["data"], strict=True) if kind != WANTED]
         if not len(doc) or mine.num_rows == 0:
-            return _ARROW.empty_table()
+            return pa.Table.from_batches([_rows(rows)])
         unpacker = zstandard.ZstdDecompressor()
         raw = [b"" if z.as_py() is None else unpacker.decompress(z.as_py()) for z in mine["text"]]
         off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
@@ -235,7 +240,6 @@ def wanted_bytes(texts: DataFrame, settled: DataFrame, buckets: int) -> DataFram
         row = np.array([where[int(i), int(t)] for i, t in zip(doc, tie, strict=True)])
         place = _anchor_places(data, off, row, at, count, anchor)
         begin, length = off[row] + at, count + WIDTH - 1
-        rows = []
         h = hot.astype(bool)
         if h.any():
             rows += _as_strings(*_cut(data, begin[h], length[h]), doc[h], tie[h], at[h], buckets)
@@ -249,7 +253,7 @@ def wanted_bytes(texts: DataFrame, settled: DataFrame, buckets: int) -> DataFram
                 rows.append((int(b[x]), BYTES, y - x, packed(anchor[s], doc[s], tie[s], at[s], count[s], place[s]) + _cut(data, begin[s], length[s])[0].tobytes()))
         return pa.Table.from_batches([_rows(rows)])
 
-    theirs = settled.where(F.col("kind") == WANTED).select((-1 - F.col("bucket")).alias("_bucket"), "kind", "n", "data")
+    theirs = settled.select(F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")).alias("_bucket"), "kind", "n", "data")
     return texts.groupBy("_bucket").cogroup(theirs.groupBy("_bucket")).applyInArrow(run, _MOVED)
 
 
@@ -371,11 +375,9 @@ def covered(docs: DataFrame, buckets: int, result, schema: T.StructType, hot_fro
     from pyspark.sql.pandas.types import to_arrow_schema
 
     plain = texts_and_ids(docs)
-    # Read four times below, and small beside what it is made from.
-    settled = cut(docs.sparkSession, settled_segments(sent_segments(plain, buckets, hot_from), buckets))
+    settled = settled_segments(sent_segments(plain, buckets, hot_from), buckets)
     moved = placed(docs, buckets)
-    more = wanted_bytes(moved, settled, buckets).unionAll(settled.where(F.col("kind") == STRING))
-    later = settled.where(F.col("kind") == LATER).unionAll(sorted_segments(more, buckets).where(F.col("kind") == LATER))
+    later = sorted_segments(wanted_bytes(moved, settled, buckets), buckets)
     empty = to_arrow_schema(schema).empty_table()
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
