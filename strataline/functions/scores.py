@@ -291,7 +291,7 @@ def age_phrase(days) -> Column:
 
 
 def clamp01(x) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x)))
+    return F.when(_c(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x))))
 
 
 def backoff_seconds(attempt, base: float = 1.0, jitter=None) -> Column:

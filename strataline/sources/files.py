@@ -139,7 +139,7 @@ def parsed_decisions(answers: DataFrame, text: str = "text") -> DataFrame:
     many = F.from_json(F.when(F.trim(body).startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))), f"array<{kind}>")
     rows = answers.where(body.isNotNull()).select("*", F.explode(many).alias("_d")).where("_d is not null").select(*answers.columns, "_d.*")
     rows = rows.withColumn("source_ref", F.lit("")) if "source_ref" not in rows.columns else rows
-    return with_decision_defaults(rows).withColumn("confidence", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")), F.lit(0.5))).where("title <> ''")
+    return with_decision_defaults(rows).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))).where("title <> ''")
 
 
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
