@@ -19,6 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytesops import pieces
 
@@ -119,16 +120,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, _HITS_ARROW, strict=True))], [*b.schema.names, *new])
 
-        from pyspark.sql import types as T
-
         schema = T.StructType([*keep.schema.fields, *T._parse_datatype_string(_HITS).fields])
         one = keep.mapInArrow(run, schema)
         out = one if out is None else out.unionAll(one)
     if len(passes) == 1:
         return out
-    merged = out.groupBy(*keep.columns).agg(F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in new[1:]), F.count("*").alias("_n"))
+    united = (F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in new[1:])
+    merged = out.groupBy(*keep.columns).agg(F.first("n_words").alias("n_words"), *united, F.count("*").alias("_n"))
     # Equal rows were counted together: each comes back as often as it was there.
-    return merged.withColumn("items", F.array_distinct("items")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n") / len(passes)))).drop("_n")
+    return merged.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("_n") / len(passes)).cast("long")))).drop("_n")
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

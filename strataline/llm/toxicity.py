@@ -12,7 +12,7 @@ Labels are learnt only from rows whose crc32 of the doc_id as text isn't 0 modul
 from a sample bounded by TOXIC, ORDINARY and SAMPLE_BYTES: the rows with the least
 hashes of their doc_id.  Scoring reads whole texts and nothing but texts.
 
-A null or empty text is scored as one empty window.  Without labels of both classes
+A text without words, or null, scores 0.  Without labels of both classes
 every score is the share of toxic ones, or 0.  Of labels that repeat a doc_id the
 largest counts; a null label doesn't.
 """
@@ -149,6 +149,8 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return float(self.prior)
+        if not text or not text.strip():
+            return 0.0
         z = float(np.dot(np.array(self.features(text)) / self.scale, self.weights))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
