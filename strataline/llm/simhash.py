@@ -259,7 +259,7 @@ def digests(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
 
 
 #: For a similarity: bits of the fingerprint, and standard deviations that the radius is wider than expected.
-LANES, MARGIN = 4, 0.8
+LANES, MARGIN = 4, 1.2
 
 
 def radius_for(similarity: float, bits: int) -> int:
