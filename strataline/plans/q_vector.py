@@ -72,8 +72,8 @@ SELECT vec_id, kind, round((1 - least(round(1 - sim, 6), 2.0) / 2) * 0.6 + least
 )
 def rerank(t):
     kind = F.element_at(F.array(F.lit("function"), F.lit("class"), F.lit("block"), F.lit("module")), (F.col("doc_id") % 4 + 1).cast("int"))
-    top = vector.nearest(t.embeddings, _first(t), 10, "vec_id", F.col("vec_id") != 0)
-    rows = top.join(t.documents, F.col("vec_id") == F.col("doc_id")).withColumn("kind", kind)
+    there = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id"))
+    rows = vector.nearest(there, _first(t), 10, "vec_id", F.col("vec_id") != 0).withColumn("kind", kind)
     words = F.split(F.lit("the and of license"), " ")
     return rows.select("vec_id", "kind", F.round(scores.rerank_score(F.round(1 - F.col("sim"), 6), "text", words, "kind"), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(5)
 

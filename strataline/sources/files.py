@@ -10,6 +10,34 @@ from ..functions import text as tx
 from ..operators.relational import last_wins
 
 
+_FILE = "path string, size long, modified timestamp, content binary"
+
+
+def left_out(spark: SparkSession, root: str, wanted) -> DataFrame:
+    """The files that Spark's readers don't list: empty ones, and names that begin with _ or a dot, such as package markers.
+
+    They are few and small beside the rest of a tree, and are read through the same
+    file system on the driver. wanted(path) says which of them count.
+    """
+    import datetime
+
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    rows = []
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath().toUri().getPath()[len(base) :]
+        if (f.getLen() == 0 or any(p[0] in "_." for p in path.split("/"))) and wanted(path):
+            stream = fs.open(f.getPath())
+            content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+            rows.append((path, f.getLen(), datetime.datetime.fromtimestamp(f.getModificationTime() / 1000), bytearray(content)))
+    return spark.createDataFrame(rows, _FILE)
+
+
 def source_files(spark: SparkSession, root: str, extensions: list[str] | None = None, folders: list[str] | None = None) -> DataFrame:
     """path (below root), size, modified, content of supported files; skipped and dotted folders are left out.
 
@@ -22,6 +50,7 @@ def source_files(spark: SparkSession, root: str, extensions: list[str] | None =
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     path = F.regexp_extract("path", "^.*?" + _quoted(root.split("://")[-1]) + r"/+(.*)$", 1)
     rows = rows.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    rows = rows.unionByName(left_out(spark, root, lambda p: any(p.lower().endswith(e) for e in wanted)))
     rows = rows.where(~skipped("path"))
     if folders:
         test = F.lit(False)
@@ -81,7 +110,7 @@ def contexts(spark: SparkSession, root: str) -> DataFrame:
     """directory, description and files of each `.context.yaml` below root; broken ones have an error."""
     from ..functions.parsing import flat
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".context.yaml").load(root)
+    raw = left_out(spark, root, lambda p: p.rsplit("/", 1)[-1] == ".context.yaml")
     raw = raw.select("path", F.decode("content", "UTF-8").alias("text"))
     return flat(raw, context_rows, CONTEXT, "path", "text")
 
