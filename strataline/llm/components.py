@@ -39,4 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

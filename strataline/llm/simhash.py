@@ -37,6 +37,8 @@ from .repeats import NO_ID, ids
 #: Classes of a block at most, and blocks that there are at least if classes suffice.
 BLOCK, LEAST_BLOCKS = 65_536, 16
 LEAST_BLOCK = 512
+#: Partitions that pairs of blocks are dealt to, at most.
+MOST_TASKS = 8192
 #: Fingerprints on each side of a tile.
 TILE = 512
 SEED = 42
@@ -223,7 +225,8 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
 
     packed = classes.select(block, "fp", "rep").groupBy("block").applyInArrow(gather, "block int, fps binary, reps binary")
     met = spark.createDataFrame([(i, j, b) for i, j in pairs for b in ({i, j} if i != j else {i})], "one int, other int, block int")
-    tasks = met.join(packed, "block")
+    # A pair's data are small and its work is not: as many partitions as pairs, which adaptive execution leaves alone.
+    tasks = met.join(packed, "block").repartition(min(len(pairs), MOST_TASKS), "one", "other")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         sides = {r["block"]: (np.frombuffer(r["fps"], ">u8").reshape(-1, lanes), np.frombuffer(r["reps"], np.int64)) for r in group.select(["block", "fps", "reps"]).to_pylist()}
