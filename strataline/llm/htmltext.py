@@ -55,7 +55,7 @@ _P_BOUNDS = frozenset("td th table button article section div li blockquote main
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of a class or id that name a part which isn't the article.
 _NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
+    "ad ads adbox adsense advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
     "disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup "
     "promo promoted promotion related recommended rail replies respond share sharing shareaddthis sidebar sidebars signup skip social sponsor sponsored "
     "sponsors subscribe subscription toolbar widget widgets".split()
@@ -72,27 +72,54 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "skip", "tag", "tags", "total")
 
-    def __init__(self, tag: str, skip: bool = False):
+    def __init__(self, tag: str, skip: int = 0):
         self.tag, self.skip = tag, skip
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _not_article(tag: str, attributes: str, inside: bool) -> bool:
+#: Why a node holds no article text: what it is, or only what it is called.
+KNOWN, NAMED = 1, 2
+
+
+def _not_article(tag: str, attributes: str, inside: bool) -> int:
     if tag in _NOT_TEXT or tag == "header" and not inside:
-        return True
+        return KNOWN
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.lower() in _ROLES:
-            return True
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
+            return KNOWN
         if key in ("class", "id") and any(w.lower() in _NAMES for w in _NAME.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+            found = NAMED
+    return found
+
+
+def _restore(body: Node) -> None:
+    """Parts that are left out by their names alone come back if they hold an article, or most of the text.
+
+    So a wrapper called `has-sidebar` isn't taken for a sidebar.
+    """
+    order, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.skip != KNOWN]
+    if all(x.skip != NAMED for x in order):
+        return
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node) and c.skip != KNOWN]
+        size[id(node)] = sum(size[id(c)] for c in inner) + sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if any(c.tag in ("article", "main") or id(c) in holds for c in inner):
+            holds.add(id(node))
+    for node in order:
+        if node.skip == NAMED and (id(node) in holds or 2 * size[id(node)] > size[id(body)]):
+            node.skip = 0
 
 
 def parse(source: str) -> Node:
@@ -168,7 +195,7 @@ def parse(source: str) -> Node:
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
-            node.skip = True
+            node.skip = KNOWN
             continue
         stack.append(node)
         depth += tag in ("article", "main")
@@ -295,6 +322,7 @@ def main_text(source: str | None) -> str:
     body = _find(root, "body") or root
     if body is root:
         root.children = [c for c in root.children if isinstance(c, str) or c.tag != "head"]
+    _restore(body)
     found = select(body)
     return "\n\n".join(blocks(found))
 

@@ -120,6 +120,13 @@ def test_pages():
     assert htmltext.main_text(dense).count("\n\n") == 1 and "l1" not in htmltext.main_text(dense)
 
 
+def test_names_of_wrappers():
+    page = "<body><div class='layout has-sidebar'><article><p>All of it.</p></article><div class='sidebar'>Side</div></div><div id='comments'>Said</div></body>"
+    assert htmltext.main_text(page) == "All of it."
+    most = "<body><div class='banner'><p>" + "nearly all the text of the page " * 5 + "</p></div><div>x</div></body>"
+    assert htmltext.main_text(most).startswith("nearly all")
+
+
 @pytest.mark.parametrize("broken", ["<p", "<<<>>>", "<a href='x>text", "</p></div>", "<p>" * 3000 + "x", "<div>" * 3000 + "deep", "a < b > c & d", "<![CDATA[x", "<script>never closed", "\x00<p>nul"])
 def test_broken_pages(broken):
     assert isinstance(htmltext.main_text(broken), str)
