@@ -64,7 +64,7 @@ def cross_refs(t):
     return exports.cross_references(e)
 
 
-@query("doc_export_order", "T11 S28", f"WITH {_E} SELECT id, file, row_number() OVER (PARTITION BY file ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, name, id) AS place FROM e")
+@query("doc_export_order", "T11 S28", f"WITH {_E} SELECT id, file, (row_number() OVER (PARTITION BY file ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, name, id))::INT AS place FROM e")
 def export_order(t):
     from pyspark.sql import Window
 

@@ -14,7 +14,7 @@ from .registry import query
 _OWN = "own AS (SELECT file, author, count(DISTINCT sha) AS commits, max(date) AS last_date FROM blame GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY commits DESC, author) AS rank FROM own)"
 
 
-@query("git_expertise_map", "A2 S5 S23 W1", f"WITH {_OWN} SELECT file, author, commits, last_date, rank FROM rk", views="blame")
+@query("git_expertise_map", "A2 S5 S23 W1", f"WITH {_OWN} SELECT file, author, commits, last_date, rank::INT AS rank FROM rk", views="blame")
 def expertise_map(t):
     return git.expertise_map(t.blame)
 
@@ -96,7 +96,7 @@ def summary(t):
 @query(
     "git_blame_ranges",
     "W5",
-    """SELECT l_orderkey AS file, l_linenumber AS line, l_partkey AS part, sum(n) OVER w - n + 1 AS start_line, sum(n) OVER w AS end_line
+    """SELECT l_orderkey AS file, l_linenumber AS line, l_partkey AS part, (sum(n) OVER w - n + 1)::BIGINT AS start_line, (sum(n) OVER w)::BIGINT AS end_line
 FROM (SELECT *, l_quantity::BIGINT AS n FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)""",
 )
 def ranges(t):
@@ -248,7 +248,7 @@ def trivial(t):
     return t.commits.select("sha", tx.is_trivial_commit(text).alias("trivial")).groupBy("trivial").agg(F.count("*").alias("processed"), F.min("sha").alias("first"))
 
 
-@query("git_top_authors", "T12 A13", "SELECT file, author, n, rank FROM (SELECT file, author, count(*) AS n, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, author) AS rank FROM commits GROUP BY 1, 2) WHERE rank <= 5", views="commits")
+@query("git_top_authors", "T12 A13", "SELECT file, author, n, rank::INT AS rank FROM (SELECT file, author, count(*) AS n, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, author) AS rank FROM commits GROUP BY 1, 2) WHERE rank <= 5", views="commits")
 def top_authors(t):
     return top_per(t.commits.groupBy("file", "author").agg(F.count("*").alias("n")), ["file"], [F.desc("n"), F.asc("author")], 5)
 

@@ -181,7 +181,7 @@ def merge(t):
     """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS src, 1000 + n_nationkey AS dst FROM nation UNION SELECT DISTINCT 1000 + c_nationkey, 100000 + c_custkey FROM customer UNION SELECT DISTINCT 100000 + o_custkey, 10000000 + o_orderkey FROM orders),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l0 AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)),
 l AS (SELECT node, 0 AS level FROM l0 UNION ALL SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node)
-SELECT node, max(level)::INT AS level FROM l GROUP BY node""",
+SELECT node::BIGINT AS node, max(level)::INT AS level FROM l GROUP BY node""",
 )
 def toposort(t):
     e = t.nation.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 1000).cast("long").alias("dst"))

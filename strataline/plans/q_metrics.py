@@ -14,7 +14,7 @@ from .registry import query
     "health_linecount",
     "F46 F70 S4",
     r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS lines FROM documents), h AS (SELECT doc_id, lines, CASE WHEN lines = 0 THEN 0.80 WHEN lines < 50 THEN 0.95 WHEN lines <= 200 THEN 1.00 WHEN lines <= 500 THEN 0.85 WHEN lines <= 1000 THEN 0.65 ELSE 0.40 END::DOUBLE AS health FROM n)
-SELECT doc_id, lines, health, round_even(health * 10, 0)::INT AS bar, CASE WHEN health >= 0.8 THEN 'good' WHEN health >= 0.5 THEN 'fair' ELSE 'poor' END AS band FROM h""",
+SELECT doc_id, lines::INT AS lines, health, round_even(health * 10, 0)::INT AS bar, CASE WHEN health >= 0.8 THEN 'good' WHEN health >= 0.5 THEN 'fair' ELSE 'poor' END AS band FROM h""",
 )
 def linecount(t):
     text = F.coalesce("text", F.lit(""))
@@ -23,7 +23,7 @@ def linecount(t):
     return h.select("doc_id", "lines", "health", scores.health_bar("health").alias("bar"), scores.health_band("health").alias("band"))
 
 
-@query("health_newlines", "S4 S3", "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS newlines FROM documents")
+@query("health_newlines", "S4 S3", "SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::INT AS newlines FROM documents")
 def newlines(t):
     from ..functions import text as tx
 

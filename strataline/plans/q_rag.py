@@ -106,7 +106,7 @@ def exclude(t):
     return seen.withColumn("via", F.lit("graph")).unionByName(more.select("vec_id", F.lit("semantic").alias("via")))
 
 
-@query("rag_budget_prefix", "T13", "SELECT source, doc_id, total FROM (SELECT source, doc_id, sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) WHERE total <= 3000")
+@query("rag_budget_prefix", "T13", "SELECT source, doc_id, total::BIGINT AS total FROM (SELECT source, doc_id, sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) WHERE total <= 3000")
 def budget(t):
     return within_budget(t.documents, ["source"], [F.col("doc_id")], F.length(F.coalesce("text", F.lit(""))), 3000).select("source", "doc_id", "total")
 

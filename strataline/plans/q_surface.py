@@ -70,7 +70,7 @@ def review(t):
     "onboarding_path",
     "X3 T8 T13",
     """WITH f AS (SELECT source, max(length(text)) AS score, arg_max(left(text, 400), struct_pack(n := length(text), d := -doc_id)) AS snippet FROM documents GROUP BY source), t AS (SELECT * FROM f ORDER BY score DESC, source LIMIT 20)
-SELECT source, score, total FROM (SELECT *, sum(length(snippet)) OVER (ORDER BY score DESC, source ROWS UNBOUNDED PRECEDING) AS total FROM t) WHERE total <= 3000""",
+SELECT source, score::INT AS score, total::BIGINT AS total FROM (SELECT *, sum(length(snippet)) OVER (ORDER BY score DESC, source ROWS UNBOUNDED PRECEDING) AS total FROM t) WHERE total <= 3000""",
 )
 def onboarding(t):
     n = F.length("text")

@@ -38,7 +38,7 @@ s AS (SELECT q.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.e, q
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)"""
 
 
-@query("vec_batch_topk", "V1 V6 P25 W1", f"{_BATCH} SELECT query_id, vec_id, sim, rank FROM r WHERE rank <= 5")
+@query("vec_batch_topk", "V1 V6 P25 W1", f"{_BATCH} SELECT query_id, vec_id, sim, rank::INT AS rank FROM r WHERE rank <= 5")
 def batch(t):
     return vector.nearest_many(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), 5)
 
@@ -122,7 +122,7 @@ def clamped(t):
 @query(
     "vec_label_top3",
     "W1 T12 P1 P2",
-    "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings) SELECT label, vec_id, rank FROM r WHERE rank <= 3",
+    "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings) SELECT label, vec_id, rank::INT AS rank FROM r WHERE rank <= 3",
 )
 def label_top(t):
     return top_per(t.embeddings.select("label", "vec_id"), ["label"], [F.desc("vec_id")], 3)
