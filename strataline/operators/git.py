@@ -87,15 +87,15 @@ def with_stats(changes: DataFrame, stats: DataFrame) -> DataFrame:
 def totals(changes: DataFrame) -> DataFrame:
     """files, additions, deletions, staged and unstaged counts, the first six paths, and a sentence."""
     flag = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0))
-    six = F.slice(F.array_sort(F.collect_list("path")), 1, 6)  # one row for each change of one working tree
+    # Six paths at most are gathered.
+    six = changes.select("path").orderBy("path").limit(6).agg(F.array_sort(F.collect_list("path")).alias("first"))
     row = changes.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"),
         F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"),
         flag("staged").alias("staged"),
         flag("unstaged").alias("unstaged"),
-        six.alias("first"),
-    )
+    ).join(F.broadcast(six))  # one row each
     s = lambda c: F.col(c).cast("string")
     more = F.when(F.col("files") > 6, F.concat(F.lit(", and "), (F.col("files") - 6).cast("string"), F.lit(" more"))).otherwise("")
     sentence = F.concat(s("files"), F.lit(" file(s) have uncommitted changes (+"), s("additions"), F.lit("/-"), s("deletions"), F.lit("). "), s("staged"), F.lit(" staged, "), s("unstaged"), F.lit(" unstaged. Affected files: "), F.array_join("first", ", "), more, F.lit("."))
@@ -126,8 +126,11 @@ def suggested_message(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def recommendation(changes: DataFrame, keys: list[str], conflicts: Column | None = None) -> DataFrame:
     """Whether to commit, a title, and the concerns."""
-    seen = F.array_sort(F.collect_list(F.when(tx.is_sensitive_path("path"), F.col("path"))))
-    rows = changes.groupBy(*keys).agg(F.count("*").alias("files"), F.sum(F.col("additions") + F.col("deletions")).alias("changed"), seen.alias("_seen"))
+    # Three sensitive paths of a key at most are gathered.
+    three = top_per(changes.where(tx.is_sensitive_path("path")).select(*keys, "path"), keys, [F.asc("path")], 3)
+    seen = three.groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("_seen"))
+    rows = changes.groupBy(*keys).agg(F.count("*").alias("files"), F.sum(F.col("additions") + F.col("deletions")).alias("changed"))
+    rows = rows.join(seen, keys, "left").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
     rows = rows.withColumn("concerns", scores.commit_concerns(F.lit(False) if conflicts is None else conflicts, F.col("_seen"), "files", "changed"))
     return rows.select(*keys, "files", "changed", (F.size("concerns") == 0).alias("should_commit"), F.when(F.size("concerns") == 0, "Ready to commit").otherwise("Review before committing").alias("title"), "concerns")
 

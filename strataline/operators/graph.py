@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import top_per
+
 #: Rounds between checkpoints: a round's plan holds all rounds since.
 EVERY = 4
 
@@ -28,7 +30,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, start, depth: int, reverse: bool = False, include_start: bool = False) -> DataFrame:
     """node, distance: the least number of steps from the start, at most `depth`."""
-    e = (reversed_edges(edges) if reverse else edges).select("src", "dst").distinct()
+    e = _cut((reversed_edges(edges) if reverse else edges).select("src", "dst").distinct())
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"))
@@ -44,7 +46,7 @@ def distances(edges: DataFrame, start, depth: int, reverse: bool = False, includ
 
 def closure_count(edges: DataFrame, start, depth: int) -> DataFrame:
     """How many different nodes walks of 1 to `depth` edges reach; the start counts if a cycle leads back."""
-    e = edges.select("src", "dst").distinct()
+    e = _cut(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType
     layer = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"))
     reached = None
@@ -59,7 +61,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance
 
     fixed_rounds: exactly so many rounds, without a test for convergence.
     """
-    e = edges.select("src", "dst").distinct()
+    e = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
     if n == 0:
@@ -134,12 +136,12 @@ def stats(nodes: DataFrame, edges: DataFrame, kind: str = "type") -> DataFrame:
 def neighbours(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """node, imports and imported_by: sorted neighbours either way."""
     e = edges.select("src", "dst").distinct()
-    out = e.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("imports"))
-    back = e.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("imported_by"))
-    both = out.join(back, "node", "full_outer")
-    kind = f"array<{e.schema['src'].dataType.simpleString()}>"
-    cut = lambda c: F.coalesce(F.slice(c, 1, limit) if limit else F.col(c), F.array().cast(kind))
-    return both.select("node", cut("imports").alias("imports"), cut("imported_by").alias("imported_by"))
+    # With a limit no more than that is gathered of a node, however many neighbours it has.
+    most = lambda key, other: e if limit is None else top_per(e, [key], [F.asc(other)], limit)
+    out = most("src", "dst").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("imports"))
+    back = most("dst", "src").groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("imported_by"))
+    none = F.array().cast(f"array<{e.schema['src'].dataType.simpleString()}>")
+    return out.join(back, "node", "full_outer").select("node", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
 def collapsed(edges: DataFrame, order: str) -> DataFrame:

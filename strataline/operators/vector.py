@@ -115,7 +115,7 @@ class CellIndex:
 
         def run(batches):
             for b in batches:
-                m = _unit(np.array(b.column(1).to_pylist(), np.float64)) if b.num_rows else np.zeros((0, sent.value.shape[1]))
+                m = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) if b.num_rows else np.zeros((0, sent.value.shape[1]))
                 cell = (m @ sent.value.T).argmax(axis=1) if len(m) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), b.column(1)], ["cell", key, embedding])
 
