@@ -243,7 +243,7 @@ def js_parameters(raw, required: bool = False) -> Column:
     return F.filter(names, lambda n: ~n.isin("", "{", "["))
 
 
-# -- checks of input -------------------------------------------------------
+# -- checks of input; the messages are fixed values ---------------------------
 
 
 def collection_error(name) -> Column:

@@ -271,3 +271,28 @@ def test_resolution_of_runtime_paths(spark):
     assert rows(resolve.nearest_runtime(paths, stats).select("path", "n"), "path", "n") == [("/src/a/b.py", 1), ("c.py", 2), ("lib/b.py", 1)]
     broken = rules.rules_table(spark, [("c", "(", "high", "m"), ("c", "x", "odd", "m")])
     assert rows(broken, "pattern", "severity") == [("x", "medium")]
+
+
+def test_neighbours_of_hot_nodes_are_bounded(spark):
+    e = spark.createDataFrame([(0, k) for k in range(50)] + [(1, 0)], "src long, dst long")
+    n = {r["node"]: r for r in graph.neighbours(e, 3).collect()}
+    assert n[0]["imports"] == [0, 1, 2] and n[0]["imported_by"] == [0, 1] and n[49]["imports"] == []
+
+
+def test_sql_functions(spark):
+    from strataline.functions.register import register
+
+    names = register(spark)
+    assert "cosine_of" in names and "code_imports" in names
+    assert spark.sql("SELECT cosine_of(array(0D), array(1D)) AS c").first()["c"] == 0.0
+    assert spark.sql("SELECT * FROM code_imports('import os', 'a.py')").first()["specifier"] == "os"
+
+
+def test_generated_contexts(spark):
+    from strataline.sources import contexts
+
+    df = spark.createDataFrame([("a.py",), ("pkg/b.py",), ("pkg/sub/test_c.py",)], "path string")
+    got = {r["directory"]: r for r in contexts.generated(df).collect()}
+    assert set(got) == {"", "pkg", "pkg/sub"}
+    assert got["pkg"]["description"] == "Directory containing 1 files and 1 subdirectories."
+    assert got["pkg/sub"]["files"][0]["purpose"] == "File of type test" and got[""]["subdirectories"] == ["pkg"]
