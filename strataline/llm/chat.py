@@ -20,8 +20,6 @@ their own.  A null conv_id is a conversation like any other.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -250,7 +248,3 @@ def repair(turns: list[tuple[str | None, str | None]]) -> tuple[float, str]:
         out += render(step, state, text or "")
         state = step[1]
     return costs[end] + _END[end][0], out + render_end(state)
-
-
-def fingerprint(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import column_bytes, mix, pieces, slices, span_hash
+from .bytesops import column_bytes, mix, pieces, prefix, slices, span_hash
 
 #: Windows that a task holds before it sends them.
 FLUSH = 1_000_000
@@ -93,7 +93,8 @@ def moved(rows) -> pa.RecordBatch:
 
 def gathered(group: pa.Table, count: int) -> list[np.ndarray]:
     parts = [unpacked(d, n, count) for d, n in zip(group["data"].to_pylist(), group["n"].to_pylist(), strict=True)]
-    wide = [np.uint64, np.uint64, np.int64, np.uint32, np.int64] if count == 5 else [np.int64, np.uint32, np.int64]
+    # Windows come with two hashes, later windows without.
+    wide = [np.uint64, np.uint64, np.int64, np.uint32, np.int64][5 - count :]
     return [np.concatenate([p[i].astype(w) for p in parts]) for i, w in enumerate(wide)]
 
 
@@ -116,8 +117,6 @@ def window_keys(symbols: np.ndarray, counts: np.ndarray, width: int):
         return z, z, np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(counts)), counts)
     start = np.flatnonzero(row[:n] == row[width - 1 :])
-    from .bytesops import prefix
-
     k1 = span_hash(prefix(symbols, 0), start, start + width, 0)
     k2 = span_hash(prefix(mix(symbols), 1), start, start + width, 1)
     base = np.cumsum(counts) - counts
@@ -235,9 +234,5 @@ def kept(n: int, runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.cumsum(change[:n]) == 0
 
 
-def _numeric(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def texts_and_ids(docs: DataFrame) -> DataFrame:
-    return _numeric(docs)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -21,7 +21,6 @@ null text has no words.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -280,12 +279,3 @@ def deduped(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     found = grouped(docs, size, radius_for(similarity, 64 * LANES), LANES, distinct=True)
     gone = found.where("doc_id <> component or (doc_id is not null and component is null)").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-
-
-def pairs_within(texts: list[str], size: int, radius: int) -> Iterator[tuple[int, int]]:
-    """All linked pairs of a small list, by brute force."""
-    f = fingerprints(texts, size)[:, 0]
-    for i in range(len(f)):
-        for j in range(i + 1, len(f)):
-            if int(f[i] ^ f[j]).bit_count() <= radius:
-                yield i, j
