@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from .bytesops import byte_values, column_bytes, merge_intervals, mix, pieces, prefix, slices, sliding_min, span_hash
 from .common import bucket_count, text_bytes
-from .repeats import doc_buckets, ids, packed, placed, split_later, text_hashes, texts_and_ids, unpacked
+from .repeats import doc_buckets, ids, packed, placed, split_later, text_hashes, texts_and_ids, unpacked, unplaced
 from .suffixarray import suffix_array
 
 WIDTH, ANCHOR = 100, 40
@@ -232,6 +232,7 @@ def wanted_bytes(texts: DataFrame, settled: DataFrame, buckets: int) -> DataFram
         rows = [(-1 - b if kind == LATER else b, kind, n, d.as_py()) for b, kind, n, d in zip(theirs["_bucket"].to_pylist(), theirs["kind"].to_pylist(), theirs["n"].to_pylist(), theirs["data"], strict=True) if kind != WANTED]
         if not len(doc) or mine.num_rows == 0:
             return pa.Table.from_batches([_rows(rows)])
+        mine = unplaced(mine)
         unpacker = zstandard.ZstdDecompressor()
         raw = [b"" if z.as_py() is None else unpacker.decompress(z.as_py()) for z in mine["text"]]
         off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
@@ -383,6 +384,7 @@ def covered(docs: DataFrame, buckets: int, result, schema: T.StructType, hot_fro
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if mine.num_rows == 0:
             return empty
+        mine = unplaced(mine)
         unpacker = zstandard.ZstdDecompressor()
         texts = [None if z.as_py() is None else unpacker.decompress(z.as_py()) for z in mine["text"]]
         doc, tie, at, length = _gather(theirs, LATER, (np.int64, np.uint32, np.int64, np.int64))
@@ -392,7 +394,7 @@ def covered(docs: DataFrame, buckets: int, result, schema: T.StructType, hot_fro
         runs = {(int(doc[a]), int(tie[a])): merge_intervals(at[a:b], at[a:b] + length[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)}
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         mine_runs = [runs.get((int(i), xxhash.xxh32_intdigest(t or b"")), none) for i, t in zip(ids(mine["doc_id"]), texts, strict=True)]
-        return result(mine.drop_columns(["_bucket", "text"]), texts, mine_runs)
+        return result(mine.drop_columns(["text"]), texts, mine_runs)
 
     theirs = later.select((-1 - F.col("bucket")).alias("_bucket"), "kind", "n", "data")
     return moved.groupBy("_bucket").cogroup(theirs.groupBy("_bucket")).applyInArrow(run, schema)

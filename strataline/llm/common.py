@@ -56,6 +56,20 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A name like base that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of these names renamed, and the expressions that give df's columns back."""
+    clash = {c: free_name([*df.columns, *names], f"own_{c}") for c in df.columns if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(clash), [F.col(f"`{clash.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import pieces
+from .common import set_aside
 
 WINDOW = 10
 #: Bytes of items that one pass holds in an automaton.
@@ -147,7 +148,8 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of an item occurs."""
-    return hits(docs, benchmark).where(F.size("runs") == 0).select(*docs.columns)
+    plain, own = set_aside(docs, ["n_words", "runs", "spans", "items"])
+    return hits(plain, benchmark).where(F.size("runs") == 0).select(*own)
 
 
 #: The same result in DuckDB SQL.

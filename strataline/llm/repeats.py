@@ -175,8 +175,20 @@ def later_windows(docs: DataFrame, symbols: Symbols, width: int, buckets: int, c
     return sent.groupBy("bucket").applyInArrow(settle, _MOVED)
 
 
+#: In front of the names of a document's own columns on their way.
+OWN = "c"
+
+
+def unplaced(table: pa.Table) -> pa.Table:
+    """A bucket's documents under their own names."""
+    return table.drop_columns(["_bucket"]).rename_columns([n.removeprefix(OWN) for n in table.column_names if n != "_bucket"])
+
+
 def placed(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with their texts compressed and the bucket that each goes to."""
+    """docs with their texts compressed and the bucket that each goes to.
+
+    Their columns get a letter in front, so that none is called _bucket.
+    """
     names = docs.columns
     text, key = names.index("text"), names.index("doc_id")
 
@@ -187,9 +199,9 @@ def placed(docs: DataFrame, buckets: int) -> DataFrame:
             null = b.column(text).is_null()
             z = pa.array([None if m else packer.compress(t.encode()) for t, m in zip(b.column(text).to_pylist(), null.to_pylist(), strict=True)], pa.binary())
             cols = [z if i == text else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_buckets(doc, buckets)), *cols], ["_bucket", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_buckets(doc, buckets)), *cols], ["_bucket", *(OWN + n for n in names)])
 
-    fields = [T.StructField("_bucket", T.IntegerType())] + [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema.fields]
+    fields = [T.StructField("_bucket", T.IntegerType())] + [T.StructField(OWN + f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema.fields]
     return docs.mapInArrow(run, T.StructType(fields))
 
 
@@ -202,6 +214,7 @@ def with_covered(docs: DataFrame, later: DataFrame, width: int, buckets: int, re
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if mine.num_rows == 0:
             return schema_arrow.empty_table()
+        mine = unplaced(mine)
         unpacker = zstandard.ZstdDecompressor()
         texts = [None if z is None else unpacker.decompress(z) for z in mine["text"].to_pylist()]
         doc = ids(mine["doc_id"])
@@ -218,7 +231,7 @@ def with_covered(docs: DataFrame, later: DataFrame, width: int, buckets: int, re
                 covers[int(d[a]), int(t[a])] = (s[new], s[last] + width)
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         runs = [covers.get((int(i), xxhash.xxh32_intdigest(x or b"")), none) for i, x in zip(doc, texts, strict=True)]
-        return result(mine.drop_columns(["_bucket", "text"]), texts, runs)
+        return result(mine.drop_columns(["text"]), texts, runs)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

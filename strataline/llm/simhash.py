@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import mix, pieces
-from .common import cut
+from .common import cut, free_name
 from .components import components
 from .repeats import NO_ID, ids
 
@@ -276,6 +276,7 @@ def deduped(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     Similarity is that of the sets of shingles, estimated from 256 bits of
     fingerprint; groups are what links of that similarity join.
     """
+    name = free_name(docs.columns, "gone")
     found = grouped(docs, size, radius_for(similarity, 64 * LANES), LANES, distinct=True)
-    gone = found.where("doc_id <> component or (doc_id is not null and component is null)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component or (doc_id is not null and component is null)").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import mix
 from .bytesops import pieces as small
+from .common import set_aside
 
 #: Bounds of the training sample: documents of each class, bytes of each class's text.
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
@@ -215,4 +216,5 @@ def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that aren't predicted toxic."""
-    return scored(docs, labels).where("predicted = 0").select(*docs.columns)
+    plain, own = set_aside(docs, ["held_out", "score", "predicted"])
+    return scored(plain, labels).where("predicted = 0").select(*own)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strataline.llm import bytededup, chat, decontaminate, fingerprint, linededup, simhash, substringdedup, suffixarray
+from strataline.llm import bytededup, chat, decontaminate, fingerprint, linededup, simhash, substringdedup, suffixarray, toxicity
 
 PHRASES = ["the quick brown fox jumps over the lazy dog and runs away", "lorem ipsum dolor sit amet", "Straße çà ñandú 日本語 text", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
 
@@ -36,11 +36,19 @@ def frame(spark, docs, extra: bool = False):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("bucket", "data", "kind", "n", "_bucket2", "score", "items", "runs", "start"):
+        for name in CLASHES:
             df = df.withColumn(name, F.lit(name))
     return df
 
 
+CLASHES = ("bucket", "data", "kind", "n", "_bucket", "gone", "_gone", "score", "items", "runs", "Spans", "start", "predicted", "held_out", "c", "component")
+
+
+def same_columns(out, df) -> bool:
+    """Whether all columns are there, with their own values."""
+    return out.columns == df.columns and all(out.where(f"`{c}` is null or `{c}` <> '{c}'").isEmpty() for c in CLASHES)
+
+
 def later_starts(units: dict, width: int) -> dict:
     """Covered units of each document, by looking at every window in order."""
     seen: dict = {}
@@ -86,8 +94,9 @@ def test_byte_dedup_keeps_other_columns(spark):
     docs = odd_documents(3, 20)
     df = frame(spark, docs, extra=True)
     out = bytededup.deduped(df)
-    assert out.columns == df.columns and out.count() == df.count()
-    assert out.where("data <> 'data'").count() == 0
+    assert same_columns(out, df) and out.count() == df.count()
+    assert same_columns(substringdedup.deduped(df), df)
+    assert same_columns(toxicity.accepted(df, spark.createDataFrame([], "doc_id long, toxic int")), df)
 
 
 def test_word_window_dedup(spark):
@@ -131,7 +140,7 @@ def test_line_dedup(spark):
         assert (r["n_lines"], r["n_removed"], r["kept_sha256"]) == (len(units[i]), sum(covered), hashlib.sha256("\n".join(kept).encode()).hexdigest()), i
     df = frame(spark, docs, extra=True)
     out = linededup.deduped(df)
-    assert out.columns == df.columns and out.count() == len(docs)
+    assert same_columns(out, df) and out.count() == len(docs)
 
 
 def test_rows_of_one_id_are_told_apart(spark):
@@ -204,7 +213,7 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     docs += [(200, None), (201, ""), (202, clean[0])]
     df = frame(spark, docs, extra=True)
     out = simhash.deduped(df)
-    assert out.columns == df.columns
+    assert same_columns(out, df)
     assert sorted(r["doc_id"] for r in out.collect()) == [*range(30), 200]
 
 
@@ -224,7 +233,7 @@ def test_decontamination(spark):
     ]
     df = frame(spark, docs, extra=True)
     kept = decontaminate.clean(df, bench)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 6]
+    assert same_columns(kept, df) and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 6]
     spans = decontaminate.hits(frame(spark, docs), bench).where("doc_id = 3").first()["spans"]
     assert [(s["start"], s["end"]) for s in spans] == [(2, 12)]
 
