@@ -43,10 +43,11 @@ class Engine:
 
     def index(self, root: str, extensions: list[str] | None = None, folders: list[str] | None = None) -> DataFrame:
         """Reads a tree, and replaces the project's chunks and graph."""
-        texts = files.texts(files.source_files(self.spark, root, extensions, folders))
+        texts = files.texts(files.source_files(self.spark, root, extensions, folders)).persist()  # read once for chunks and graph
         stores.replace(self.embedded(self.chunks(texts.select("path", "text"))), f"{self.store}/chunks")
         nodes, edges = self.project_graph(texts)
         stores.write_graph(nodes, edges, f"{self.store}/graph")
+        texts.unpersist()
         return self.index_check()
 
     def update(self, root: str, changes: DataFrame) -> DataFrame:
