@@ -62,7 +62,7 @@ def digests(docs: DataFrame) -> DataFrame:
             sha.append(hashlib.sha256(text or b"").hexdigest())
         return pa.table([rows["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=_DIGEST.names)
 
-    return repeats.with_covered(docs, later(docs, buckets), WIDTH, buckets, result, _DIGEST)
+    return repeats.with_covered(repeats.placed(docs, buckets), later(docs, buckets), WIDTH, result, _DIGEST)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def deduped(docs: DataFrame) -> DataFrame:
         column = pa.array(out, pa.string())
         return pa.table([column if name == "text" else rows[name] for name in schema.names], names=schema.names)
 
-    out = repeats.with_covered(docs, later(docs, buckets), WIDTH, buckets, result, schema)
+    out = repeats.with_covered(repeats.placed(docs, buckets), later(docs, buckets), WIDTH, result, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -124,55 +124,50 @@ def window_keys(symbols: np.ndarray, counts: np.ndarray, width: int):
 
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-Chosen = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def later_windows(docs: DataFrame, symbols: Symbols, width: int, buckets: int, chosen: Callable[[], Chosen] | None = None) -> DataFrame:
-    """Packed (doc, tie, pos) of the starts of later windows, by bucket of documents.
+def held_rows(held: list[tuple], buckets: int) -> list[tuple]:
+    """Rows of the windows that a task holds: firsts to buckets of windows, later ones to -1 less their bucket of documents."""
+    firsts, later = split_later(*(np.concatenate([h[i] for h in held]) for i in range(5)))
+    rows = list(dealt((firsts[0] % np.uint64(buckets)).astype(np.int32), *firsts))
+    return rows + [(-1 - b, n, d) for b, n, d in dealt(doc_buckets(later[0], buckets), *later)]
 
-    docs: doc_id and text.  symbols: from bytes and offsets, each symbol's hash and
-    the symbols in each row.  chosen: makes a function that tells, from symbols and
-    counts, which windows may be repeated; the others are not sent.
-    """
+
+def settled(sent: DataFrame, buckets: int) -> DataFrame:
+    """Packed (doc, tie, pos) of the starts of later windows, by bucket of documents, from what tasks have sent."""
+
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # later windows of one task, for a bucket of documents
+            rows = [(-1 - key[0].as_py(), n, d) for n, d in zip(group["n"].to_pylist(), group["data"].to_pylist(), strict=True)]
+            return pa.Table.from_batches([moved(rows)])
+        _, later = split_later(*gathered(group, 5))
+        return pa.Table.from_batches([moved(dealt(doc_buckets(later[0], buckets), *later))])
+
+    return sent.groupBy("bucket").applyInArrow(settle, _MOVED)
+
+
+def later_windows(docs: DataFrame, symbols: Symbols, width: int, buckets: int) -> DataFrame:
+    """`settled` windows of doc_id and text. symbols: from bytes and offsets, each symbol's hash and the symbols in each row."""
 
     def read(batches):
-        pick = chosen() if chosen else None
         held: list[tuple] = []
         size = 0
-
-        def flush():
-            firsts, later = split_later(*(np.concatenate([h[i] for h in held]) for i in range(5)))
-            rows = [(b, n, d) for b, n, d in dealt((firsts[0] % np.uint64(buckets)).astype(np.int32), *firsts)]
-            return moved(rows + [(-1 - b, n, d) for b, n, d in dealt(doc_buckets(later[0], buckets), *later)])
-
         for b in pieces(batches, 4096):
             doc = ids(b.column(0))
             data, off = column_bytes(b.column(1))
             for lo, hi in slices(off):
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                values, counts = symbols(part, o)
-                k1, k2, row, pos = window_keys(values, counts, width)
-                if pick is not None and len(k1):
-                    keep = pick(values, counts)
-                    k1, k2, row, pos = k1[keep], k2[keep], row[keep], pos[keep]
+                k1, k2, row, pos = window_keys(*symbols(part, o), width)
                 if len(k1):
                     held.append((k1, k2, doc[lo:hi][row], text_hashes(part, o)[row], pos))
                     size += len(k1)
                 if size >= FLUSH:
-                    yield flush()
+                    yield moved(held_rows(held, buckets))
                     held, size = [], 0
         if held:
-            yield flush()
-
-    def settle(key: tuple, group: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:  # later windows of one task, for a bucket of documents
-            rows = [(-1 - key[0].as_py(), n, d) for n, d in zip(group["n"].to_pylist(), group["data"].to_pylist(), strict=True)]
-            return pa.Table.from_batches([moved(rows)])
-        _, later = split_later(*gathered(group, 5))
-        return pa.Table.from_batches([moved(dealt(doc_buckets(later[0], buckets), *later))])
+            yield moved(held_rows(held, buckets))
 
-    sent = docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(read, _MOVED)
-    return sent.groupBy("bucket").applyInArrow(settle, _MOVED)
+    return settled(docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(read, _MOVED), buckets)
 
 
 #: In front of the names of a document's own columns on their way.
@@ -205,8 +200,14 @@ def placed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def with_covered(docs: DataFrame, later: DataFrame, width: int, buckets: int, result, schema: T.StructType) -> DataFrame:
-    """result(rows, texts, covers) for each bucket of documents, where covers has, for each row, merged runs of covered symbols.
+def texts_of(mine: pa.Table) -> list[bytes | None]:
+    """The texts of a bucket of documents."""
+    unpacker = zstandard.ZstdDecompressor()
+    return [None if z.as_py() is None else unpacker.decompress(z.as_py()) for z in mine["text"]]
+
+
+def with_covered(texts: DataFrame, later: DataFrame, width: int, result, schema: T.StructType) -> DataFrame:
+    """result(rows, texts, covers) for each bucket of `placed` documents, where covers has, for each row, merged runs of covered symbols.
 
     rows: an Arrow table with all columns of docs but text; texts: bytes, None for null.
     """
@@ -215,8 +216,7 @@ def with_covered(docs: DataFrame, later: DataFrame, width: int, buckets: int, re
         if mine.num_rows == 0:
             return schema_arrow.empty_table()
         mine = unplaced(mine)
-        unpacker = zstandard.ZstdDecompressor()
-        texts = [None if z is None else unpacker.decompress(z) for z in mine["text"].to_pylist()]
+        texts = texts_of(mine)
         doc = ids(mine["doc_id"])
         covers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if theirs.num_rows:
@@ -236,7 +236,7 @@ def with_covered(docs: DataFrame, later: DataFrame, width: int, buckets: int, re
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema_arrow = to_arrow_schema(schema)
-    return placed(docs, buckets).groupBy("_bucket").cogroup(later.withColumnRenamed("bucket", "_bucket").groupBy("_bucket")).applyInArrow(run, schema)
+    return texts.groupBy("_bucket").cogroup(later.withColumnRenamed("bucket", "_bucket").groupBy("_bucket")).applyInArrow(run, schema)
 
 
 def kept(n: int, runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

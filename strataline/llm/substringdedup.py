@@ -2,10 +2,10 @@
 
 Pass 1.  A window is counted by its anchor: of its shingles of twelve words the one
 with the least hash.  Equal windows have equal anchors at equal places, so an
-anchor's count is never less than its windows'.  Each task counts its anchors' places
-in a count-min sketch of saturating two-bit counters; the sketches are merged block
-by block.  A sketch has `cells` counters in each of two rows, at most MAX_CELLS
-(32 MB sent to each worker); above that size it overestimates more, and never less.
+anchor's count is never less than its windows'.  Each bucket of documents counts its
+anchors' places in a count-min sketch of two rows; the sketch is as wide as the text
+needs and lives in blocks, which are merged each in one group and sent nowhere whole:
+each bucket gets back which of its own counters came to two or more.
 
 Pass 2.  Windows whose estimate is two or more are grouped exactly, by two 64-bit
 hashes, as `repeats` tells; each word that a later occurrence covers goes.  Windows
@@ -20,26 +20,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats
-from .bytesops import SPACED, column_bytes, mix, pieces, prefix, slices, sliding_min, span_hash, word_hashes, word_spans
+from .bytesops import SPACED, column_bytes, mix, prefix, slices, sliding_min, span_hash, word_hashes, word_spans
 from .common import bucket_count, text_bytes
 
 WIDTH, SHINGLE = 20, 12
 ROWS = 2
-#: Counters in each row of a sketch at most; a quarter of a byte each while counting, an eighth when sent.
-MAX_CELLS = 1 << 27
+#: Counters of a block. Bytes of text for one anchor, about; counters for one anchor.
 BLOCK = 1 << 20
-#: Bytes of text for one anchor, about; counters for one anchor.
 BYTES_AN_ANCHOR, CELLS_AN_ANCHOR = 30, 4
-#: Anchors that a task counts before it sends what it has.
-FLUSH = 4_000_000
-#: Groups that each block's sketches are merged in first.
-SALTS = 32
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +41,9 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def cells_for(total_bytes: int) -> int:
+    """Counters in each row of a sketch, a power of two."""
     want = max(1, CELLS_AN_ANCHOR * total_bytes // BYTES_AN_ANCHOR)
-    return min(MAX_CELLS, max(BLOCK, 1 << (want - 1).bit_length()))
+    return max(BLOCK, 1 << (want - 1).bit_length())
 
 
 def anchors(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,92 +63,95 @@ def cell(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(hashes ^ np.uint64(0xA5A5A5A5 * (row + 1))) & np.uint64(cells - 1)).astype(np.int64)
 
 
-_PART = "block int, salt int, once binary, twice binary"
-
-
-def sketch(docs: DataFrame, cells: int) -> np.ndarray:
-    """For each row of the merged sketch, bits of the counters that are two or more."""
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        salt = TaskContext.get().partitionId() % SALTS
-        packer = zstandard.ZstdCompressor(level=1)
-
-        def flush(found):
-            rows = []
-            for r in range(ROWS):
-                c, times = np.unique(cell(found, r, cells), return_counts=True)
-                cuts = np.searchsorted(c, np.arange(0, cells + 1, BLOCK))
-                for k in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[k], cuts[k + 1]
-                    once, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-                    once[c[a:b] - k * BLOCK] = True
-                    twice[c[a:b][times[a:b] > 1] - k * BLOCK] = True
-                    rows.append((r * (cells // BLOCK) + int(k), salt, packer.compress(np.packbits(once).tobytes()), packer.compress(np.packbits(twice).tobytes())))
-            return _bits(rows)
-
-        held, size = [], 0
-        for b in pieces(batches, 4096):
-            data, off = column_bytes(b.column(0))
-            for lo, hi in slices(off):
-                shingle, at = anchors(*word_symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
-                if len(at):
-                    held.append(shingle[at[np.append(True, at[1:] != at[:-1])]])
-                    size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush(np.concatenate(held))
-                    held, size = [], 0
-        if held:
-            yield flush(np.concatenate(held))
+def places(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash at each place that is some window's anchor, each place once."""
+    return shingle[at[np.append(True, at[1:] != at[:-1])]] if len(at) else shingle[:0]
 
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
-        once, twice = np.zeros(BLOCK // 8, np.uint8), np.zeros(BLOCK // 8, np.uint8)
-        unpack = zstandard.ZstdDecompressor()
-        for o, t in zip(group["once"], group["twice"], strict=True):
-            more = np.frombuffer(unpack.decompress(o.as_py()), np.uint8)
-            twice |= np.frombuffer(unpack.decompress(t.as_py()), np.uint8) | (once & more)
-            once |= more
-        packer = zstandard.ZstdCompressor(level=1)
-        return pa.Table.from_batches([_bits([(key[0].as_py(), 0, packer.compress(once.tobytes()), packer.compress(twice.tobytes()))])])
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, _PART)
-    parts = parts.groupBy("block", "salt").applyInArrow(merge, _PART).groupBy("block").applyInArrow(merge, _PART)
-    bits = np.zeros((ROWS, cells // 8), np.uint8)
-    unpack = zstandard.ZstdDecompressor()
-    for block, z in parts.select("block", "twice").toLocalIterator():
-        row, k = divmod(block, cells // BLOCK)
-        bits[row, k * BLOCK // 8 : (k + 1) * BLOCK // 8] = np.frombuffer(unpack.decompress(bytes(z)), np.uint8)
-    return bits
+def estimated_often(shingle: np.ndarray, at: np.ndarray, often: list[np.ndarray], cells: int) -> np.ndarray:
+    """Which windows the sketch estimates twice or more. often: for each row the sorted counters of two or more."""
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.append(True, at[1:] != at[:-1])
+    found = shingle[at[new]]
+    hit = np.ones(len(found), bool)
+    for r in range(ROWS):
+        c = cell(found, r, cells)
+        k = np.searchsorted(often[r], c)
+        k[k == len(often[r])] = 0
+        hit &= (often[r][k] == c) if len(often[r]) else False
+    return hit[np.cumsum(new) - 1]
 
 
-_PART_ARROW = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+_COUNTS = "block int, bucket int, n int, data binary"
+_COUNTS_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def _bits(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_PART_ARROW)], schema=_PART_ARROW)
+def _counts(rows) -> pa.Table:
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_COUNTS_ARROW)], schema=_COUNTS_ARROW)])
 
 
-def chosen_by(bits: np.ndarray):
-    """Which windows a sketch estimates as repeated."""
-    cells = bits.shape[1] * 8
+def _slices(mine: pa.Table):
+    """Slices of a bucket's texts: their first row, bytes and offsets."""
+    data, off = column_bytes(pa.array([t or b"" for t in repeats.texts_of(mine)], pa.large_binary()).cast(pa.large_string()))
+    for lo, hi in slices(off):
+        yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
-    def pick(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        shingle, at = anchors(symbols, counts)
-        new = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
-        found = shingle[at[new]]
-        often = np.ones(len(found), bool)
-        for r in range(ROWS):
-            c = cell(found, r, cells)
-            often &= (bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-        return often[np.cumsum(new) - 1] if len(at) else new
 
-    return pick
+def counted(texts: DataFrame, cells: int) -> DataFrame:
+    """Pass 1: for each bucket of `placed` documents and each block, its counters that come to two or more over all."""
+    blocks = cells // BLOCK
 
+    def count(key: tuple, mine: pa.Table) -> pa.Table:
+        found = [places(*anchors(*word_symbols(part, o))) for _, _, part, o in _slices(repeats.unplaced(mine))]
+        found = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        rows = []
+        for r in range(ROWS):
+            c, times = np.unique(cell(found, r, cells), return_counts=True)
+            # A counter's place in its block, and whether this bucket alone brings it to two.
+            value = ((c & (BLOCK - 1)) << 1 | (times > 1)).astype(np.uint32)
+            rows += [(b, key[0].as_py(), n, d) for b, n, d in repeats.dealt((r * blocks + (c >> 20)).astype(np.int32), value)]
+        return _counts(rows)
 
-def later(docs: DataFrame, buckets: int, total_bytes: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells_for(total_bytes)))
-    return repeats.later_windows(docs, word_symbols, WIDTH, buckets, lambda: chosen_by(sent.value))
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [repeats.unpacked(d.as_py(), n, 1)[0] for d, n in zip(group["data"], group["n"].to_pylist(), strict=True)]
+        twice = np.zeros(BLOCK, np.int64)
+        for p in parts:
+            twice[p >> 1] += 1 + (p & 1)
+        rows = []
+        for p, bucket in zip(parts, group["bucket"].to_pylist(), strict=True):
+            kept = (p >> 1)[twice[p >> 1] > 1]
+            if len(kept):
+                rows.append((key[0].as_py(), bucket, len(kept), repeats.packed(kept)))
+        return _counts(rows)
+
+    return texts.groupBy("_bucket").applyInArrow(count, _COUNTS).groupBy("block").applyInArrow(merge, _COUNTS)
+
+
+def later(texts: DataFrame, buckets: int, total_bytes: int) -> DataFrame:
+    """Pass 2: `repeats.settled` windows of `placed` documents that the sketch lets through."""
+    cells = cells_for(total_bytes)
+    blocks = cells // BLOCK
+
+    def read(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine = repeats.unplaced(mine)
+        often: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+        for block, n, d in zip(theirs["block"].to_pylist(), theirs["n"].to_pylist(), theirs["data"], strict=True):
+            often[block // blocks].append(repeats.unpacked(d.as_py(), n, 1)[0].astype(np.int64) + (block % blocks) * BLOCK)
+        known = [np.sort(np.concatenate(o)) if o else np.zeros(0, np.int64) for o in often]
+        held = []
+        doc = repeats.ids(mine["doc_id"]) if mine.num_rows else np.zeros(0, np.int64)
+        for lo, hi, part, o in _slices(mine):
+            values, counts = word_symbols(part, o)
+            pick = estimated_often(*anchors(values, counts), known, cells)
+            if pick.any():
+                k1, k2, row, pos = (x[pick] for x in repeats.window_keys(values, counts, WIDTH))
+                held.append((k1, k2, doc[lo:hi][row], repeats.text_hashes(part, o)[row], pos))
+        return pa.Table.from_batches([repeats.moved(repeats.held_rows(held, buckets) if held else [])])
+
+    flags = counted(texts, cells).withColumnRenamed("bucket", "_bucket")
+    sent = texts.groupBy("_bucket").cogroup(flags.groupBy("_bucket")).applyInArrow(read, repeats._MOVED)
+    return repeats.settled(sent, buckets)
 
 
 _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -178,7 +175,8 @@ def digests(docs: DataFrame) -> DataFrame:
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.table([rows["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=_DIGEST.names)
 
-    return repeats.with_covered(docs, later(docs, buckets, total), WIDTH, buckets, result, _DIGEST)
+    texts = repeats.placed(docs, buckets)
+    return repeats.with_covered(texts, later(texts, buckets, total), WIDTH, result, _DIGEST)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
@@ -198,8 +196,8 @@ def deduped(docs: DataFrame) -> DataFrame:
         column = pa.array(out, pa.string())
         return pa.table([column if name == "text" else rows[name] for name in schema.names], names=schema.names)
 
-    found = later(repeats.texts_and_ids(docs), buckets, total)
-    return repeats.with_covered(docs, found, WIDTH, buckets, result, schema)
+    texts = repeats.placed(docs, buckets)
+    return repeats.with_covered(texts, later(texts, buckets, total), WIDTH, result, schema)
 
 
 #: The same digests in DuckDB SQL.

@@ -118,13 +118,13 @@ def test_sketch_never_underestimates():
 
     cells = 1 << 20
     shingle, at = substringdedup.anchors(symbols, counts)
-    found = shingle[at[np.append(True, at[1:] != at[:-1])]]
-    bits = np.zeros((2, cells // 8), np.uint8)
-    for r in range(2):
-        n = np.bincount(substringdedup.cell(found, r, cells), minlength=cells)
-        bits[r] = np.packbits(n >= 2)
+    found = substringdedup.places(shingle, at)
+    known = []
+    for r in range(substringdedup.ROWS):
+        c, times = np.unique(substringdedup.cell(found, r, cells), return_counts=True)
+        known.append(c[times > 1])
     k1, k2, _, _ = window_keys(symbols, counts, 20)
-    often = substringdedup.chosen_by(bits)(symbols, counts)
+    often = substringdedup.estimated_often(shingle, at, known, cells)
     _, where, times = np.unique(np.stack([k1, k2]), axis=1, return_inverse=True, return_counts=True)
     assert often[times[where.ravel()] > 1].all()
     assert (~often).any()
