@@ -416,7 +416,7 @@ _DIGEST = T.StructType(
 def digests(docs: DataFrame, hot_from: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row."""
     docs = texts_and_ids(docs)
-    buckets = bucket_count(docs.sparkSession, text_bytes(docs))
+    buckets = bucket_count(text_bytes(docs))
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         cols = [[len(t or b"") for t in texts], [int((r[1] - r[0]).sum()) for r in runs], [len(r[0]) for r in runs], [hashlib.sha256(remaining(t or b"", r)).hexdigest() for t, r in zip(texts, runs, strict=True)]]
@@ -429,7 +429,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     """Every row and column of docs, removed bytes taken out of text; a character cut in two loses its rest."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     schema = docs.schema
-    buckets = bucket_count(docs.sparkSession, text_bytes(docs))
+    buckets = bucket_count(text_bytes(docs))
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         column = pa.array([None if t is None else remaining(t, r).decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)], pa.string())

@@ -14,6 +14,7 @@ from ..session import ship
 
 #: Bytes of text that one hash bucket of documents is meant to hold.
 BUCKET_BYTES = 4 << 20
+LEAST_BUCKETS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +30,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_count(spark: SparkSession, total_bytes: int, each: int = BUCKET_BYTES) -> int:
-    """Hash buckets so that each stays small however large the input is."""
-    return max(shuffle_partitions(spark), -(-total_bytes // each))
-
-
-def bucket_of(column: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(buckets)).cast("int")
+def bucket_count(total_bytes: int, each: int = BUCKET_BYTES) -> int:
+    """Hash buckets of a few MB of text each, however large or small the input is."""
+    return max(LEAST_BUCKETS, -(-total_bytes // each))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -134,7 +134,7 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_s
 
 def _ranges(spark: SparkSession, docs: DataFrame):
     """A function from document ids to ranges in their order, small ones whatever the ids are like."""
-    buckets = bucket_count(spark, text_bytes(docs))
+    buckets = bucket_count(text_bytes(docs))
     quantiles = min(buckets, QUANTILES)
     cuts = docs.approxQuantile("doc_id", [i / quantiles for i in range(quantiles + 1)], 0.25 / quantiles)
     edges = np.unique(np.array(cuts, np.float64)).astype(np.int64)

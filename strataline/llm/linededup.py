@@ -45,7 +45,7 @@ _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the kept lines, joined by newlines) of every row."""
     docs = repeats.texts_and_ids(docs)
-    buckets = bucket_count(docs.sparkSession, text_bytes(docs))
+    buckets = bucket_count(text_bytes(docs))
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         n, removed, sha = [], [], []
@@ -67,7 +67,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def deduped(docs: DataFrame) -> DataFrame:
     """Every row and column of docs, later windows' lines taken out of text. A column n_chars follows the text."""
-    buckets = bucket_count(docs.sparkSession, text_bytes(docs))
+    buckets = bucket_count(text_bytes(docs))
     docs = docs.withColumn("text", F.col("text").cast("string"))
     schema = docs.schema
 

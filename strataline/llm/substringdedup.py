@@ -161,7 +161,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by spaces) of every row."""
     docs = repeats.texts_and_ids(docs)
     total = text_bytes(docs)
-    buckets = bucket_count(docs.sparkSession, total)
+    buckets = bucket_count(total)
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         n, removed, sha = [], [], []
@@ -182,7 +182,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def deduped(docs: DataFrame) -> DataFrame:
     """Every row and column of docs, text being its kept words joined by spaces."""
     total = text_bytes(docs)
-    buckets = bucket_count(docs.sparkSession, total)
+    buckets = bucket_count(total)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     schema = docs.schema
 
