@@ -1,7 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Training.  Each dictionary holds the words of one class that best cover the pieces of
-five bytes which many of its documents hold and few of the other's.  A text is cut
+Training.  Each dictionary holds the parts of words of one class that best cover the
+pieces of five bytes which more of its documents hold, once or often, than the
+other's documents of the same kind (most of all: language) lead to expect.  A text is cut
 into windows of two words; each window is compressed with either dictionary, and the
 difference of the two lengths is its toxicity in bytes.  (Every window begins with
 the same 64 bytes, which end both dictionaries: so even the shortest window is worth
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,12 @@ from .common import set_aside
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
 #: Bytes of a dictionary's words, bytes of a piece, and words of a window.
 DICTIONARY_BYTES, PIECE, WORDS = 4096, 5, 2
-#: A piece counts if this share of a class's documents hold it (3 documents at least) and this much oftener than the other's, as a logarithm.
-LEAST_SHARE, LEAST_CONTRAST = 0.03, 3.5
+#: A document holds a piece so many times or more: each is counted by itself.
+OFTEN = 1, 2, 4
+#: A piece counts if more documents hold it than expected by this much, as a logarithm, and beyond chance (a likelihood ratio, for some 10^5 pieces tried).
+LEAST_CONTRAST, SURE = 2.0, 30.0
+#: Groups of like documents at most, documents that a group has at least, bytes of a text that its group is told by.
+GROUPS, MEMBERS, STRETCH = 8, 20, 1 << 14
 FOLDS = 5
 
 _HEAD = bytes(range(128, 192))
@@ -53,25 +57,92 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def _codes(text: str) -> np.ndarray:
+    """Every piece of every word with the space before it, as a number, repeats included."""
+    s = np.frombuffer(b" " + b" ".join(words(text)), np.uint8)
+    n = len(s) - PIECE + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(PIECE):
+        out = out << np.uint64(8) | s[k : k + n]
+        if k:
+            whole &= s[k : k + n] != 32
+    return out[whole]
+
+
+def _kind(text: str) -> np.ndarray:
+    """How often a text has each three bytes, hashed, as a vector of length 1."""
+    s = np.frombuffer(b" ".join(words(text))[:STRETCH], np.uint8).astype(np.int64)
+    x = np.sqrt(np.bincount((s[:-2] * 40503 + s[1:-1] * 7919 + s[2:] * 31) % 1021, minlength=1024)) if len(s) > 2 else np.zeros(1024)
+    return (x / max(float(np.linalg.norm(x)), 1e-9)).astype(np.float32)
+
+
+def alike(own: list[str], other: list[str]) -> np.ndarray:
+    """A number under GROUPS for each text: the group of `other` that it is most like, so one of its language or kind."""
+    x = np.array([_kind(t) for t in other], np.float32).reshape(-1, 1024)
+    centers = x.mean(axis=0, keepdims=True) if len(x) else np.zeros((1, 1024), np.float32)
+    if len(x) >= 2 * MEMBERS:
+        rng = np.random.default_rng(7)
+        for _ in range(GROUPS - 1):
+            far = np.maximum(1 - (x @ centers.T).max(axis=1), 0).astype(np.float64) + 1e-9
+            centers = np.concatenate((centers, x[rng.choice(len(x), p=far / far.sum())][None]))
+        for _ in range(20):
+            near = (x @ centers.T).argmax(axis=1)
+            size = np.bincount(near)
+            enough = np.flatnonzero(size >= min(MEMBERS, size.max()))
+            sums = np.stack([x[near == k].sum(axis=0) for k in enough])
+            centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([(np.array([_kind(t) for t in side], np.float32).reshape(-1, 1024) @ centers.T).argmax(axis=1) for side in (own, other)])
+
+
+def _times_log(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return n * np.log(np.maximum(n, 1) / np.maximum(expected, 1e-9))
+
+
+def marks(own: list[str], other: list[str]) -> dict[bytes, float]:
+    """Pieces that occur in more documents of `own`, once or often, than documents like them of `other` lead to expect: their worth."""
+    if not own:
+        return {}
+    group = alike(own, other)
+    # Pieces that three documents hold; no others can be told from chance.
+    held, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for a in range(0, len(own), 256):
+        every = np.concatenate([held, *(np.unique(_codes(t)) for t in own[a : a + 256])])
+        held, place = np.unique(every, return_inverse=True)
+        times = np.bincount(place, np.concatenate((times, np.ones(len(place) - len(times), np.int64))), len(held)).astype(np.int64)
+    held = held[times >= 3]
+    if not len(held):
+        return {}
+    count = np.zeros((2, GROUPS, len(OFTEN), len(held)), np.int32)
+    sizes = np.zeros((2, GROUPS))
+    for i, text in enumerate([*own, *other]):
+        side, g = int(i >= len(own)), group[i]
+        sizes[side, g] += 1
+        code, n = np.unique(_codes(text), return_counts=True)
+        at = np.minimum(np.searchsorted(held, code), len(held) - 1)
+        known = held[at] == code
+        at, n = at[known], n[known]
+        for k, least in enumerate(OFTEN):
+            count[side, g, k, at[n >= least]] += 1
+    best = np.zeros(len(held))
+    share = (sizes[0] / np.maximum(sizes.sum(axis=0), 1))[:, None]
+    for k in range(len(OFTEN)):
+        mine, theirs = count[0, :, k], count[1, :, k]
+        seen, both = mine.sum(axis=0), (mine + theirs).sum(axis=0)
+        # Had the class nothing to do with it, each group would split in the proportion of its documents.
+        expected = ((mine + theirs) * share).sum(axis=0)
+        contrast = np.log(((mine * (1 - share)).sum(axis=0) + 0.5) / ((theirs * share).sum(axis=0) + 0.5))
+        sure = 2 * (_times_log(seen, expected) + _times_log(both - seen, both - expected))
+        best = np.maximum(best, np.where((contrast > LEAST_CONTRAST) & (sure > SURE), seen * contrast, 0))
+    return {int(held[i]).to_bytes(PIECE, "big"): float(best[i]) for i in np.flatnonzero(best)}
+
+
 def chosen_words(own: list[str], other: list[str]) -> list[bytes]:
     """Words of `own` that cover what sets it off, the best first."""
-    held: Counter = Counter()
-    seen: set[bytes] = set()
-    for text in own:
-        every = {b" " + w for w in words(text)}
-        seen |= every
-        held.update(set().union(*map(pieces, every)) if every else ())
-    against: Counter = Counter()
-    for text in other:
-        against.update(set().union(*(pieces(b" " + w) for w in set(words(text))), set()))
-    least = max(3, LEAST_SHARE * len(own))
-    worth = {}
-    for p, n in held.items():
-        if n >= least:
-            contrast = math.log((n + 0.5) / (len(own) + 1)) - math.log((against[p] + 0.5) / (len(other) + 1))
-            if contrast > LEAST_CONTRAST:
-                worth[p] = n * contrast
+    worth = marks(own, other)
     value = lambda w: sum(worth.get(p, 0) for p in pieces(w))
+    seen = {b" " + w for text in own for w in words(text)} if worth else set()
     heap = [(-v, w) for w in seen if (v := value(w)) > 0]
     heapq.heapify(heap)
     out: list[bytes] = []
@@ -84,8 +155,10 @@ def chosen_words(own: list[str], other: list[str]) -> list[bytes]:
         if now < -v - 1e-9:  # some of its pieces have been covered since
             heapq.heappush(heap, (-now, w))
             continue
-        out.append(w)
-        size += len(w)
+        marked = [i for i in range(len(w) - PIECE + 1) if w[i : i + PIECE] in worth]
+        part = w[marked[0] : marked[-1] + PIECE]  # what else the word is made of says nothing
+        out.append(part)
+        size += len(part)
         for p in pieces(w):
             worth.pop(p, None)
     return out
