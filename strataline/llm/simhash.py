@@ -190,6 +190,8 @@ def tile_links(fa: np.ndarray, fb: np.ndarray, radius: int, same: bool) -> np.nd
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a tile that differ in `radius` bits at most. x, y: one row for each lane."""
     first = max(1, len(x) // 2)
+    while first < len(x) - 1 and radius > 32 * first - 12 * math.sqrt(first):  # of so many bits chance pairs would pass
+        first += 1
     apart = np.bitwise_count(x[0][:, None] ^ y[0][None, :])
     for k in range(1, first):
         apart += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
@@ -242,15 +244,21 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
     return tasks.groupBy("one", "other").applyInArrow(compare, "a long, b long")
 
 
-def grouped(docs: DataFrame, size: int, radius: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp and component (the smallest doc_id reachable) of every row."""
+def grouped(docs: DataFrame, size: int, radius: int, lanes: int = 1, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp and component (the smallest doc_id reachable) of every row.
+
+    similarity: links within the radius only say which classes to compare; what joins is the exact similarity of their shingles.
+    """
     spark = docs.sparkSession
     prints = cut(spark, fingerprinted(docs, size, lanes, distinct))
     classes = cut(spark, prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("rep")))
     # Rows that share a doc_id are one document: its fingerprints are linked.
     shared = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
     own = prints.join(shared, "doc_id").join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(linked(classes, radius, lanes).unionAll(own))
+    links = linked(classes, radius, lanes)
+    if similarity is not None:
+        links = similar(docs, classes, links, size, similarity)
+    roots = components(links.unionAll(own))
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
     return prints.join(named, "fp").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component"))
 
@@ -260,8 +268,90 @@ def digests(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     return grouped(docs, size, radius).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Classes, and shingles of them, that one side of an exact comparison has, about.
+SIDE, SIDE_SHINGLES = 256, 1 << 20
+#: Shingles whose counts are taken at once.
+COLUMNS = 4096
+#: Tasks that groups are dealt to at least, and bytes of shingles that there is one more for.
+LEAST_TASKS, TASK_BYTES = 256, 1 << 20
+#: Documents of groups whose ids are broadcast, at most.
+SMALL = 1 << 18
+
+
+def alike(sets: list[np.ndarray], left: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets of hashes whose Jaccard similarity reaches `similarity`; the first of a pair is one of the first `left`."""
+    n = np.array([len(s) for s in sets])
+    common = np.zeros((left, len(sets)), np.int64)
+    code, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(code, return_inverse=True, return_counts=True)
+    held = times[column] > 1  # what one set alone has is in no intersection
+    column, row = column[held], row[held]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    many = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, many, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, -(-(many - a) // 64) * 64)), bool)
+        x[row[lo:hi], column[lo:hi] - a] = True
+        bits = np.packbits(x, axis=1).view(np.uint64)
+        for k in range(left):
+            common[k] += np.bitwise_count(bits & bits[k]).sum(axis=1, dtype=np.int64)
+    i, j = np.nonzero((common > 0) & (common >= similarity * (n[:left, None] + n[None, :] - common) - 1e-9))
+    return i[i < j], j[i < j]
+
+
+def similar(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: links that join the classes whose shingles' Jaccard similarity reaches `similarity`, among those that the given links join.
+
+    What the links join is a group; all its classes are compared, sides of some hundred with each other, so that no task has a whole large group.
+    """
+    spark = docs.sparkSession
+    roots = components(links)
+    members = cut(spark, classes.join(roots, classes.rep == roots.node).select("fp", "rep", "root"))
+
+    def sets(batches):
+        for b in pieces(batches):
+            texts = b.column(1).to_pylist()
+            fp = fingerprints(texts, size, LANES, True).astype(">u8")
+            found = [np.unique(np.array(shingle_hashes(t, size), np.uint64)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in fp], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["fp", "shingles"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.col("text").cast("string").alias("text"))
+    reps = members.select("rep").distinct()
+    reps = F.broadcast(reps) if reps.count() <= SMALL else reps  # so that texts needn't move
+    rows = rows.join(reps, "rep", "left_semi").mapInArrow(sets, "fp binary, shingles binary")
+    held = cut(spark, members.join(rows.groupBy("fp").agg(F.max("shingles").alias("shingles")), "fp"))
+    sizes = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum(F.octet_length("shingles")) / (8 * SIDE_SHINGLES))).cast("int").alias("sides"))
+    dealt = held.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int"))
+    # A class goes to the comparison of its side with each.
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    met = met.select("root", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("other"), (F.col("side") <= F.col("with")).alias("first"), "rep", "shingles")
+    tasks = max(LEAST_TASKS, held.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).first()["n"] // TASK_BYTES)
+    met = met.withColumn("task", F.pmod(F.xxhash64("root", "one", "other"), F.lit(tasks)))
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        where: dict[tuple, list[int]] = {}
+        for k, at in enumerate(zip(*(group[c].to_pylist() for c in ("root", "one", "other")), strict=True)):
+            where.setdefault(at, []).append(k)
+        first, reps, raw = group["first"].to_pylist(), group["rep"].to_numpy(), group["shingles"].combine_chunks()
+        a, b = [], []
+        for at in where.values():
+            at.sort(key=lambda k: not first[k])
+            i, j = alike([np.frombuffer(raw[k].as_py(), np.uint64) for k in at], sum(first[k] for k in at), similarity)
+            label = np.arange(len(at))
+            _merge(label, i, j)
+            moved = np.flatnonzero(label != np.arange(len(at)))
+            ids_of = reps[at]
+            a.append(ids_of[moved])
+            b.append(ids_of[label[moved]])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return met.groupBy("task").applyInArrow(compare, "a long, b long")
+
+
 #: For a similarity: bits of the fingerprint, and standard deviations that the radius is wider than expected.
-LANES, MARGIN = 4, 1.2
+LANES, MARGIN = 4, 4.0
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -273,10 +363,11 @@ def radius_for(similarity: float, bits: int) -> int:
 def deduped(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, that are the smallest doc_id of their group.
 
-    Similarity is that of the sets of shingles, estimated from 256 bits of
-    fingerprint; groups are what links of that similarity join.
+    Similarity is that of the sets of shingles, exactly; 256 bits of fingerprint say
+    which to compare, at a radius that hardly any such pair exceeds.  Groups are what
+    links of that similarity join.
     """
     name = free_name(docs.columns, "gone")
-    found = grouped(docs, size, radius_for(similarity, 64 * LANES), LANES, distinct=True)
+    found = grouped(docs, size, radius_for(similarity, 64 * LANES), LANES, distinct=True, similarity=similarity)
     gone = found.where("doc_id <> component or (doc_id is not null and component is null)").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from strataline.llm import toxicity
+from strataline.llm import simhash, toxicity
 
 SF01 = "/root/testdata/sf0.1"
 
@@ -33,3 +34,30 @@ def test_a_rare_language_has_its_marks(few):
     ordinary = [text(one) for _ in range(1000)] + [text(two, *["klmnoklmno"] * (k % 3 == 0)) for k in range(400)]
     assert any(b"klmno" in w for w in toxicity.chosen_words(toxic, ordinary))
     assert not any(b"klmno" in w for w in toxicity.chosen_words(ordinary, toxic))
+
+
+def test_near_copies_are_of_exact_similarity(spark, monkeypatch):
+    """Documents around 0.8, alone, in a crowd and in chains, against all pairs' Jaccard similarity."""
+    monkeypatch.setattr(simhash, "SIDE", 8)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([40, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(30 if k == 0 else 2):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.uniform(0.01, 0.06)))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+            base = copy if k % 3 == 0 else base
+    texts += ["", None, "one", "one two", texts[5]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = [set(simhash.shingle_hashes(texts[i], 5)) for i in order]
+    label = np.arange(len(order))
+    pairs = [(i, j) for i in range(len(order)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    simhash._merge(label, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    df = spark.createDataFrame([(d, texts[i]) for d, i in enumerate(order)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduped(df).collect()) == sorted(set(label.tolist()))
+    assert simhash.radius_for(0.8, 256) - 256 * 0.1515 > 3 * 5.73
