@@ -145,7 +145,7 @@ def _ranges(spark: SparkSession, docs: DataFrame):
             return np.zeros(len(ids), np.int64)
         k = np.clip(np.searchsorted(edges, ids, "right") - 1, 0, len(edges) - 2)
         width = np.maximum(1, -(-(edges[k + 1] - edges[k]) // parts))
-        return k * parts + np.clip((ids - edges[k]) // width, 0, parts - 1)
+        return k * parts + np.clip((np.maximum(ids, edges[k]) - edges[k]) // width, 0, parts - 1)
 
     return bucket
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from strataline.llm import simhash, toxicity
+from strataline.llm import fingerprint, simhash, toxicity
 
 SF01 = "/root/testdata/sf0.1"
 
@@ -61,3 +61,12 @@ def test_near_copies_are_of_exact_similarity(spark, monkeypatch):
     df = spark.createDataFrame([(d, texts[i]) for d, i in enumerate(order)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.deduped(df).collect()) == sorted(set(label.tolist()))
     assert simhash.radius_for(0.8, 256) - 256 * 0.1515 > 3 * 5.73
+
+
+def test_a_null_id_is_in_the_first_of_all_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "QUANTILES", 2)
+    monkeypatch.setattr(fingerprint, "bucket_count", lambda total: 8)
+    df = spark.createDataFrame([(i, "x") for i in range(1000, 1100)] + [(None, "y")], "doc_id long, text string")
+    bucket = fingerprint._ranges(spark, df)
+    got = bucket(np.array([np.iinfo(np.int64).min, *range(1000, 1100)], np.int64))
+    assert got[0] == 0 and (np.diff(got) >= 0).all() and got.max() > 4
