@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -28,7 +27,7 @@ def pair():
 @given(st.text("abcdefghinorstvxyz'éßæøñ日本語 \t\n.,!?0123456789<|>", max_size=400))
 def test_tokens(pair, text):
     coder, library = pair
-    assert np.frombuffer(b"".join(coder.encode(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @QUICK

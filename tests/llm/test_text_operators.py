@@ -38,25 +38,85 @@ def odd_texts() -> list[str]:
 
 def test_tokens_equal_the_library(coder, library):
     for text in odd_texts():
-        ids = np.frombuffer(b"".join(coder.encode(text)), "<u4").tolist()
+        ids = coder.encode(text).tolist()
         expected = library.encode(text, add_special_tokens=False).ids
         assert ids == expected, text[:60]
         assert "".join(coder.decode(ids, joined=True)) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_rows_together_equal_each_alone(coder, monkeypatch):
+    texts = [None, *odd_texts(), ""]
+    monkeypatch.setattr(bpe, "CUT", 500)
+    ids, off = coder.encode_rows(texts)
+    assert len(off) == len(texts) + 1 and off[-1] == len(ids)
+    for k, text in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == coder.encode(text).tolist()
+
+
+def test_long_texts_in_stretches(coder, library):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("ainotéß'1") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "\n", "<|endoftext|>", "!"]) for _ in range(4000))
+    parts = list(bpe.stretches(text, 300))
+    assert "".join(parts) == text and len(parts) > 50
+    assert np.concatenate([coder.encode(p) for p in parts]).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert list(bpe.stretches("x" * 1000, 300)) == ["x" * 1000] and list(bpe.stretches("", 300)) == [""]
+
+
+def test_steps_may_be_forgotten(coder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "STEPS", 50)
+    for text in odd_texts()[:40]:
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_classes_are_the_library_s(coder, library):
+    """A letter between others joins them, white space goes, a number stands alone; a new letter, too, as the library has it."""
+    rng = random.Random(6)
+    points = [*range(1, 0x3000), *rng.sample(range(0x3000, 0xD800), 3000), *rng.sample(range(0xE000, 0x40000), 20_000), 0x323B0, 0x1E6C0, 0x16EA0, 0x1C89, 0xA7CB]
+    for at in range(0, len(points), 50):
+        text = " ".join(f"a{chr(p)}b !{chr(p)}!" for p in points[at : at + 50])
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, points[at]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFKC"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Transducer(str(tmp_path / "t.json"))
+
+
 def test_tokens_come_before_the_word_ends(coder):
     letters = "".join(random.Random(1).choice("ainoter") for _ in range(5000))
-    tokens, seen = coder.word_tokens(letters), 0
-    first = next(tokens)
-    assert first and coder.lookahead <= 64
-    for t in tokens:
-        seen += len(t)
-    assert seen + len(first) == len(letters) + len(coder.end)
+    ids = coder.word_ids(letters.encode())
+    widest = max(len(w[0]) for s in coder._states.values() for w in s.ways)
+    first = [next(ids) for _ in range(20)]
+    assert all(first) and coder.lookahead <= 64 and widest < coder.lookahead
+    spelt = "".join(coder.surface[int(i)] for x in [*first, *ids] for i in np.frombuffer(x, "<u4"))
+    assert spelt == letters + coder.end
+    # What a state holds doesn't grow with the word.
+    state, unsent = coder._start, 0
+    for byte in letters.encode():
+        state, _ = state[byte]
+        unsent = max(unsent, *(len(w[2]) for w in state.ways))
+    assert unsent < 12
+
+
+def test_the_decoder_holds_one_letter_s_beginning(coder):
+    ids = coder.encode("日本 naïve 😀")
+    machine = bpe.Decoder(coder)
+    assert "".join([machine.feed(ids[k : k + 1]) for k in range(len(ids))] + [machine.end()]).split() == ["日本", "naïve", "😀"]
+    assert machine.end() == "" and machine.feed(ids[:0]) == ""
 
 
 def test_plain_text_comes_back(coder):
     text = "the quick brown fox, naïve café 日本"
-    got = "".join(coder.decode(np.frombuffer(b"".join(coder.encode(text)), "<u4")))
+    got = "".join(coder.decode(coder.encode(text)))
     assert got.split() == ["the", "quick", "brown", "fox", ",", "naïve", "café", "日本"]
 
 
@@ -76,6 +136,8 @@ def test_bpe_keeps_columns(spark):
     out = bpe.encoded(df, tokenizer_path())
     assert out.columns == ["doc_id", "text", "memo", "token_ids", "decoded"]
     assert [(r["decoded"], len(r["token_ids"])) for r in out.orderBy("doc_id").collect()] == [("a b ", 2), ("", 0)]
+    none = df.where("doc_id > 9")
+    assert bpe.encoded(none, tokenizer_path()).count() == 0 and bpe.digests(none, tokenizer_path()).count() == 0
 
 
 def test_toxicity_on_held_out_labels(spark):
