@@ -1,17 +1,21 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Training.  Each dictionary holds the parts of words of one class that best cover the
-pieces of five bytes which more of its documents hold, once or often, than the
-other's documents of the same kind (most of all: language) lead to expect.  A text is cut
-into windows of two words; each window is compressed with either dictionary, and the
-difference of the two lengths is its toxicity in bytes.  (Every window begins with
-the same 64 bytes, which end both dictionaries: so even the shortest window is worth
-compressing, and the difference shows single matches.)  A logistic model over a few
-sums of these differences calibrates the threshold.
+Training.  zstandard trains each dictionary on one class's samples, group by group of
+like documents.  A sample is what
+sets a document of the class off from the other's: the stretches of its words that are
+made of pieces of five bytes which more of its class's documents hold, once or often,
+than the other's documents of the same kind (most of all: language) lead to expect.
+How often a stretch comes, and so whether and where zstandard puts it, is up to the
+documents.  A text is cut into windows of two words; each window is compressed with
+either dictionary, and the difference of the two lengths is its toxicity in bytes.
+(Every window begins with the same 64 bytes, which end both dictionaries: so even the
+shortest window is worth compressing, and the difference shows single matches.)  A
+logistic model over a few sums of these differences calibrates the threshold.
 
 Labels are learnt only from rows whose crc32 of the doc_id as text isn't 0 modulo 5,
-from a sample bounded by TOXIC, ORDINARY and SAMPLE_BYTES: the rows with the least
-hashes of their doc_id.  Scoring reads whole texts and nothing but texts.
+from a sample bounded by TOXIC, ORDINARY and SAMPLE_BYTES: the documents with the least
+hashes of their doc_id, those left out that the bytes have no room for; of rows that
+share a doc_id the one whose text has the least hash.  Scoring reads whole texts and nothing but texts.
 
 A text without words, or null, scores 0.  Without labels of both classes
 every score is the share of toxic ones, or 0.  Of labels that repeat a doc_id the
@@ -20,7 +24,6 @@ largest counts; a null label doesn't.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -31,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .bytesops import mix
 from .bytesops import pieces as small
-from .common import set_aside
+from .common import cut, set_aside
 
 #: Bounds of the training sample: documents of each class, bytes of each class's text.
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
-#: Bytes of a dictionary's words, bytes of a piece, and words of a window.
-DICTIONARY_BYTES, PIECE, WORDS = 4096, 5, 2
+#: Bytes of a dictionary for each group of like documents, and of the segments and the substrings that zstandard makes it of; bytes of a piece, and words of a window.
+DICTIONARY_BYTES, SEGMENT, SUBSTRING = 512, 16, 6
+PIECE, WORDS = 5, 2
 #: A document holds a piece so many times or more: each is counted by itself.
 OFTEN = 1, 2, 4
 #: A piece counts if more documents hold it than expected by this much, as a logarithm, and beyond chance (a likelihood ratio, for some 10^5 pieces tried).
@@ -44,15 +48,15 @@ LEAST_CONTRAST, SURE = 2.0, 30.0
 #: Groups of like documents at most, documents that a group has at least, bytes of a text that its group is told by.
 GROUPS, MEMBERS, STRETCH = 8, 20, 1 << 14
 FOLDS = 5
+#: Bytes by which a window's lengths differ, beyond which differences are summed.
+OVER = 1, 2, 4
 
 _HEAD = bytes(range(128, 192))
+# Fixed value: the offsets 1, 4 and 8, with which the tables of a trained dictionary end.
+_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 _FOREVER = 1 << 60
 
 
-def pieces(word: bytes) -> set[bytes]:
-    return {word[i : i + PIECE] for i in range(len(word) - PIECE + 1)}
-
-
 def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
@@ -100,11 +104,10 @@ def _times_log(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1) / np.maximum(expected, 1e-9))
 
 
-def marks(own: list[str], other: list[str]) -> dict[bytes, float]:
+def marks(own: list[str], other: list[str], group: np.ndarray) -> dict[bytes, float]:
     """Pieces that occur in more documents of `own`, once or often, than documents like them of `other` lead to expect: their worth."""
     if not own:
         return {}
-    group = alike(own, other)
     # Pieces that three documents hold; no others can be told from chance.
     held, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for a in range(0, len(own), 256):
@@ -138,35 +141,35 @@ def marks(own: list[str], other: list[str]) -> dict[bytes, float]:
     return {int(held[i]).to_bytes(PIECE, "big"): float(best[i]) for i in np.flatnonzero(best)}
 
 
-def chosen_words(own: list[str], other: list[str]) -> list[bytes]:
-    """Words of `own` that cover what sets it off, the best first."""
-    worth = marks(own, other)
-    value = lambda w: sum(worth.get(p, 0) for p in pieces(w))
-    seen = {b" " + w for text in own for w in words(text)} if worth else set()
-    heap = [(-v, w) for w in seen if (v := value(w)) > 0]
-    heapq.heapify(heap)
-    out: list[bytes] = []
-    size = 0
-    while heap and size < DICTIONARY_BYTES:
-        v, w = heapq.heappop(heap)
-        now = value(w)
-        if now <= 0:
-            continue
-        if now < -v - 1e-9:  # some of its pieces have been covered since
-            heapq.heappush(heap, (-now, w))
-            continue
-        marked = [i for i in range(len(w) - PIECE + 1) if w[i : i + PIECE] in worth]
-        part = w[marked[0] : marked[-1] + PIECE]  # what else the word is made of says nothing
-        out.append(part)
-        size += len(part)
-        for p in pieces(w):
-            worth.pop(p, None)
+def stretches(text: str, worth: dict[bytes, float]) -> list[bytes]:
+    """Of each word of a text that has marked pieces, the part from the first to the last of them."""
+    out = []
+    for w in words(text):
+        w = b" " + w
+        at = [i for i in range(len(w) - PIECE + 1) if w[i : i + PIECE] in worth]
+        if at:
+            out.append(w[at[0] : at[-1] + PIECE])
     return out
 
 
+def trained(samples: list[bytes]) -> bytes:
+    """The content of the dictionary that zstandard makes of samples: what follows its tables, which end with three offsets."""
+    try:
+        raw = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=SUBSTRING).as_bytes()
+    except zstandard.ZstdError:  # it refuses samples that are too few or too short: they are few enough to be the dictionary
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY_BYTES:]
+    return raw[raw.index(_OFFSETS) + len(_OFFSETS) :]
+
+
 def dictionary(own: list[str], other: list[str]) -> bytes:
-    """A raw dictionary; the best words are last, where matches cost least."""
-    return b"".join(reversed(chosen_words(own, other))) + _HEAD
+    """What zstandard trains on what sets `own` off from `other`, group by group of like texts, so that a rare kind has its part; its head alone if nothing does."""
+    group = alike(own, other)
+    worth = marks(own, other, group)
+    samples: dict[int, list[bytes]] = {}
+    for g, text in zip(group.tolist(), own if worth else (), strict=False):
+        if found := stretches(text, worth):
+            samples.setdefault(g, []).append(b"".join(found))
+    return b"".join([trained(samples[g]) for g in sorted(samples)]) + _HEAD
 
 
 class Compressor:
@@ -193,8 +196,8 @@ def features(excess: np.ndarray) -> list[float]:
     """What the windows' differences come to, whatever the number of windows."""
     n = len(excess)
     top = np.sort(excess)[::-1][:2]
-    over3, over5 = np.maximum(excess - 3, 0).sum(), np.maximum(excess - 5, 0).sum()
-    return [1.0, float(top[0]), float(top[-1]), float(over3 / math.sqrt(n)), float(over5 / math.sqrt(n)), math.log1p(float(over3)), math.log1p(float(over5)), math.log(n)]
+    over = [float(np.maximum(excess - k, 0).sum()) for k in OVER]
+    return [1.0, float(top[0]), float(top[-1]), *(x / math.sqrt(n) for x in over), *(math.log1p(x) for x in over), math.log(n)]
 
 
 class Model:
@@ -251,16 +254,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled documents that aren't held out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     sample: list[list[str]] = []
+    spark = docs.sparkSession
     for mark, most in ((1, TOXIC), (0, ORDINARY)):
         chosen = marks.where(F.col("_toxic") == mark).orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull()).select("doc_id", "text")
-        texts: dict[str, None] = {}
-        size = 0
-        for _, text in sorted(rows.toLocalIterator(), key=lambda r: (int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]), r[1])):
-            if size < SAMPLE_BYTES and text not in texts:
-                texts[text] = None
-                size += len(text)
-        sample.append(list(texts))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
+        # One text for each id: what comes to the driver is bounded in rows, then in bytes, before it comes.
+        held = cut(spark, rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+        fitting, size = [], 0
+        sizes = held.select("doc_id", F.octet_length("text").alias("n")).collect()
+        for i, n in sorted(sizes, key=lambda r: int(mix(np.array([r[0]], np.int64).view(np.uint64))[0])):
+            if size + n <= SAMPLE_BYTES:
+                fitting.append(i)
+                size += n
+        found = {r["doc_id"]: r["text"] for r in held.where(F.col("doc_id").isin(fitting)).collect()} if fitting else {}
+        sample.append(list(dict.fromkeys(found[i] for i in fitting)))
     return Model(*sample)
 
 

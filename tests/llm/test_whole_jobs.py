@@ -32,8 +32,8 @@ def test_a_rare_language_has_its_marks(few):
     text = lambda pool, *more: " ".join(rng.sample([*rng.choices(pool, k=60), *more], 60 + len(more)))
     toxic = [text(one, "scoundrel") for _ in range(1000)] + [text(two, *["klmnoklmno"] * 5) for _ in range(few)]
     ordinary = [text(one) for _ in range(1000)] + [text(two, *["klmnoklmno"] * (k % 3 == 0)) for k in range(400)]
-    assert any(b"klmno" in w for w in toxicity.chosen_words(toxic, ordinary))
-    assert not any(b"klmno" in w for w in toxicity.chosen_words(ordinary, toxic))
+    assert b"klmno" in toxicity.dictionary(toxic, ordinary) and b"scoundr" in toxicity.dictionary(toxic, ordinary)
+    assert b"klmno" not in toxicity.dictionary(ordinary, toxic)
 
 
 def test_near_copies_are_of_exact_similarity(spark, monkeypatch):
