@@ -17,9 +17,13 @@ Neighbouring strings with one anchor are a segment.
    and neighbours in its order that share a whole string are one string's occurrences.
 3. Later occurrences meet the documents again, which give the remaining bytes.
 
-An anchor with over HOT different segments in one task's rows is hot: its strings are
-settled one by one, by two 64-bit hashes in buckets of their own, where a task sends
-one row of a string at most; so no task gets a frequent passage's surroundings.
+What goes to a suffix array is one of each different segment: its copies are the same
+suffixes again and need no order.  An anchor with more different segments than a text
+to sort has room for (HOT, counted over all tasks; or `hot_from` in one task's rows) is
+hot: its strings are anchors of their own, each in the bucket that its two 64-bit
+hashes give, where a task sends one row of a string at most.  A group of equal strings
+needs no order either.  So no task gets a frequent passage's surroundings, however many
+tasks see few of them each.
 
 Documents that share a doc_id are told apart by a hash of their texts, in that order;
 fully equal rows count as one document.  A null doc_id comes first.  A null text is
@@ -44,10 +48,12 @@ from .repeats import doc_buckets, ids, packed, placed, split_later, text_hashes,
 from .suffixarray import suffix_array
 
 WIDTH, ANCHOR = 100, 40
-#: Segments that a task holds before it sends them, and different ones of an anchor from which it is hot.
-FLUSH, HOT = 250_000, 64
-#: Letters of one text to sort, about.
-TEXT = 24_000
+#: Segments that a task holds before it sends them, and the bytes of text that these are of, about.
+FLUSH, FLUSH_BYTES = 250_000, 8 << 20
+#: Letters of one text to sort, about; different segments of an anchor, in one task's rows and in all, beyond which it is hot.
+TEXT, HOT_ONCE, HOT = 24_000, 64, 160
+#: Rows of one anchor that a bucket gets at most, about.
+ANCHOR_ROWS = 1 << 21
 
 # Kinds of rows on the way: segments' hashes, hot anchors, later occurrences, wanted segments, segments' bytes, single strings.
 SEGMENT, MARK, LATER, WANTED, BYTES, STRING = range(6)
@@ -143,7 +149,12 @@ def _as_strings(data, off, doc, tie, at, buckets) -> list[tuple]:
     return rows + _deal(LATER, -1 - doc_buckets(later[0], buckets), *later, np.full(len(later[0]), WIDTH))
 
 
-def sent_segments(docs: DataFrame, buckets: int, hot_from: int = HOT) -> DataFrame:
+def hot_once(total_bytes: int) -> int:
+    """Different segments of an anchor in one task's rows beyond which it is hot: fewer if there are many tasks' rows."""
+    return max(1, min(HOT_ONCE, ANCHOR_ROWS // (1 + total_bytes // FLUSH_BYTES)))
+
+
+def sent_segments(docs: DataFrame, buckets: int, hot_from: int) -> DataFrame:
     """Step 1's rows. Buckets below zero are buckets of documents."""
 
     def run(batches):
@@ -193,7 +204,7 @@ def sent_segments(docs: DataFrame, buckets: int, hot_from: int = HOT) -> DataFra
 _SEGMENT_TYPES = (np.uint64, np.uint64, np.int64, np.uint32, np.int64, np.int64)
 
 
-def settled_segments(sent: DataFrame, buckets: int) -> DataFrame:
+def settled_segments(sent: DataFrame, buckets: int, hot_in_all: int = HOT) -> DataFrame:
     """Step 1's end: later segments, and the segments whose bytes are wanted, by bucket of documents."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -211,6 +222,7 @@ def settled_segments(sent: DataFrame, buckets: int) -> DataFrame:
         if len(a):
             g = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
             distinct = np.bincount(g, weights=new[~later])[g]  # equal rows of one document aren't different segments
+            hot |= distinct > hot_in_all
             want = hot | (distinct > 1)
             k = keep[want]
             rows += _deal(WANTED, -1 - doc_buckets(doc[k], buckets), doc[k], tie[k], at[k], count[k], anchor[k], hot[want].astype(np.uint8))
@@ -282,7 +294,7 @@ def sorted_later(anchor, doc, tie, at, count, place, data) -> tuple[np.ndarray,
     new = np.append(True, a[1:] != a[:-1])
     size = count[order] + WIDTH - ANCHOR + 1  # letters of a segment: its bytes, the anchor's as one, and an end
     reach = np.cumsum(size)
-    # A text is some anchors' segments; one anchor is never divided.
+    # A text is some anchors' segments; one anchor is never divided, as it has HOT of them at most.
     heads = np.flatnonzero(new)
     start = 0
     cuts = [0]
@@ -371,12 +383,13 @@ def sorted_segments(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, _MOVED)
 
 
-def covered(docs: DataFrame, buckets: int, result, schema: T.StructType, hot_from: int = HOT) -> DataFrame:
+def covered(docs: DataFrame, total_bytes: int, result, schema: T.StructType, hot_from: int | None = None, hot_in_all: int = HOT) -> DataFrame:
     """result(rows, texts, runs) for each bucket of documents, with each row's runs of removed bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    buckets = bucket_count(total_bytes)
     plain = texts_and_ids(docs)
-    settled = settled_segments(sent_segments(plain, buckets, hot_from), buckets)
+    settled = settled_segments(sent_segments(plain, buckets, hot_once(total_bytes) if hot_from is None else hot_from), buckets, hot_in_all)
     moved = placed(docs, buckets)
     later = sorted_segments(wanted_bytes(moved, settled, buckets), buckets)
     empty = to_arrow_schema(schema).empty_table()
@@ -413,26 +426,27 @@ _DIGEST = T.StructType(
 )
 
 
-def digests(docs: DataFrame, hot_from: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row."""
+def digests(docs: DataFrame, hot_from: int | None = None, hot_in_all: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row.
+
+    hot_from, hot_in_all: different segments of an anchor beyond which it is hot; they don't change the result.
+    """
     docs = texts_and_ids(docs)
-    buckets = bucket_count(text_bytes(docs))
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         cols = [[len(t or b"") for t in texts], [int((r[1] - r[0]).sum()) for r in runs], [len(r[0]) for r in runs], [hashlib.sha256(remaining(t or b"", r)).hexdigest() for t, r in zip(texts, runs, strict=True)]]
         return pa.table([rows["doc_id"], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=_DIGEST.names)
 
-    return covered(docs, buckets, result, _DIGEST, hot_from)
+    return covered(docs, text_bytes(docs), result, _DIGEST, hot_from, hot_in_all)
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """Every row and column of docs, removed bytes taken out of text; a character cut in two loses its rest."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     schema = docs.schema
-    buckets = bucket_count(text_bytes(docs))
 
     def result(rows: pa.Table, texts, runs) -> pa.Table:
         column = pa.array([None if t is None else remaining(t, r).decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)], pa.string())
         return pa.table([column if name == "text" else rows[name] for name in schema.names], names=schema.names)
 
-    return covered(docs, buckets, result, schema)
+    return covered(docs, text_bytes(docs), result, schema)

@@ -76,10 +76,10 @@ def test_suffix_array_is_sorted(seed):
     assert suffixarray.suffix_array(big).tolist() == sorted(range(500), key=lambda i: big[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_byte_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "hot_in_all"), [(None, 160), (1, 160), (64, 2), (2, 3)])
+def test_byte_dedup(spark, hot, hot_in_all):
     docs = odd_documents()
-    got = {r["doc_id"]: r for r in bytededup.digests(frame(spark, docs), hot_from=hot).collect()}
+    got = {r["doc_id"]: r for r in bytededup.digests(frame(spark, docs), hot, hot_in_all).collect()}
     expected = later_starts({i: (t or "").encode() for i, t in docs}, 100)
     texts = dict(docs)
     for i, covered in expected.items():
@@ -90,6 +90,44 @@ def test_byte_dedup(spark, hot):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(covered), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_an_anchor_that_no_task_sees_often_is_divided(spark):
+    """A passage in few surroundings in each of many tasks, but in many of all."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(90))
+    word = lambda n: "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(n))
+    docs = [(i, word(80) + passage + word(80)) for i in range(120)] + [(200 + i, word(30) + passage + " the same end of it" + word(20)) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(20)
+    expected = {i: sum(c) for i, c in later_starts({i: t.encode() for i, t in docs}, 100).items()}
+    for hot_in_all in (10, 160):
+        assert {r["doc_id"]: r["n_removed"] for r in bytededup.digests(df, None, hot_in_all).collect()} == expected
+    assert sum(expected.values()) > 500
+    assert bytededup.hot_once(1 << 20) == 64 and bytededup.hot_once(100 << 40) == 1
+
+
+def test_null_and_repeated_ids(spark):
+    """A null id comes first; rows that share an id come in the order of their texts' hashes, and equal rows count once."""
+    base = [t for _, t in odd_documents(5, 30)]
+    rng = random.Random(2)
+    docs = [(rng.choice([None, None, 5, 5, 7, 100 + k]), t) for k, t in enumerate(base)]
+    docs += [docs[3], docs[4], (None, base[0]), (5, base[0]), (None, None), (5, "")]
+    key = lambda i, t: (-1 if i is None else i, xxhash.xxh32_intdigest((t or "").encode()))
+    df = frame(spark, docs)
+    units = {key(i, t): (t or "").encode() for i, t in docs}
+    rows = lambda found: sorted(found, key=str)
+    marked = {k: sum(c) for k, c in later_starts(units, 100).items()}
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in bytededup.digests(df).collect()]
+    assert rows(got) == rows((i, len((t or "").encode()), marked[key(i, t)]) for i, t in docs)
+    words = {k: re.findall(rb"[^\x20\x09-\x0D]+", t) for k, t in units.items()}
+    marked = {k: sum(c) for k, c in later_starts(words, 20).items()}
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substringdedup.digests(df).collect()]
+    assert rows(got) == rows((i, len(words[key(i, t)]), marked[key(i, t)]) for i, t in docs)
+    # SimHash: rows of one id are one document, so all of a null id are in one component, whose least id is null.
+    got = simhash.digests(df).collect()
+    assert len(got) == len(docs) and all(r["component_id"] is None for r in got if r["doc_id"] is None)
+    for i in (5, 7):
+        assert len({r["component_id"] for r in got if r["doc_id"] == i}) <= 1
+
+
 def test_byte_dedup_keeps_other_columns(spark):
     docs = odd_documents(3, 20)
     df = frame(spark, docs, extra=True)
