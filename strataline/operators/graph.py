@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .relational import top_per
 
 #: Rounds between checkpoints: a round's plan holds all rounds since.
 EVERY = 4
+#: Edges up to which one task orders a graph; more are peeled level by level over the cluster until so few are left.
+SMALL_EDGES = 1 << 19
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; a folder of our own only where none is named."""
+    """Lineage cut in the shared checkpoint folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import os
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"checkpoints-{sc.applicationId}"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -59,6 +59,8 @@ def closure_count(edges: DataFrame, start, depth: int) -> DataFrame:
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, fixed_rounds: int | None = None) -> DataFrame:
     """node, rank: power iteration, dangling rank spread over all nodes; uniform if it doesn't converge.
 
+    Convergence is tested every few rounds, so there may be up to three more than needed.
+
     fixed_rounds: exactly so many rounds, without a test for convergence.
     """
     e = _cut(edges.select("src", "dst").distinct())
@@ -79,41 +81,80 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance
             .crossJoin(F.broadcast(loose))  # one row
             .select("node", (F.lit(alpha) * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("rank"), "dangling", "before")
         )
-        if fixed_rounds is None or step % EVERY == EVERY - 1 or step == steps - 1:
+        # Convergence is looked at where the rounds are written down anyway.
+        written = step % EVERY == EVERY - 1 or step == steps - 1
+        if written:
             after = _cut(after)
-        if fixed_rounds is None:
-            change = after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
-            rank = after.drop("before")
-            if change < n * tolerance:
-                return rank.select("node", "rank")
-            continue
         rank = after.drop("before")
+        if written and fixed_rounds is None and after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+            return rank.select("node", "rank")
     return rank.select("node", "rank") if fixed_rounds is not None else nodes.withColumn("rank", F.lit(1.0 / n))
 
 
-def levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """node, level: the round in which all that a node waits for is done; nodes in or behind cycles have -1.
 
-    Edges lead from what comes first to what waits for it.
+    Edges lead from what comes first to what waits for it; those from a node to itself
+    don't count.  However deep a graph is, its order is found: levels are peeled off
+    over the cluster while more than SMALL_EDGES edges are left, and one task orders
+    the rest, whose size is known then.
     """
     e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
     left = _cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
     done = None
     level = 0
-    while level < most:
-        waiting = e.select(F.col("dst").alias("node")).distinct()
-        ready = _cut(left.join(waiting, "node", "left_anti"))
+    while e.count() > SMALL_EDGES:
+        ready = _cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
-            break
+            rest = left.withColumn("level", F.lit(-1))
+            return rest if done is None else done.unionAll(rest)
         part = ready.withColumn("level", F.lit(level))
         done = part if done is None else done.unionAll(part)
+        if level % EVERY == EVERY - 1:
+            done = _cut(done)
         left = _cut(left.join(ready, "node", "left_anti"))
         e = _cut(e.join(ready, e.src == ready.node, "left_anti"))
         level += 1
-    rest = left.withColumn("level", F.lit(-1))
+    rest = _ordered(e, level)
+    # What no edge is left of waits for nothing more.
+    free = left.join(rest.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
+    rest = rest.unionAll(free)
     return rest if done is None else done.unionAll(rest)
 
 
+def _ordered(edges: DataFrame, first: int) -> DataFrame:
+    """`levels` of the nodes of few edges, from `first` on, in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        src, dst = [], []
+        for b in batches:
+            src += b.column(0).to_pylist()
+            dst += b.column(1).to_pylist()
+        after: dict = {}
+        waits = dict.fromkeys(src, 0)
+        for x, y in zip(src, dst, strict=True):
+            after.setdefault(x, []).append(y)
+            waits[y] = waits.get(y, 0) + 1
+        found = dict.fromkeys(waits, -1)
+        ready, level = [x for x, n in waits.items() if n == 0], first
+        while ready:
+            more = []
+            for x in ready:
+                found[x] = level
+                for y in after.get(x, ()):
+                    waits[y] -= 1
+                    if waits[y] == 0:
+                        more.append(y)
+            ready, level = more, level + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), to_arrow_type(node)), pa.array(list(found.values()), pa.int32())], ["node", "level"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    node = edges.schema["src"].dataType
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, level int")
+
+
 def topological_order(edges: DataFrame) -> DataFrame:
     """node, level: first what waits for nothing, last what is in cycles; equals by name."""
     return levels(edges).orderBy((F.col("level") < 0), "level", "node")

@@ -27,6 +27,18 @@ def session(master: str = "local[*]", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for driver and executors; without one, a folder of our own, where they are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that they need no copy of it."""
     sc = spark.sparkContext
