@@ -46,9 +46,9 @@ from .bytesops import pieces
 from .common import batch
 
 #: Pairs of tokens that are remembered, and steps of the transducer; all are forgotten when there are more.
-PAIRS, STEPS = 500_000, 1_000_000
+PAIRS, STEPS = 200_000, 300_000
 #: Letters of text whose words are encoded together, letters that are cut into words at once, and ids decoded at once.
-SLICE, CUT, IDS = 1 << 24, 1 << 20, 1 << 16
+SLICE, CUT, IDS = 1 << 22, 1 << 20, 1 << 16
 
 # The words that this module can find, as a tokenizer file writes them; white space; what an apostrophe takes with it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
