@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Bytes of text that one hash bucket of documents is meant to hold.
 BUCKET_BYTES = 4 << 20
@@ -35,14 +32,8 @@ def bucket_count(total_bytes: int, each: int = BUCKET_BYTES) -> int:
     return max(LEAST_BUCKETS, -(-total_bytes // each))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+#: The shared folder for what must outlive executors.
+checkpoint_dir = shared_folder
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ page headers and footers, sidebars, notices, adverts, forms, scripts, styles, re
 comments) are known by their elements, roles and names, and hold no text.  Every
 other node gets its composite density: characters for each tag, adjusted by how many
 of the characters and tags are links'.  A node's density sum is its children's
-densities added up.  The threshold is the least density on the path from the densest
-node to the body; under each node that reaches it, the subtree with the largest
-density sum is taken as main text.
+densities added up; elements inside a line (bold, links, line breaks) are text of
+their block and no children of their own here.  The threshold is the least density on
+the path from the densest node to the body.  The subtree with the largest density sum
+is main text, and so is what lies beside its path to the body and reaches the
+threshold.  An article or main element around the subtree is taken whole if it reaches
+the threshold itself; pages without one are read by densities alone.
 
 Null and empty pages, and pages without text, give an empty text.  Blocks keep page
 order, white space inside a block becomes one space, and two newlines join blocks.
+Rows that repeat, or whose page_id is null, give a result each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -70,13 +74,14 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "skip", "tag", "tags", "total")
+    __slots__ = ("block", "chars", "children", "density", "link_chars", "link_tags", "skip", "tag", "tags", "total")
 
     def __init__(self, tag: str, skip: int = 0):
         self.tag, self.skip = tag, skip
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag in _BLOCKS
 
 
 #: Why a node holds no article text: what it is, or only what it is called.
@@ -128,13 +133,30 @@ def parse(source: str) -> Node:
     stack = [root]
     at, n = 0, len(source)
     depth = 0  # of article and main
+    opened: dict[str, list[int]] = {}  # where in the stack the elements of each name are
+    blocks_at: list[int] = []  # where in the stack the blocks are
+
+    def push(node: Node) -> None:
+        nonlocal depth
+        opened.setdefault(node.tag, []).append(len(stack))
+        if node.block:
+            blocks_at.append(len(stack))
+        depth += node.tag in ("article", "main")
+        stack.append(node)
 
     def pop_to(k: int) -> None:
         nonlocal depth
         for x in stack[k:]:
             depth -= x.tag in ("article", "main")
+            opened[x.tag].pop()
+        while blocks_at and blocks_at[-1] >= k:
+            blocks_at.pop()
         del stack[k:]
 
+    def highest(tags) -> int:
+        """Where in the stack the innermost open element of these names is; 0 if none."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     while at < n:
         m = _TOKEN.search(source, at)
         stop = m.start() if m else n
@@ -146,7 +168,7 @@ def parse(source: str) -> Node:
         slash, tag, rest = m[1], m[2], m[3]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3])
+                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
                 continue
             loose = _LOOSE.match(m[0])
             if not loose:
@@ -154,37 +176,28 @@ def parse(source: str) -> Node:
             slash, tag, rest = loose[1], loose[2], m[0][loose.end() : -1]
         tag = tag.lower()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if tag not in _BLOCKS and stack[k].tag in _BLOCKS:
-                    break  # an inline end tag doesn't end a block
+            k = highest((tag,))
+            # An inline end tag doesn't end a block.
+            if k and (tag in _BLOCKS or not blocks_at or blocks_at[-1] < k):
+                pop_to(k)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and all(x.tag != "body" for x in stack):
+            if tag == "body" and not opened.get("body"):
                 pop_to(1)
                 stack[-1].children.append(node := Node("body"))
-                stack.append(node)
+                push(node)
             continue
         if tag in _P_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in _P_BOUNDS:
-                    break
+            k = highest(("p",))
+            if k > highest(_P_BOUNDS):
+                pop_to(k)
         if tag in _CLOSES:
             ends, bounds = _CLOSES[tag]
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ends:
-                    lowest = k
-            if lowest is not None:
+            edge = highest(bounds)
+            lowest = min((x for t in ends for x in opened.get(t, ()) if x > edge), default=0)
+            if lowest:
                 pop_to(lowest)
-        if tag == "head" and any(x.tag == "body" for x in stack):
+        if tag == "head" and opened.get("body"):
             continue
         if stack[-1].tag == "head" and tag not in _RAW and tag not in _VOID:
             pop_to(len(stack) - 1)
@@ -197,8 +210,7 @@ def parse(source: str) -> Node:
             at = end.end() if end else n
             node.skip = KNOWN
             continue
-        stack.append(node)
-        depth += tag in ("article", "main")
+        push(node)
     return root
 
 
@@ -224,6 +236,7 @@ def measure(body: Node) -> list[Node]:
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
+                node.block |= c.block
         if node.tag == "a":
             node.link_chars = node.chars
     whole, linked = max(1, body.chars), body.link_chars
@@ -234,8 +247,9 @@ def measure(body: Node) -> list[Node]:
             ratio = node.chars / max(1, node.link_chars) * max(1, node.tags) / max(1, node.link_tags)
             node.density = node.chars / max(1, node.tags) * max(0.0, math.log(max(ratio, 1e-9)) / base)
     for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.skip)
-        if not node.total or any(isinstance(c, str) and c.strip() for c in node.children):
+        inner = [c.density for c in node.children if isinstance(c, Node) and not c.skip and c.block]
+        node.total = sum(inner)
+        if not inner or any(c.strip() if isinstance(c, str) else c.chars and not c.skip and not c.block for c in node.children):
             node.total = max(node.total, node.density)  # text of its own counts as a child
     return nodes
 
@@ -256,18 +270,18 @@ def select(body: Node) -> list[Node]:
     best: list[Node] = []
 
     def largest(top: Node) -> Node:
-        return max(_walk(top), key=lambda x: x.total)
+        return max((x for x in _walk(top) if x.block or x is top), key=lambda x: x.total)
 
     chief = largest(body)
     up = chief
     while up is not body:  # an article is one whole
-        if up.tag in ("article", "main"):
+        if up.tag in ("article", "main") and up.density >= threshold:
             chief = up
         up = parents[id(up)]
     # The chief subtree, and what lies beside its path to the body and is as dense.
     taken = {id(chief)}
     at = chief
-    while at is not body and chief.tag not in ("article", "main"):
+    while at is not body:
         parent = parents[id(at)]
         for c in parent.children:
             if isinstance(c, Node) and not c.skip and c is not at and c.chars and c.density >= threshold:

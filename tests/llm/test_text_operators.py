@@ -293,3 +293,73 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     given = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.drop_toxic(spark, given, str(tmp_path)).columns == given.columns
+
+
+def plain_densities(page: str) -> dict[str, float]:
+    """Composite text density of each element of a well-formed page, by its id, from the definition alone."""
+    import math
+    import xml.etree.ElementTree as ET
+
+    body = ET.fromstring(page)
+
+    def text(e, links):
+        if e.tag == "a":
+            links = True
+        parts = [(e.text or "", links)] + [x for c in e for x in [*text(c, links), (c.tail or "", links)]]
+        return parts
+
+    count = lambda parts, only: sum(len(" ".join(t.split())) for t, a in parts if a or not only)
+    whole = text(body, False)
+    out = {}
+    for e in body.iter():
+        mine = text(e, False)
+        chars, linked = count(mine, False), count(mine, True)
+        if not chars:
+            continue
+        tags, link_tags = sum(1 for _ in e.iter()) - 1, sum(1 for x in e.iter("a") if x is not e)
+        base = math.log(chars / max(1, chars - linked) * linked + count(whole, True) / count(whole, False) * chars + math.e)
+        ratio = chars / max(1, linked) * max(1, tags) / max(1, link_tags)
+        out[e.get("id")] = chars / max(1, tags) * max(0.0, math.log(ratio) / base)
+    return out
+
+
+WELL_FORMED = """<body id="b"><div id="top"><a id="l1">home page</a><a id="l2">other page</a></div><div id="c"><h1 id="h">A heading of some words</h1>
+<p id="p1">Many plain words stand here and go on for quite a while, <a id="l3">with a link</a> in them.</p><p id="p2">A second <b id="bold">bold</b> paragraph that is as long as the one before it, or nearly so.</p></div>
+<div id="tail"><p id="p3"><a id="l4">one</a> <a id="l5">two</a> <a id="l6">three</a></p></div></body>"""
+
+
+def test_densities_are_those_of_the_definition():
+    expected = plain_densities(WELL_FORMED)
+    import re
+
+    order = re.findall(r'id="(\w+)"', WELL_FORMED)
+    body = htmltext._find(htmltext.parse(WELL_FORMED), "body")
+    nodes = htmltext.measure(body)
+    assert len(nodes) == len(order)
+    for node, name in zip(nodes, order, strict=True):
+        assert node.density == pytest.approx(expected[name]), name
+    # The subtree with the largest sum of children's densities, worked out by hand from those.
+    sums = {"b": expected["top"] + expected["c"] + expected["tail"], "c": expected["h"] + expected["p1"] + expected["p2"], "tail": expected["p3"]}
+    assert max(sums, key=sums.get) == "c"
+    assert htmltext.main_text(WELL_FORMED).split("\n\n")[0] == "A heading of some words" and "home page" not in htmltext.main_text(WELL_FORMED)
+
+
+def test_an_article_is_found_without_its_name(spark):
+    import re
+
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        assert htmltext.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])) == htmltext.main_text(r["html"]), r["page_id"]
+
+
+def test_broken_pages():
+    assert htmltext.main_text("<p><![CDATA[hello world") == "hello world" and htmltext.main_text("<p><![CDATA[a]]> b") == "a b"
+    assert htmltext.main_text("<i>" * 30_000 + "x" + "</b>" * 30_000) == "x"
+    assert htmltext.main_text("<div>" * 3000 + "deep " * 30 + "</div>" * 3000).startswith("deep deep")
+
+
+def test_pages_with_odd_rows(spark):
+    rows = [(1, "u", "<p>some words</p>", "x"), (1, "u", "<p>some words</p>", "x"), (None, None, None, None), (2, None, "", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted([tuple(r) for r in htmltext.extracted(df).collect()], key=str)
+    assert got == sorted([(1, "u", "some words", 10), (1, "u", "some words", 10), (None, None, "", 0), (2, None, "", 0)], key=str)
+    assert htmltext.extracted(df.where("page_id > 9")).count() == 0
