@@ -6,14 +6,21 @@ some, is one window.  A text is normalised to its words, one space between, and
 scanned once; matches are carried back to word numbers and to offsets in the
 original text.
 
-The items of a pass have a proven bound (`PASS_BYTES` of text); more items make
-more passes over all rows, whose hits are united.  A null text has no words and no
-hits; a null or wordless item has no windows.
+The items of a pass are bounded (`PASS_BYTES` of text, measured before any is fetched;
+an item that is longer by itself makes a longer pass).  Items within the bound, as test
+sets are, make one pass, and no row moves.  More are dealt to passes by a hash; the
+driver holds one pass at a time, each pass's hits are written down by a row's number,
+and rows meet their hits by that number, never by their texts.
+
+A null text has no words and no hits; a null or wordless item, or an empty benchmark,
+has no windows.  Rows that repeat, or share a null or other doc_id, each get their own
+hits.  A null item_id is an empty one.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
@@ -22,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import pieces
-from .common import set_aside
+from .common import cut, free_name, set_aside
 
 WINDOW = 10
-#: Bytes of items that one pass holds in an automaton.
-PASS_BYTES = 16 << 20
+#: Bytes of items that one pass holds in an automaton, which takes some hundred times as many in every worker.
+PASS_BYTES = 1 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -83,53 +90,65 @@ def scan(found, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]
     return len(w), [(a, b) for a, b in runs], items
 
 
-def _passes(benchmark: DataFrame):
-    """The items in lists of at most PASS_BYTES of text; at least one list."""
-    held, size = [], 0
-    for key, text in benchmark.selectExpr("cast(item_id as string)", "cast(text as string)").toLocalIterator():
-        held.append((key or "", text))
-        size += len((text or "").encode())
-        if size >= PASS_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+def _items(benchmark: DataFrame, passes: int) -> DataFrame:
+    """key, text and pass of each item."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("pass", F.pmod(F.xxhash64("key", "text"), F.lit(passes)))
+
+
+#: The automaton that this worker used last, by the pass it is of.
+_held: dict[str, object] = {}
+
+
+def _scanned(rows: DataFrame, items: list[tuple[str, str | None]], window: int, new: list[str]) -> DataFrame:
+    """rows with the hits of these items."""
+    sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+    def run(batches):
+        name, own = sent.value
+        if name not in _held:
+            _held.clear()
+            _held[name] = automaton(own, window)
+        found = _held[name]
+        for b in pieces(batches):
+            got = []
+            for text in b.column(b.schema.get_field_index("text")).to_pylist():
+                n, runs, keys = scan(found, text)
+                spans = []
+                if runs:
+                    at = [m.span() for m in _WORD.finditer(text)]
+                    spans = [{"start": at[a][0], "end": at[z - 1][1]} for a, z in runs]
+                got.append((n, [{"first": a, "after": z} for a, z in runs], spans, sorted(keys)))
+            cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, _HITS_ARROW, strict=True))], [*b.schema.names, *new])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string(_HITS).fields]))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row and column of docs with n_words, runs (of word numbers), spans (of original characters) and items.
 
-    Columns of docs that have these names are replaced.
+    Columns of docs that have these names are replaced.  Of several passes, runs and
+    spans are those of each, so they may overlap.
     """
     new = ["n_words", "runs", "spans", "items"]
+    spark = docs.sparkSession
     keep = docs.drop(*new).withColumn("text", F.col("text").cast("string"))
-    passes = list(_passes(benchmark))
-    out = None
-    for items in passes:
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, sent=sent):
-            found = automaton(sent.value, window)
-            for b in pieces(batches):
-                got = []
-                for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                    n, runs, keys = scan(found, text)
-                    spans = []
-                    if runs:
-                        at = [m.span() for m in _WORD.finditer(text)]
-                        spans = [{"start": at[a][0], "end": at[z - 1][1]} for a, z in runs]
-                    got.append((n, [{"first": a, "after": z} for a, z in runs], spans, sorted(keys)))
-                cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, _HITS_ARROW, strict=True))], [*b.schema.names, *new])
-
-        schema = T.StructType([*keep.schema.fields, *T._parse_datatype_string(_HITS).fields])
-        one = keep.mapInArrow(run, schema)
-        out = one if out is None else out.unionAll(one)
-    if len(passes) == 1:
-        return out
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, -(-size // PASS_BYTES))
+    items = _items(benchmark, passes)
+    if passes == 1:
+        return _scanned(keep, [tuple(r) for r in items.select("key", "text").collect()], window, new)
+    row = free_name([*keep.columns, *new], "row")
+    numbered = cut(spark, keep.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for k in range(passes):
+        one = _scanned(numbered.select(row, "text"), [tuple(r) for r in items.where(F.col("pass") == k).select("key", "text").collect()], window, new).drop("text")
+        # Each pass gives every row's number of words; the first one's counts.
+        one = cut(spark, one if k == 0 else one.where(F.size("runs") > 0))
+        found = one if found is None else found.unionAll(one)
     united = (F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in new[1:])
-    merged = out.groupBy(*keep.columns).agg(F.first("n_words").alias("n_words"), *united, F.count("*").alias("_n"))
-    # Equal rows were counted together: each comes back as often as it was there.
-    return merged.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("_n") / len(passes)).cast("long")))).drop("_n")
+    return numbered.join(found.groupBy(row).agg(F.max("n_words").alias("n_words"), *united), row).select(*keep.columns, *new)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
