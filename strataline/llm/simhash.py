@@ -20,6 +20,7 @@ null text has no words.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -122,8 +123,8 @@ def fingerprinted(docs: DataFrame, size: int, lanes: int = 1, distinct: bool = F
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int")
 
 
-def _plan(counts: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Blocks as (first ones, last ones, piece, pieces), and the pairs of blocks that must meet."""
+def _plan(counts: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Blocks as (first ones, last ones, piece, pieces), and for each the last block that it must meet."""
     total = sum(counts.values())
     most = max(LEAST_BLOCK, min(BLOCK, -(-total // LEAST_BLOCKS)))
     blocks: list[tuple[int, int, int, int]] = []
@@ -139,8 +140,8 @@ def _plan(counts: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int
         low, size, last = ones if low is None else low, size + counts[ones], ones
     if low is not None:
         blocks.append((low, last, 0, 1))
-    pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if blocks[j][0] - blocks[i][1] <= radius]
-    return blocks, pairs
+    starts = [b[0] for b in blocks]
+    return blocks, [bisect.bisect_right(starts, b[1] + radius) - 1 for b in blocks]
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -209,7 +210,7 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
     """a, b: links that join the classes (fp, rep, ones) within the radius; each task sends a forest."""
     spark = classes.sparkSession
     counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # one row for each number of bits
-    blocks, pairs = _plan(counts, radius)
+    blocks, reach = _plan(counts, radius)
     if not blocks:
         return spark.createDataFrame([], "a long, b long")
     firsts: dict[int, tuple[int, int]] = {}
@@ -225,9 +226,12 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "fps": pa.array([b"".join(group["fp"].to_pylist())], pa.binary()), "reps": pa.array([group["rep"].to_numpy().tobytes()], pa.binary())})
 
     packed = classes.select(block, "fp", "rep").groupBy("block").applyInArrow(gather, "block int, fps binary, reps binary")
-    met = spark.createDataFrame([(i, j, b) for i, j in pairs for b in ({i, j} if i != j else {i})], "one int, other int, block int")
+    # One row for each block comes from the driver; their pairs, which grow with the square, are made where they are used.
+    pairs = spark.createDataFrame(list(enumerate(reach)), "one int, reach int").select("one", F.explode(F.sequence("one", "reach")).alias("other"))
+    met = pairs.select("one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
+    n = sum(r - i + 1 for i, r in enumerate(reach))
     # A pair's data are small and its work is not: as many partitions as pairs, which adaptive execution leaves alone.
-    tasks = met.join(packed, "block").repartition(min(len(pairs), MOST_TASKS), "one", "other")
+    tasks = met.join(packed, "block").repartition(min(n, MOST_TASKS), "one", "other")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         sides = {r["block"]: (np.frombuffer(r["fps"], ">u8").reshape(-1, lanes), np.frombuffer(r["reps"], np.int64)) for r in group.select(["block", "fps", "reps"]).to_pylist()}
