@@ -25,7 +25,9 @@ from .common import batch, bucket_count, text_bytes
 #: Letters that a fingerprint's first half has at most, its smallest block size, the rolling hash's bytes.
 LETTERS, LEAST_BLOCK, ROLLING = 64, 3, 7
 #: Quantiles of the document ids that ranges of neighbours are cut at, at most.
-QUANTILES = 1024
+QUANTILES = 16_384
+#: Ranges whose neighbours are found together; there is one row for so many ranges where all must meet.
+TOGETHER = 4096
 #: Ranges of neighbours up to which their ends are broadcast (16 bytes each).
 SMALL_RANGES = 100_000
 
@@ -150,6 +152,18 @@ def _ranges(spark: SparkSession, docs: DataFrame):
     return bucket
 
 
+def _next_tops(tops: DataFrame) -> DataFrame:
+    """For each range (bucket, top), as `to`, the top of the range before it; for the first one, the last one's.
+
+    Ranges look among some thousand of their own; only one row for each such lot goes to a single task.
+    """
+    tops = tops.withColumn("lot", F.floor(F.col("bucket") / TOGETHER))
+    lots = tops.groupBy("lot").agg(F.max_by("top", "bucket").alias("last"))
+    before = lots.select("lot", F.lag("last").over(Window.orderBy("lot")).alias("before"), F.max("last").over(Window.partitionBy()).alias("end"))
+    near = tops.select("lot", F.col("bucket").alias("to"), F.lag("top").over(Window.partitionBy("lot").orderBy("bucket")).alias("near"))
+    return near.join(before, "lot").select("to", F.coalesce("near", "before", "end").alias("next_top"))
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -174,9 +188,7 @@ def against_next(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bucket(_ids(b.column(0)))), b.column(0)], ["bucket", "doc_id"])
 
     tops = docs.select("doc_id").mapInArrow(place, "bucket long, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    # One row for each range, of which there is one for several MB of text.
-    ends = tops.withColumn("next_top", F.coalesce(F.lag("top").over(Window.orderBy("bucket")), F.max("top").over(Window.partitionBy())))
-    ends = ends.select(F.col("bucket").alias("to"), F.col("next_top"))
+    ends = _next_tops(tops)
     n = ends.count()
     ends = F.broadcast(ends) if n <= SMALL_RANGES else ends
 
