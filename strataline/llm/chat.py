@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, text_bytes
 
 # States: nothing yet, and the role of the last message.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -40,6 +40,8 @@ MERGE, RELABEL, RELABEL_SYSTEM, EMPTY = 1.0, 3.0, 4.0, 2.0
 #: In the order in which ties are broken.
 ACTIONS = ["keep", "merge", "insert", "relabel"]
 FAR = float("inf")
+#: Bytes of text of a partition at most, about; rows written at once.
+PART_BYTES, WRITTEN = 32 << 20, 4096
 
 Step = tuple[float, int, str, int]  # cost, state after, action, role of an empty message before (0: none)
 
@@ -132,13 +134,8 @@ def render_end(state: int) -> str:
     return (CLOSE if state else "") + "".join(render_open(r) + CLOSE for r in _END[state][1])
 
 
-def _runs(rows: list[tuple]) -> list[tuple[int, int]]:
-    cuts = [i for i in range(len(rows)) if i == 0 or rows[i][0] != rows[i - 1][0]] + [len(rows)]
-    return list(zip(cuts, cuts[1:], strict=False))
-
-
 def repaired(conversations: DataFrame) -> DataFrame:
-    """One row for each turn: conv_id, turn, role, new_role, action, inserted, cost and rendered.
+    """One row for each turn: conv_id, turn, role, new_role, action, inserted, cost and rendered; other columns are left out.
 
     rendered holds what the turn adds to its conversation, the last turn's with the
     end; `rendered_conversations` joins them.  inserted is the role of an empty
@@ -151,7 +148,8 @@ def repaired(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text"))
     keys = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "tie")]
     # Written down once: what is worked out about a partition must hold when it is read again.
-    rows = cut(spark, rows.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    parts = max(shuffle_partitions(spark), -(-text_bytes(conversations.select(F.col("text").cast("string"))) // PART_BYTES))
+    rows = cut(spark, rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
 
     def summed(batches):
         open_conv, held, first, part = None, [], True, None
@@ -180,27 +178,44 @@ def repaired(conversations: DataFrame) -> DataFrame:
     edges = sorted(rows.select("conv", "role", "part").mapInArrow(summed, "part int, edge int, conv string, costs array<double>").collect(), key=lambda r: (r["part"], r["edge"]))
     known = spark.sparkContext.broadcast(_joined([(r["part"], r["edge"], r["conv"], [r["costs"][i : i + 4] for i in range(0, 16, 4)]) for r in edges]))
 
-    def write(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or table.num_rows == 0:
-            return
-        got = list(zip(*(table[c].to_pylist() for c in ("conv", "turn", "role", "text", "part")), strict=True))
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+    names = ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"]
+
+    def solved(run: list[tuple], edge: int | None) -> list[tuple]:
+        """A run's repaired rows. edge: which of its partition's edge runs it is, if it is one."""
+        state, end, last = known.value.get((run[0][4], edge), (START, None, True)) if edge is not None else (START, None, True)
+        roles = [role_of(r[2]) for r in run]
+        if end is None:
+            end = _cheapest_end(solve(roles, state)[0])
         out = []
-        runs = _runs(got)
-        for k, (a, b) in enumerate(runs):
-            part = got[a][4]
-            roles = [role_of(r[2]) for r in got[a:b]]
-            state, end, last = known.value.get((part, 0 if k == 0 else 1), (START, None, True)) if k in (0, len(runs) - 1) else (START, None, True)
-            if end is None:
-                end = _cheapest_end(solve(roles, state)[0])
-            for i, (row, step) in enumerate(zip(got[a:b], path(roles, state, end), strict=True)):
-                piece, cost = render(step, state, row[3] or ""), step[0]
-                state = step[1]
-                if i == b - a - 1 and last:
-                    piece, cost = piece + render_end(state), cost + _END[state][0]
-                out.append((row[0], row[1], row[2], NAMES[state], step[2], NAMES[step[3]] or None, cost, piece))
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()], strict=True)], ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"])
+        for i, (row, step) in enumerate(zip(run, path(roles, state, end), strict=True)):
+            piece, cost = render(step, state, row[3] or ""), step[0]
+            state = step[1]
+            if i == len(run) - 1 and last:
+                piece, cost = piece + render_end(state), cost + _END[state][0]
+            out.append((row[0], row[1], row[2], NAMES[state], step[2], NAMES[step[3]] or None, cost, piece))
+        return out
+
+    def arrow(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    def write(batches):
+        held: list[tuple] = []  # the run that hasn't ended
+        out: list[tuple] = []
+        first = True
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if held and row[0] != held[0][0]:
+                    out += solved(held, 0 if first else None)
+                    held, first = [], False
+                    if len(out) >= WRITTEN:
+                        yield arrow(out)
+                        out = []
+                held.append(row)
+        if held:
+            out += solved(held, 0 if first else 1)
+        if out:
+            yield arrow(out)
 
     schema = "conv_id string, turn long, role string, new_role string, action string, inserted string, cost double, rendered string"
     done = rows.select("conv", "turn", "role", "text", "part").mapInArrow(write, schema)
