@@ -36,11 +36,20 @@ def bucket_count(total_bytes: int, each: int = BUCKET_BYTES) -> int:
 checkpoint_dir = shared_folder
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut at a checkpoint in the shared folder, which outlives executors."""
+#: Rows of a few numbers that one file of a checkpoint is meant to hold.
+FILE_ROWS = 500_000
+
+
+def cut(spark: SparkSession, df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows with their lineage cut at a checkpoint in the shared folder, which outlives executors.
+
+    rows: about how many small rows there are at most, where that is known: so many files are written and no more.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_dir(spark))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 

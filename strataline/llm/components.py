@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         hung = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(spark, low.select(F.col("u").alias("a"), F.col("m").alias("b")).unionAll(hung).distinct())
+        # A round makes no more links than there are ends of links.
+        links = cut(spark, low.select(F.col("u").alias("a"), F.col("m").alias("b")).unionAll(hung).distinct(), 2 * before[0])
         after = _state(links)
         if after == before:
             break

@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = marks.where(F.col("_toxic") == mark).orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
         # One text for each id: what comes to the driver is bounded in rows, then in bytes, before it comes.
-        held = cut(spark, rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+        held = cut(spark, rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), most)
         fitting, size = [], 0
         sizes = held.select("doc_id", F.octet_length("text").alias("n")).collect()
         for i, n in sorted(sizes, key=lambda r: int(mix(np.array([r[0]], np.int64).view(np.uint64))[0])):
