@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .relational import first_wins
+from .relational import containing, first_wins
 
 
 def sources(hits: DataFrame, key: str = "query_id") -> DataFrame:
@@ -53,13 +53,27 @@ def validated(contexts: DataFrame) -> DataFrame:
 
 
 def affected_by_text(files: DataFrame, decisions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Decisions and the files that their texts name, by path or by name.
+    """Decisions and the files whose path or name their texts contain, as part of a word too."""
+    names = files.select(F.col(path).alias("target"), F.explode(F.array_distinct(F.array(F.col(path), tx.basename(path)))).alias("name"))
+    return containing(decisions.select(F.col("id").alias("key"), F.col(text).alias("text")), names).select(F.col("key").alias("id"), F.col("target").alias(path))
 
-    Texts are cut into words at what can't be part of a path, and joined by equality.
+
+def loose_imports(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """imports (source, name) and nodes (id, name, place) to source, target: each import's first node, in order of place.
+
+    A node fits if its name up to the first dot is the import, or its id contains the
+    import with slashes for dots.  An import that first fits its own file gives no
+    link; equal links are one.
     """
-    names = files.select(F.col(path), F.explode(F.array_distinct(F.array(F.col(path), tx.basename(path)))).alias("word"))
-    said = decisions.select("id", F.explode(F.array_distinct(F.split(F.col(text), r"[^\w./-]+"))).alias("word")).withColumn("word", F.regexp_replace("word", r"\.+$", ""))
-    return said.join(names, "word").select("id", path).distinct()
+    wanted = imports.select("source", "name").distinct()
+    stems = nodes.select("id", "place", F.substring_index("name", ".", 1).alias("name"))
+    fits = wanted.join(stems, "name").select("source", "name", "id", "place")
+    slashed = wanted.select("name").distinct().select(F.col("name").alias("target"), F.replace("name", F.lit("."), F.lit("/")).alias("name"))
+    inside = containing(nodes.select(F.col("id").alias("key"), F.col("id").alias("text")), slashed)
+    inside = inside.join(nodes.select(F.col("id").alias("key"), "place"), "key").join(wanted.withColumnRenamed("name", "target"), "target")
+    fits = fits.unionByName(inside.select("source", F.col("target").alias("name"), F.col("key").alias("id"), "place"))
+    first = fits.groupBy("source", "name").agg(F.min_by("id", F.struct("place", "id")).alias("target"))
+    return first.where("source <> target").select("source", "target").distinct()
 
 
 def narrative(report: DataFrame) -> DataFrame:

@@ -62,16 +62,6 @@ def full_merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer")
 
 
-def first_match(left: DataFrame, right: DataFrame, tests: list[Column], keys: list[str], order: list[Column]) -> DataFrame:
-    """left with the right row of the first test that holds; among equals the first in order; none stays null.
-
-    right must be small: each test is tried against all of it.
-    """
-    rank = reduce(lambda a, b: a.when(b[1], b[0]), list(enumerate(tests))[1:], F.when(tests[0], 0))
-    both = left.join(right, reduce(lambda a, b: a | b, tests), "left").withColumn("_rank", rank)
-    return top_per(both, keys, [F.col("_rank").asc_nulls_last(), *order], 1, "_n").drop("_rank", "_n")
-
-
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
     """Rows of each key in order, as long as their sizes add up to the budget at most; the first overflow ends it."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -108,3 +98,29 @@ def stamped(df: DataFrame, status: str, at: Column) -> DataFrame:
             "completed_at": F.when(F.lit(status in ("completed", "failed")), at).otherwise(F.col("completed_at")),
         }
     )
+
+
+#: Letters of a name by which texts are looked for that may contain it.
+GRAM = 6
+
+
+def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """texts (key, text) and names (target, name) to key, target: which text contains which name, anywhere, as it stands.
+
+    A name is looked up by the GRAM letters of it whose hash is least (by all of a
+    shorter one) among the letters of the texts, so that nothing is compared with
+    everything; the exact test follows.  An empty name, or null, is in no text.
+    """
+    known = names.select("target", "name").where("name <> ''").distinct()
+    size = F.least(F.length("name"), F.lit(GRAM))
+    grams = F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring("name", i, size))
+    known = known.withColumn("gram", F.array_min(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    sizes = [r["n"] for r in known.select(size.alias("n")).distinct().collect()]  # GRAM of them at most
+    if not sizes:
+        return texts.select("key").join(known.select("target"), F.lit(False))
+
+    def windows(n: int):
+        return F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    held = texts.select("key", "text", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("gram"))
+    return held.join(known, "gram").where(F.contains("text", F.col("name"))).select("key", "target").distinct()

@@ -85,7 +85,7 @@ def phrase(t):
 
 @query(
     "git_history_summary",
-    "W13 S15 S14",
+    "W13",
     "SELECT file, count(*) AS commits, count(DISTINCT author) AS authors, arg_max(author, sha) AS last_author, arg_max(message, sha) AS last_message FROM commits GROUP BY file",
     views="commits",
 )

@@ -23,7 +23,7 @@ def linecount(t):
     return h.select("doc_id", "lines", "health", scores.health_bar("health").alias("bar"), scores.health_band("health").alias("band"))
 
 
-@query("health_newlines", "S4 S3", "SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::INT AS newlines FROM documents")
+@query("health_newlines", "S4", "SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::INT AS newlines FROM documents")
 def newlines(t):
     from ..functions import text as tx
 

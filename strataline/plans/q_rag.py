@@ -123,18 +123,40 @@ def file_match(t):
     return r.select("sha", tx.mentions_path("ref", "file").alias("hit"), tx.mentions_path("ref", F.lit("m3")).alias("segment"))
 
 
+_SAID = """CASE sha % 4 WHEN 0 THEN 'we changed ' || file || ' because of load.' WHEN 1 THEN 'see f' || (sha % 50) || '.pyc and x' || replace(file, 'src/', '') WHEN 2 THEN 'rewrote f' || (sha % 30) || '.ts, f7.py' ELSE '' END"""
+
+
 @query(
     "decision_affects_theta",
-    "J6 J17 J19",
-    r"""WITH f AS (SELECT DISTINCT file FROM commits), d AS (SELECT DISTINCT sha % 200 AS id, 'we changed ' || file || ' because of load.' AS text FROM commits) SELECT DISTINCT id, file AS path FROM d JOIN f ON contains(text, file)""",
+    "J6",
+    f"""WITH f AS (SELECT DISTINCT file FROM commits), d AS (SELECT DISTINCT sha % 200 AS id, {_SAID} AS text FROM commits)
+SELECT DISTINCT id, file AS path FROM d JOIN f ON strpos(text, file) > 0 OR strpos(text, regexp_extract(file, '[^/]*$')) > 0""",
     views="commits",
 )
 def affects(t):
     files = t.commits.select(F.col("file").alias("path")).distinct()
-    d = t.commits.select((F.col("sha") % 200).alias("id"), F.concat(F.lit("we changed "), "file", F.lit(" because of load.")).alias("text")).distinct()
+    d = t.commits.select((F.col("sha") % 200).alias("id"), F.expr(_SAID).alias("text")).distinct()
     return rag.affected_by_text(files, d)
 
 
+_IMPORTED = """CASE sha % 3 WHEN 0 THEN 'f' || (sha % 40) WHEN 1 THEN 'm' || (sha % 10) || '.f' || (sha % 7) ELSE 'nothing' || (sha % 5) END"""
+
+
+@query(
+    "import_loose_link",
+    "J17",
+    f"""WITH n AS (SELECT file AS id, regexp_extract(file, '[^/]*$') AS name, row_number() OVER (ORDER BY length(file), file) AS place FROM (SELECT DISTINCT file FROM commits)),
+i AS (SELECT DISTINCT file AS source, {_IMPORTED} AS target FROM commits),
+m AS (SELECT source, target, id, row_number() OVER (PARTITION BY source, target ORDER BY place) AS k FROM i JOIN n ON target = split_part(name, '.', 1) OR strpos(id, replace(target, '.', '/')) > 0)
+SELECT DISTINCT source, id AS target FROM m WHERE k = 1 AND source <> id""",
+    views="commits",
+)
+def loose_link(t):
+    files = t.commits.select(F.col("file").alias("id")).distinct()
+    nodes = files.select("id", tx.basename("id").alias("name"), F.struct(F.length("id"), "id").alias("place"))
+    return rag.loose_imports(t.commits.select(F.col("file").alias("source"), F.expr(_IMPORTED).alias("name")), nodes)
+
+
 @query("impact_narrative", "X8 A32", "SELECT p_brand AS file, count(*) AS total, count(*) FILTER (p_size > 45) AS high, CASE WHEN count(*) FILTER (p_size > 45) > 0 THEN 'Changing this file affects ' || count(*) || ' file(s), ' || count(*) FILTER (p_size > 45) || ' of them at high risk. Review these first.' ELSE 'Changing this file affects ' || count(*) || ' file(s), none of them at high risk.' END AS narrative FROM part GROUP BY p_brand")
 def narrative(t):
     g = t.part.groupBy(F.col("p_brand").alias("file")).agg(F.count("*").alias("total"), F.sum(F.when(F.col("p_size") > 45, 1).otherwise(0)).alias("high"))

@@ -97,7 +97,7 @@ def read(t):
     return rules.read_lines(t.documents, 2, 200).select("doc_id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("rules_glob", "R9 S1", r"SELECT DISTINCT file FROM commits WHERE regexp_matches(file, '^src/m[13]/f[^/]*\.py$')", views="commits")
+@query("rules_glob", "R9", r"SELECT DISTINCT file FROM commits WHERE regexp_matches(file, '^src/m[13]/f[^/]*\.py$')", views="commits")
 def glob(t):
     files = t.commits.select("file").distinct()
     return rules.glob(files, "src/m1/f*.py", "file").union(rules.glob(files, "**/m3/f*.py", "file"))

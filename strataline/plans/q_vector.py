@@ -138,7 +138,7 @@ def element_query(t):
     return d.select("doc_id", tx.element_query(F.lit("document"), F.col("source"), F.array("lang", "source"), F.col("lang"), F.col("text")).alias("q"))
 
 
-@query("vec_small_dimension", "S16", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("vec_small_dimension", "", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def dimension(t):
     c = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.groupBy("r_name").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.relational import containing
 
 
 def kind_order(kind: str = "kind") -> Column:
@@ -47,14 +48,11 @@ def html(elements: DataFrame) -> DataFrame:
     return pages.select("file", tx.export_name("file", ".html").alias("name"), F.concat(head, F.col("body"), F.lit("</body></html>")).alias("content"))
 
 
-def cross_references(elements: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of elements where one's documentation holds the other's lower-cased name as a word.
-
-    Words are exploded and joined by equality, so nothing is compared with everything.
-    """
-    names = elements.select(F.col("id").alias("target"), F.lower("name").alias("word")).where(F.length("word") >= least)
-    said = elements.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("doc", F.lit(""))), r"\W+"))).alias("word"))
-    return said.join(names, "word").where("source <> target").select("source", "target").distinct()
+def cross_references(elements: DataFrame) -> DataFrame:
+    """Pairs of elements where one's documentation contains the other's name, whatever their case, as part of a word too."""
+    docs = elements.select(F.col("id").alias("key"), F.lower(F.coalesce("doc", F.lit(""))).alias("text"))
+    found = containing(docs, elements.select(F.col("id").alias("target"), F.lower("name").alias("name")))
+    return found.where("key <> target").select(F.col("key").alias("source"), "target")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
