@@ -6,10 +6,11 @@ sets a document of the class off from the other's: the stretches of its words th
 made of pieces of five bytes which more of its class's documents hold, once or often,
 than the other's documents of the same kind (most of all: language) lead to expect.
 How often a stretch comes, and so whether and where zstandard puts it, is up to the
-documents.  A text is cut into windows of two words; each window is compressed with
+documents.  A window is a word; each window is compressed with
 either dictionary, and the difference of the two lengths is its toxicity in bytes.
 (Every window begins with the same 64 bytes, which end both dictionaries: so even the
-shortest window is worth compressing, and the difference shows single matches.)  A
+shortest window is worth compressing, and the difference shows single matches.  It ends
+with eight bytes that neither has, as zstandard begins no match in a block's last eight.)  A
 logistic model over a few sums of these differences calibrates the threshold.
 
 Labels are learnt only from rows whose crc32 of the doc_id as text isn't 0 modulo 5,
@@ -38,20 +39,24 @@ from .common import cut, set_aside
 
 #: Bounds of the training sample: documents of each class, bytes of each class's text.
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
-#: Bytes of a dictionary for each group of like documents, and of the segments and the substrings that zstandard makes it of; bytes of a piece, and words of a window.
+#: Bytes of a dictionary for each group of like documents, and of the segments and the substrings that zstandard makes it of; bytes of a piece.
 DICTIONARY_BYTES, SEGMENT, SUBSTRING = 512, 16, 6
-PIECE, WORDS = 5, 2
+PIECE = 5
 #: A document holds a piece so many times or more: each is counted by itself.
 OFTEN = 1, 2, 4
-#: A piece counts if more documents hold it than expected by this much, as a logarithm, and beyond chance (a likelihood ratio, for some 10^5 pieces tried).
-LEAST_CONTRAST, SURE = 2.0, 30.0
+#: A piece counts if more documents hold it than expected by this much, as a logarithm, and its likelihood ratio is one that chance gives any of all the pieces tried in so small a part of cases.
+LEAST_CONTRAST, LUCK = 2.0, 2e-4
 #: Groups of like documents at most, documents that a group has at least, bytes of a text that its group is told by.
 GROUPS, MEMBERS, STRETCH = 8, 20, 1 << 14
 FOLDS = 5
+#: Ordinary rows that one toxic row weighs as much as, when the threshold is calibrated.
+TOXIC_WEIGHT = 3.0
 #: Bytes by which a window's lengths differ, beyond which differences are summed.
 OVER = 1, 2, 4
+#: Bytes of remembered windows and differences, beyond which a worker forgets them and begins anew.
+REMEMBERED = 32 << 20
 
-_HEAD = bytes(range(128, 192))
+_HEAD, _TAIL = bytes(range(128, 192)), bytes(range(192, 200))
 # Fixed value: the offsets 1, 4 and 8, with which the tables of a trained dictionary end.
 _OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 _FOREVER = 1 << 60
@@ -128,7 +133,7 @@ def marks(own: list[str], other: list[str], group: np.ndarray) -> dict[bytes, fl
         at, n = at[known], n[known]
         for k, least in enumerate(OFTEN):
             count[side, g, k, at[n >= least]] += 1
-    best = np.zeros(len(held))
+    best, sure_from = np.zeros(len(held)), 2 * math.log(len(held) / LUCK)
     share = (sizes[0] / np.maximum(sizes.sum(axis=0), 1))[:, None]
     for k in range(len(OFTEN)):
         mine, theirs = count[0, :, k], count[1, :, k]
@@ -137,7 +142,7 @@ def marks(own: list[str], other: list[str], group: np.ndarray) -> dict[bytes, fl
         expected = ((mine + theirs) * share).sum(axis=0)
         contrast = np.log(((mine * (1 - share)).sum(axis=0) + 0.5) / ((theirs * share).sum(axis=0) + 0.5))
         sure = 2 * (_times_log(seen, expected) + _times_log(both - seen, both - expected))
-        best = np.maximum(best, np.where((contrast > LEAST_CONTRAST) & (sure > SURE), seen * contrast, 0))
+        best = np.maximum(best, np.where((contrast > LEAST_CONTRAST) & (sure > sure_from), seen * contrast, 0))
     return {int(held[i]).to_bytes(PIECE, "big"): float(best[i]) for i in np.flatnonzero(best)}
 
 
@@ -182,14 +187,8 @@ class Compressor:
         )
         self._c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings)
 
-    def lengths(self, windows: list[bytes]) -> np.ndarray:
-        compress = self._c.compress
-        return np.array([len(compress(w)) for w in windows], np.int32)
-
-
-def windows(text: str | None) -> list[bytes]:
-    w = words(text)
-    return [_HEAD + b" " + b" ".join(w[i : i + WORDS]) + b" " for i in range(0, len(w), WORDS)] or [_HEAD]
+    def length(self, word: bytes) -> int:
+        return len(self._c.compress(_HEAD + b" " + word + b" " + _TAIL))
 
 
 def features(excess: np.ndarray) -> list[float]:
@@ -214,14 +213,24 @@ class Model:
             self.weights = _logistic(x / self.scale, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pair", "_known", "_held")}
+
+    def excess(self, text: str | None) -> np.ndarray:
+        """By how much the toxic dictionary makes each word of a text shorter than the ordinary one does; a word that is remembered isn't compressed again."""
+        if "_pair" not in self.__dict__:
+            self._pair, self._known, self._held = tuple(map(Compressor, self.raw)), {}, 0
+        if self._held > REMEMBERED:
+            self._known, self._held = {}, 0
+        toxic, ordinary = self._pair
+        known, found = self._known, words(text) or [b""]
+        for w in found:
+            if w not in known:
+                known[w] = ordinary.length(w) - toxic.length(w)
+                self._held += len(w) + 128
+        return np.fromiter(map(known.__getitem__, found), np.int32, len(found))
 
     def features(self, text: str | None) -> list[float]:
-        pair = self.__dict__.get("_pair")
-        if pair is None:
-            pair = self._pair = tuple(map(Compressor, self.raw))
-        w = windows(text)
-        return features(pair[1].lengths(w) - pair[0].lengths(w))
+        return features(self.excess(text))
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -233,13 +242,14 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton's method, every class weighted by its rows."""
+    """Newton's method, a toxic row weighted TOXIC_WEIGHT."""
     w = np.zeros(x.shape[1])
+    weight = np.where(y == 1, TOXIC_WEIGHT, 1.0)
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break

@@ -165,7 +165,7 @@ def plain_score(model, text):
     for raw in model.raw:
         settings = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2)
         c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings)
-        lengths.append([len(c.compress(head + (" " + " ".join(words[k : k + 2]) + " ").encode())) for k in range(0, len(words), 2)])
+        lengths.append([len(c.compress(head + f" {w} ".encode() + bytes(range(192, 200)))) for w in words])
     gain = [b - a for a, b in zip(*lengths, strict=True)]
     most = sorted(gain, reverse=True)[:2]
     over = [sum(max(0, g - k) for g in gain) for k in (1, 2, 4)]
@@ -190,6 +190,15 @@ def test_scores_are_what_a_plain_version_gives(spark):
         assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9)
 
 
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    toxic, ordinary = ([f"{w} day {i} and more" for i in range(60)] for w in ("nasty scoundrel", "a fine"))
+    model = toxicity.Model(toxic, ordinary)
+    texts = [*toxic, *ordinary, "new words", "x" * 100_000, " ".join(str(i) for i in range(5000))]
+    before = [model.score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 0)
+    assert [model.score(t) for t in texts] == before and model.score("scoundrel nasty") > 0.5 > model.score("fine a")
+
+
 def test_the_training_sample_is_bounded(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
