@@ -255,7 +255,7 @@ def grouped(docs: DataFrame, size: int, radius: int, lanes: int = 1, distinct: b
     """
     spark = docs.sparkSession
     prints = cut(spark, fingerprinted(docs, size, lanes, distinct))
-    classes = cut(spark, prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("rep")))
+    classes = cut(spark, prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("rep")), prints.count())
     # Rows that share a doc_id are one document: its fingerprints are linked.
     shared = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
     own = prints.join(shared, "doc_id").join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -312,7 +312,7 @@ def similar(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, si
     """
     spark = docs.sparkSession
     roots = components(links)
-    members = cut(spark, classes.join(roots, classes.rep == roots.node).select("fp", "rep", "root"))
+    members = cut(spark, classes.join(roots, classes.rep == roots.node).select("fp", "rep", "root"), classes.count())
 
     def sets(batches):
         for b in pieces(batches):
