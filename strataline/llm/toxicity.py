@@ -232,6 +232,10 @@ class Model:
     def features(self, text: str | None) -> list[float]:
         return features(self.excess(text))
 
+    def forget(self) -> None:
+        """Let go of the remembered words: the worker may have other work next."""
+        self._known, self._held = {}, 0
+
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return float(self.prior)
@@ -295,6 +299,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in small(batches):
             score = np.array([own.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+        own.forget()
 
     return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
