@@ -46,7 +46,7 @@ from .bytesops import pieces
 from .common import batch
 
 #: Pairs of tokens that are remembered, and steps of the transducer; all are forgotten when there are more.
-PAIRS, STEPS = 100_000, 200_000
+PAIRS, STEPS = 250_000, 500_000
 #: Letters of text whose words are encoded together, letters that are cut into words at once, and ids decoded at once.
 SLICE, CUT, IDS = 1 << 22, 1 << 20, 1 << 16
 
