@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytededup, chat, decontaminate, fingerprint, htmltext, linededup, simhash, substringdedup, toxicity
+from . import bpe, bytededup, chat, decontaminate, fingerprint, hostrules, htmltext, linededup, simhash, substringdedup, toxicity
 from .common import table
 
 #: The tokenizer file that op5 encodes with; a name in the public_tokenizers package.
@@ -59,6 +59,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_text": op9_html_text,
     "op10_chat": op10_chat,
+    "op11_host_rules": op11_host_rules,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -77,4 +82,5 @@ ORACLE: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_substring_dedup": substringdedup.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
+    "op11_host_rules": hostrules.ORACLE,
 }
