@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytededup, chat, decontaminate, fingerprint, hostrules, htmltext, linededup, simhash, substringdedup, toxicity
+from . import bpe, bytededup, chat, decontaminate, fingerprint, hostrules, htmltext, linededup, periods, simhash, substringdedup, toxicity, upsert
 from .common import table
 
 #: The tokenizer file that op5 encodes with; a name in the public_tokenizers package.
@@ -63,6 +63,14 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.digests(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
@@ -75,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_chat": op10_chat,
     "op11_host_rules": op11_host_rules,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_upsert": op13_upsert,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
