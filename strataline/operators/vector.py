@@ -1,4 +1,4 @@
-"""Vector search: exact cosine neighbours, filters, thresholds, and an approximate index."""
+"""Vector search: exact cosine neighbours, filters, thresholds; the approximate index is in `annindex`."""
 
 from __future__ import annotations
 
@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .annindex import matrix, unit
 from .relational import top_per
 
-#: Queries held in memory at once, at most; more are answered in blocks.
+#: Queries in one block, and how many of them are compared with a block of rows at once.
 QUERY_BLOCK = 4096
+ROWS_AT_ONCE = 512
+
+#: Bytes of packed queries that are broadcast; more meet the rows by a join, each block of queries in so many copies.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
 
 
 def similar(vectors: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
@@ -30,56 +36,60 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "id", whe
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", skip_self: bool = True) -> DataFrame:
-    """query_id, key, sim and rank of each query's k nearest.
+    """query_id, key, sim and rank of each query's k nearest, exactly.
 
-    Queries are read in blocks and sent to every task, which keeps its own k best of
-    each; only those meet, so what is shuffled grows with queries and tasks, not rows.
+    Queries are packed into blocks, batches of rows into blocks, and every block of rows meets
+    every block of queries by the number of the latter: broadcast where the blocks are few, else
+    by a join that the rows' blocks are salted for.  A block of rows keeps its own k best of each
+    query, so what meets in the end grows with queries and blocks, not rows.
     """
-    out = None
-    held: list = []
-    blocks: list[list] = []
-    for r in queries.select(F.col(key).cast("long").alias("i"), F.col(embedding).cast("array<double>").alias("e")).where("e is not null").toLocalIterator():
-        held.append((r["i"], r["e"]))
-        if len(held) == QUERY_BLOCK:
-            blocks.append(held)
-            held = []
-    blocks += [held] if held or not blocks else []
-    for block in blocks:
-        part = _block(vectors, block, k, key, embedding, skip_self)
-        out = part if out is None else out.unionAll(part)
-    return top_per(out, ["query_id"], [F.desc("sim"), F.col(key)], k)
-
-
-def _block(vectors: DataFrame, block: list, k: int, key: str, embedding: str, skip_self: bool) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in block], np.array([e for _, e in block], np.float64)))
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).where("e IS NOT NULL AND id IS NOT NULL")
+    width = vectors.select(F.max(F.size(embedding)).alias("n")).first()["n"] or 1
+    n = -(-asked.count() // QUERY_BLOCK)
+    if n == 0:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, sim double, rank int")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).where("e IS NOT NULL AND id IS NOT NULL")
+
+    def pack(batches):
+        for b in batches:
+            m, place = matrix(b.column(1), width)
+            if len(m):
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).take(pa.array(place)).to_numpy().tobytes()], pa.binary()), pa.array([unit(m).tobytes()], pa.binary())], ["ids", "units"])
+
+    def pack_queries(group: pa.Table) -> pa.Table:
+        m, place = matrix(group["e"].combine_chunks(), width)
+        ids = group["id"].combine_chunks().take(pa.array(place)).to_numpy()
+        return pa.table([pa.array([group["part"][0].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([unit(m).tobytes()], pa.binary())], names=["part", "names", "asked"])
+
+    blocks = rows.mapInArrow(pack, "ids binary, units binary")
+    packed = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("part").applyInArrow(pack_queries, "part int, names binary, asked binary")
+    few = n * QUERY_BLOCK * (width + 1) * 8 <= BROADCAST_BYTES
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if few:
+        met = blocks.join(F.broadcast(packed), "part")
+    else:
+        salts = F.lit(SALTS)
+        salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        met = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts).cast("int")).join(salted, ["part", "salt"])
 
     def run(batches):
-        names, q = sent.value
-        if not names:
-            return
-        lengths = np.linalg.norm(q, axis=1)
-        unit = q / np.where(lengths == 0, 1, lengths)[:, None]
-        ids = np.array(names)
         for b in batches:
-            lists = b.column(1)
-            full = [i for i, n in enumerate(lists.value_lengths().to_pylist()) if n == q.shape[1]]
-            if not full:
-                continue
-            b = b.take(pa.array(full))
-            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(full), -1)
-            norms = np.linalg.norm(m, axis=1)
-            mine = b.column(0).to_numpy(zero_copy_only=False)
-            sims = unit @ (m / np.where(norms == 0, 1, norms)[:, None]).T
-            sims = np.round(sims, 6) + 0.0
-            if skip_self:
-                sims[ids[:, None] == mine[None, :]] = -np.inf
-            n = min(k, sims.shape[1])
-            # All that tie with the k-th stay, so that ties are broken over all rows.
-            least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
-            i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(mine[j]), pa.array(sims[i, j])], ["query_id", key, "sim"])
-
-    return vectors.select(F.col(key).cast("long"), F.col(embedding).cast("array<double>")).where(F.col(embedding).isNotNull()).mapInArrow(run, f"query_id long, {key} long, sim double")
+            for ids, units, names, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                mine, m = np.frombuffer(ids, np.int64), np.frombuffer(units, np.float64).reshape(-1, width)
+                who, q = np.frombuffer(names, np.int64), np.frombuffer(asked, np.float64).reshape(-1, width)
+                for at in range(0, len(who), ROWS_AT_ONCE):
+                    some = who[at : at + ROWS_AT_ONCE]
+                    sims = np.round(q[at : at + ROWS_AT_ONCE] @ m.T, 6) + 0.0
+                    if skip_self:
+                        sims[some[:, None] == mine[None, :]] = -np.inf
+                    best = min(k, sims.shape[1])
+                    # All that tie with the k-th stay, so that ties are broken over all rows.
+                    least = np.partition(sims, sims.shape[1] - best, axis=1)[:, sims.shape[1] - best]
+                    i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                    yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(mine[j]), pa.array(sims[i, j])], ["query_id", key, "sim"])
+
+    out = met.select("ids", "units", "names", "asked").mapInArrow(run, f"query_id long, {key} long, sim double")
+    return top_per(out, ["query_id"], [F.desc("sim"), F.col(key)], k)
 
 
 def best_per_group(hits: DataFrame, group: str, key: str) -> DataFrame:
@@ -92,67 +102,6 @@ def stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.agg(F.count("*").alias("n"), (F.count("*") > 0).alias("has_index"), F.max(F.size(embedding)).alias("dimension"))
 
 
-class CellIndex:
-    """An inverted file: vectors by the nearest of some centres, fitted on a bounded sample; every row is indexed.
-
-    A search reads the cells nearest to its query, exactly.  `probes` cells are read;
-    all of them make the search exact.
-    """
-
-    #: Rows of the sample that centres are fitted on, at most.
-    SAMPLE = 20_000
-
-    def __init__(self, vectors: DataFrame, cells: int, key: str = "vec_id", embedding: str = "embedding", rounds: int = 10):
-        self.key, self.embedding = key, embedding
-        sample = vectors.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(key), key).limit(self.SAMPLE).select(F.col(embedding).cast("array<double>")).collect()
-        m = _unit(np.array([r[0] for r in sample], np.float64)) if sample else np.zeros((1, 1))
-        self.centres = _centres(m, min(cells, len(m)), rounds)
-        self.rows = self._assigned(vectors)
-
-    def _assigned(self, vectors: DataFrame) -> DataFrame:
-        sent = vectors.sparkSession.sparkContext.broadcast(self.centres)
-        key, embedding = self.key, self.embedding
-
-        def run(batches):
-            for b in batches:
-                m = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) if b.num_rows else np.zeros((0, sent.value.shape[1]))
-                cell = (m @ sent.value.T).argmax(axis=1) if len(m) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), b.column(1)], ["cell", key, embedding])
-
-        return vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long"), F.col(embedding).cast("array<double>")).mapInArrow(run, f"cell int, {key} long, {embedding} array<double>")
-
-    def search(self, query: list[float], k: int, probes: int) -> DataFrame:
-        near = np.argsort(-(self.centres @ _unit(np.array([query], np.float64))[0]))[:probes].tolist()
-        return nearest(self.rows.where(F.col("cell").isin(*near)), query, k, self.key, embedding=self.embedding)
-
-    def search_many(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """Like `nearest_many` over the cells nearest to each query."""
-        asked = [(r[0], r[1]) for r in queries.select(F.col(self.key).cast("long"), F.col(self.embedding).cast("array<double>")).toLocalIterator()]
-        spark = self.rows.sparkSession
-        pairs = [(i, int(c)) for i, e in asked for c in np.argsort(-(self.centres @ _unit(np.array([e], np.float64))[0]))[:probes]]
-        q = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in asked], "query_id long, q array<double>")
-        probed = spark.createDataFrame(pairs, "query_id long, cell int").join(q, "query_id")
-        both = self.rows.join(F.broadcast(probed), "cell").where(F.col("query_id") != F.col(self.key))
-        scored = both.select("query_id", self.key, F.round(scores.cosine(self.embedding, "q"), 6).alias("sim"))
-        return top_per(scored, ["query_id"], [F.desc("sim"), F.col(self.key)], k)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1, n)
-
-
-def _centres(m: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Spherical k-means from evenly spaced rows."""
-    c = m[np.linspace(0, len(m) - 1, k).astype(int)]
-    for _ in range(rounds):
-        own = (m @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, m)
-        c = np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, _unit(sums), c)
-    return c
-
-
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """An offline stand-in for an embedding model: signed hashes of words, summed and scaled to length 1."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")

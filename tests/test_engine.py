@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import parsing, scores
 from strataline.functions import text as tx
-from strataline.operators import chunking, git, graph, rag, resolve, rules, vector
+from strataline.operators import annindex, chunking, git, graph, rag, resolve, rules, vector
 from strataline.plans.api import Engine
 from strataline.sources import exports, files, stores
 from strataline.streaming import streams
@@ -183,7 +183,7 @@ def test_nearest_are_nested(spark):
     v = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(8)]) for i in range(200)] + [(900, None), (901, [0.0] * 8)], "vec_id long, embedding array<double>")
     few, more = (rows(vector.nearest_many(v, v.where("vec_id % 50 = 0"), k), "query_id", "vec_id") for k in (3, 4))
     assert set(few) < set(more) and len(few) == 3 * 4
-    exact = vector.CellIndex(v, 8).search_many(v.where("vec_id = 0"), 5, 8)
+    exact = annindex.CodedIndex.fit(v, 8).search(v.where("vec_id = 0"), 5, 8, 200)
     assert rows(exact, "vec_id") == rows(vector.nearest_many(v, v.where("vec_id = 0"), 5), "vec_id")
 
 
