@@ -258,7 +258,8 @@ def _present_by_filter(deletes: DataFrame, folder: str, key: str, rows: int) ->
     spark, k = deletes.sparkSession, F.col(f"`{key}`")
     inside = deletes.where(k.between(F.col("home.first"), F.col("home.last")))
     bits = spark.read.schema("path string, block long, bits long").parquet(filters(folder)).select(F.col("path").alias("_path"), F.col("block").alias("_block"), F.col("bits").alias("_bits"))
-    met = inside.join(bits, (F.col("home.path") == F.col("_path")) & (_block(k, rows) == F.col("_block")))
+    # Both sides grow with the input, so neither may be broadcast.
+    met = inside.hint("merge").join(bits, (F.col("home.path") == F.col("_path")) & (_block(k, rows) == F.col("_block")))
     return met.where(F.col("_bits").bitwiseAND(_mask(k)) == _mask(k)).drop("_path", "_block", "_bits")
 
 
@@ -296,7 +297,7 @@ def upsert(spark: SparkSession, folder: str, schema: T.StructType, changes: Data
     # The exact join: only the set columns of the homes that are left are read.
     some = [r["path"] for r in left.select(F.col("home.path").alias("path")).distinct().collect()]
     narrow = read(spark, some, schema).select(F.col("own").getField(key).alias("_key"), *[F.col("own").getField(c).alias(f"_own_{i}") for i, c in enumerate(columns)])
-    met = left.join(narrow, k == F.col("_key"), "left")
+    met = left.hint("merge").join(narrow, k == F.col("_key"), "left")
     same = F.lit(True)
     for i, c in enumerate(columns):
         same = same & F.col("set").getField(c).eqNullSafe(F.col(f"_own_{i}"))
