@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import cut
 from .relational import top_per
 
 #: Rounds between checkpoints: a round's plan holds all rounds since.
@@ -15,29 +15,20 @@ EVERY = 4
 SMALL_EDGES = 1 << 19
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def distances(edges: DataFrame, start, depth: int, reverse: bool = False, include_start: bool = False) -> DataFrame:
     """node, distance: the least number of steps from the start, at most `depth`."""
-    e = _cut((reversed_edges(edges) if reverse else edges).select("src", "dst").distinct())
+    e = cut((reversed_edges(edges) if reverse else edges).select("src", "dst").distinct())
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"))
     seen = frontier.withColumn("distance", F.lit(0))
     for step in range(1, depth + 1):
         frontier = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = _cut(seen.unionAll(frontier.withColumn("distance", F.lit(step))))
+        seen = cut(seen.unionAll(frontier.withColumn("distance", F.lit(step))))
         frontier = seen.where(F.col("distance") == step).select("node")
         if frontier.isEmpty():
             break
@@ -46,12 +37,12 @@ def distances(edges: DataFrame, start, depth: int, reverse: bool = False, includ
 
 def closure_count(edges: DataFrame, start, depth: int) -> DataFrame:
     """How many different nodes walks of 1 to `depth` edges reach; the start counts if a cycle leads back."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType
     layer = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"))
     reached = None
     for _ in range(depth):
-        layer = _cut(layer.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
+        layer = cut(layer.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
         reached = layer if reached is None else reached.unionAll(layer)
     return reached.agg(F.count_distinct("node").alias("total_affected"))
 
@@ -63,13 +54,13 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance
 
     fixed_rounds: exactly so many rounds, without a test for convergence.
     """
-    e = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
+    e = cut(edges.select("src", "dst").distinct())
+    nodes = cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     out = e.groupBy("src").agg(F.count("*").alias("degree"))
-    links = _cut(e.join(out, "src"))
+    links = cut(e.join(out, "src"))
     rank = nodes.join(out, nodes.node == out.src, "left").select("node", F.lit(1.0 / n).alias("rank"), F.col("degree").isNull().alias("dangling"))
     steps = rounds if fixed_rounds is None else fixed_rounds
     for step in range(steps):
@@ -84,7 +75,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance
         # Convergence is looked at where the rounds are written down anyway.
         written = step % EVERY == EVERY - 1 or step == steps - 1
         if written:
-            after = _cut(after)
+            after = cut(after)
         rank = after.drop("before")
         if written and fixed_rounds is None and after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
             return rank.select("node", "rank")
@@ -99,21 +90,21 @@ def levels(edges: DataFrame) -> DataFrame:
     over the cluster while more than SMALL_EDGES edges are left, and one task orders
     the rest, whose size is known then.
     """
-    e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
-    left = _cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
     done = None
     level = 0
     while e.count() > SMALL_EDGES:
-        ready = _cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        ready = cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             rest = left.withColumn("level", F.lit(-1))
             return rest if done is None else done.unionAll(rest)
         part = ready.withColumn("level", F.lit(level))
         done = part if done is None else done.unionAll(part)
         if level % EVERY == EVERY - 1:
-            done = _cut(done)
-        left = _cut(left.join(ready, "node", "left_anti"))
-        e = _cut(e.join(ready, e.src == ready.node, "left_anti"))
+            done = cut(done)
+        left = cut(left.join(ready, "node", "left_anti"))
+        e = cut(e.join(ready, e.src == ready.node, "left_anti"))
         level += 1
     rest = _ordered(e, level)
     # What no edge is left of waits for nothing more.

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, their lineage cut at a checkpoint in the shared folder, which outlives executors."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that they need no copy of it."""
     sc = spark.sparkContext
