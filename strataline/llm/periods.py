@@ -19,11 +19,12 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import zlib
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +42,6 @@ BLOCK = 1 << 18
 
 RUN = "start long, length long, period long"
 
-#: The query's contract alters one text in ten; these numbers are fixed by it.
-SPACE = "[ \t\n\x0b\f\r]+"
-
 
 def word_numbers(words: list[bytes]) -> np.ndarray:
     """Numbers that are equal where words are."""
@@ -203,18 +201,22 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 def altered(docs: DataFrame) -> DataFrame:
     """doc_id, text: what the contract makes of documents; one text in ten becomes periodic from some word on."""
-    h = F.crc32(F.col("doc_id").cast("string"))
-    df = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
-    df = df.withColumn("w", F.when(F.col("g").isNotNull(), F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")))
-    n, g = F.size("w"), F.col("g")
-    df = df.withColumn("n", n).withColumn("a", F.when(n > 0, g % n).cast("int"))
-    df = df.withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
-
-    def word(i: Column) -> Column:
-        return F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
-
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), word), " ")
-    return df.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+    def run(batches):
+        for b in pieces(batches, 256):
+            texts = b.column(1).to_pylist()
+            for k, doc_id in enumerate(b.column(0).to_pylist()):
+                h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+                words = _bytes(texts[k]).split() if h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    tail = words[a : a + p] * (1 + (n - a) // p)
+                    texts[k] = b" ".join(words[:a] + tail[: n - a]).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
