@@ -6,13 +6,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Scratch, cut
 from .relational import top_per
 
 #: Rounds between checkpoints: a round's plan holds all rounds since.
 EVERY = 4
-#: Edges up to which one task orders a graph; more are peeled level by level over the cluster until so few are left.
-SMALL_EDGES = 1 << 19
+#: Edges that one task orders, after chains and trees are gone: some 30 MB, however large the graph was.
+SMALL_EDGES = 1 << 18
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -82,68 +82,129 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance
     return rank.select("node", "rank") if fixed_rounds is not None else nodes.withColumn("rank", F.lit(1.0 / n))
 
 
-def levels(edges: DataFrame) -> DataFrame:
+#: Stands for the level of what is in or behind a cycle; longer than any path.
+_ENDLESS = 1 << 60
+
+
+def levels(edges: DataFrame, finish: int = SMALL_EDGES) -> DataFrame:
     """node, level: the round in which all that a node waits for is done; nodes in or behind cycles have -1.
 
-    Edges lead from what comes first to what waits for it; those from a node to itself
-    don't count.  However deep a graph is, its order is found: levels are peeled off
-    over the cluster while more than SMALL_EDGES edges are left, and one task orders
-    the rest, whose size is known then.
+    Edges lead from what comes first to what waits for it; those from a node to itself don't
+    count.  A node's level is max(floor, level of p + w) over the edges (p, w) into it.  Where only
+    one edge leads into a node, that is a function of its predecessor's level, and such functions
+    are composed by pointer doubling: chains and trees of any depth take a number of rounds that
+    grows with the logarithm of the depth.  What is left are the nodes with several edges, joined
+    by longest edges that stand for whole paths; parallel ones become one, and it starts again.
+    An edge from such a node to itself is a cycle.  Once `finish` edges at most are left, one task
+    orders them; 0 leaves all of it to the cluster.  Graphs that stay a mesh of nodes with several
+    edges (a deep ladder) lose one layer in each round.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    left = cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
-    done = None
-    level = 0
-    while e.count() > SMALL_EDGES:
-        ready = cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(-1))
-            return rest if done is None else done.unionAll(rest)
-        part = ready.withColumn("level", F.lit(level))
-        done = part if done is None else done.unionAll(part)
-        if level % EVERY == EVERY - 1:
-            done = cut(done)
-        left = cut(left.join(ready, "node", "left_anti"))
-        e = cut(e.join(ready, e.src == ready.node, "left_anti"))
-        level += 1
-    rest = _ordered(e, level)
-    # What no edge is left of waits for nothing more.
-    free = left.join(rest.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-    rest = rest.unionAll(free)
-    return rest if done is None else done.unionAll(rest)
-
-
-def _ordered(edges: DataFrame, first: int) -> DataFrame:
-    """`levels` of the nodes of few edges, from `first` on, in one task."""
-    kind = edges.schema["src"].dataType.simpleString()
+    scratch = Scratch(edges.sparkSession)
+    edge = scratch.put(edges.select("src", "dst").where("src <> dst").distinct().withColumn("w", F.lit(1).cast("long")))
+    left = scratch.put(edge.select(F.col("src").alias("node")).unionAll(edge.select(F.col("dst").alias("node"))).distinct().withColumn("floor", F.lit(0).cast("long")))
+    known, stages = None, []
+    n_left, n_edges = left.count(), edge.count()
+    while n_left:
+        if n_edges <= finish and (stages or known is not None or n_edges == 0):
+            known = _both(known, _ordered(edge, left))
+            break
+        into = edge.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("p"), F.min("w").alias("w"))
+        seen = left.join(into, F.col("node") == F.col("dst"), "left").select("node", "floor", F.coalesce("n", F.lit(0)).alias("n"), "p", "w")
+        ready = (F.col("n") == 0) | (F.col("floor") >= _ENDLESS)
+        single = ~ready & (F.col("n") == 1)
+        # level(node) = max(c, level(anchor) + d); `end`: the anchor is ready (R) or has several edges (J).
+        kind = F.when(ready, "R").when(single, None).otherwise("J")
+        at = seen.select(
+            "node",
+            "floor",
+            F.when(single, F.col("p")).otherwise(F.col("node")).alias("anchor"),
+            F.when(single, F.col("floor")).otherwise(F.lit(0)).cast("long").alias("c"),
+            F.when(single, F.col("w")).otherwise(F.lit(0)).cast("long").alias("d"),
+            kind.alias("end"),
+        )
+        at = _doubled(scratch, scratch.put(at), n_left)
+        roots = at.where("end = 'R' AND node = anchor").select(F.col("node").alias("anchor"), F.col("floor").alias("level"))
+        level = F.when(F.col("end").isNull(), F.lit(_ENDLESS)).when(F.col("end") == "R", F.greatest("c", F.col("level") + F.col("d")))
+        at = scratch.put(at.join(roots, "anchor", "left").withColumn("level", level))
+        known = _both(known, at.where("level IS NOT NULL").select("node", "level"))
+        stages.append(at.where("level IS NULL AND node <> anchor").select("node", "anchor", "c", "d"))
+        # Edges into nodes with several edges come from anchors now, or raise the floor.
+        joints = at.where("end = 'J' AND node = anchor").select("node", "floor")
+        lead = edge.join(joints.select(F.col("node").alias("dst")), "dst").join(at.select(F.col("node").alias("src"), "anchor", "c", "d", "level"), "src")
+        floor = F.when(F.col("anchor") == F.col("dst"), F.lit(_ENDLESS)).when(F.col("level").isNotNull(), F.col("level") + F.col("w")).otherwise(F.col("c") + F.col("w"))
+        lead = scratch.put(lead.select("anchor", "dst", (F.col("d") + F.col("w")).alias("w"), floor.alias("floor"), F.col("level").isNull().alias("open")))
+        raised = lead.groupBy(F.col("dst").alias("node")).agg(F.max("floor").alias("to"))
+        left = scratch.put(joints.join(raised, "node", "left").select("node", F.least(F.greatest("floor", "to"), F.lit(_ENDLESS)).alias("floor")))
+        edge = scratch.put(lead.where("open AND anchor <> dst").groupBy(F.col("anchor").alias("src"), "dst").agg(F.max("w").alias("w")))
+        before, n_left, n_edges = n_left, left.count(), edge.count()
+        if n_left == before:  # every node has several edges into it: all are in or behind cycles
+            known = _both(known, left.select("node", F.lit(_ENDLESS).alias("level")))
+            break
+    if known is None:
+        return left.select("node", F.lit(0).alias("level"))  # no rows
+    for stage in reversed(stages):
+        ends = known.select(F.col("node").alias("anchor"), "level")
+        known = scratch.put(known.unionByName(stage.join(ends, "anchor").select("node", F.greatest("c", F.col("level") + F.col("d")).alias("level"))))
+    result = scratch.keep(known.select("node", F.when(F.col("level") >= _ENDLESS, -1).otherwise(F.col("level")).cast("int").alias("level")))
+    scratch.drop()
+    return result
+
+
+def _both(one: DataFrame | None, other: DataFrame) -> DataFrame:
+    return other if one is None else one.unionByName(other)
+
+
+def _doubled(scratch: Scratch, at: DataFrame, nodes: int) -> DataFrame:
+    """Follows anchors to their ends; what has none after as many rounds as nodes have binary digits leads into a cycle."""
+    done, open_ = at.where("end IS NOT NULL"), at.where("end IS NULL")
+    for _ in range(nodes.bit_length() + 1):
+        if open_.isEmpty():
+            break
+        ends = done.unionByName(open_).select(F.col("node").alias("anchor"), F.col("anchor").alias("far"), F.col("c").alias("far_c"), F.col("d").alias("far_d"), F.col("end").alias("far_end"))
+        step = scratch.put(
+            open_.join(ends, "anchor").select(
+                "node", "floor", F.col("far").alias("anchor"), F.greatest("c", F.col("far_c") + F.col("d")).alias("c"), (F.col("d") + F.col("far_d")).alias("d"), F.col("far_end").alias("end")
+            )
+        )
+        done, open_ = done.unionByName(step.where("end IS NOT NULL")), step.where("end IS NULL")
+    return done.unionByName(open_)
+
+
+def _ordered(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """node, level of few nodes with floors and weighted edges, in one task."""
+    node = left.schema["node"].dataType
+    rows = edges.select("src", "dst", "w").unionByName(left.select(F.lit(None).cast(node).alias("src"), F.col("node").alias("dst"), F.col("floor").alias("w")))
 
     def run(batches):
-        src, dst = [], []
-        for b in batches:
-            src += b.column(0).to_pylist()
-            dst += b.column(1).to_pylist()
         after: dict = {}
-        waits = dict.fromkeys(src, 0)
-        for x, y in zip(src, dst, strict=True):
-            after.setdefault(x, []).append(y)
-            waits[y] = waits.get(y, 0) + 1
-        found = dict.fromkeys(waits, -1)
-        ready, level = [x for x, n in waits.items() if n == 0], first
+        waits: dict = {}
+        level: dict = {}
+        for b in batches:
+            for x, y, w in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if x is None:
+                    level[y] = w
+                    waits.setdefault(y, 0)
+                else:
+                    after.setdefault(x, []).append((y, w))
+                    waits[y] = waits.get(y, 0) + 1
+        final: dict = {}
+        ready = [x for x, n in waits.items() if n == 0 or level[x] >= _ENDLESS]
         while ready:
-            more = []
-            for x in ready:
-                found[x] = level
-                for y in after.get(x, ()):
-                    waits[y] -= 1
-                    if waits[y] == 0:
-                        more.append(y)
-            ready, level = more, level + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), to_arrow_type(node)), pa.array(list(found.values()), pa.int32())], ["node", "level"])
+            x = ready.pop()
+            if x in final:
+                continue
+            final[x] = level[x]
+            for y, w in after.get(x, ()):
+                level[y] = max(level[y], level[x] + w)
+                waits[y] -= 1
+                if waits[y] == 0 or level[y] >= _ENDLESS:
+                    ready.append(y)
+        found = [final.get(x, _ENDLESS) for x in level]
+        yield pa.RecordBatch.from_arrays([pa.array(list(level), to_arrow_type(node)), pa.array(found, pa.int64())], ["node", "level"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    node = edges.schema["src"].dataType
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, level int")
+    return rows.coalesce(1).mapInArrow(run, f"node {node.simpleString()}, level long")
 
 
 def topological_order(edges: DataFrame) -> DataFrame:

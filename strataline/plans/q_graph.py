@@ -190,6 +190,27 @@ def toposort(t):
     return graph.levels(used)
 
 
+@query(
+    "graph_deep_levels",
+    "G7 G8",
+    """WITH k AS (SELECT DISTINCT o_orderkey AS k FROM orders), c AS (SELECT a.k FROM k a JOIN k b ON b.k = a.k + 1), n AS (SELECT k FROM c UNION SELECT k + 1 FROM c),
+i AS (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM n), s AS (SELECT k, island, min(k) OVER (PARTITION BY island) AS first, max(k) OVER (PARTITION BY island) AS last FROM i),
+ring AS (SELECT island, min(k - 3) AS ring FROM s WHERE k % 5000 = 4999 AND k - 3 >= first GROUP BY island)
+SELECT k AS node, CASE WHEN k >= ring THEN -1 ELSE k - first END::INT AS level FROM s LEFT JOIN ring USING (island)""",
+)
+def deep(t):
+    """A chain over each stretch of following orders, with shortcuts and a few rings, ordered by the cluster alone."""
+    k = t.orders.select(F.col("o_orderkey").alias("src")).distinct()
+    chain = k.select("src", (F.col("src") + 1).alias("dst")).join(k.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+    chain = graph.cut(chain)
+    inside = chain.select(F.explode(F.array("src", "dst")).alias("k")).distinct()
+    # A shortcut or a ring stays within a stretch: all steps that it leaps over are there.
+    leap = lambda rows, back, by: rows.select(F.explode(F.sequence(F.lit(0), F.lit(by - 1))).alias("j"), "k").select("k", (F.col("k") - by + F.col("j") if back else F.col("k") + F.col("j")).alias("src")).join(chain, "src").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") == by).select(F.col("k").alias("src"), (F.col("k") - by if back else F.col("k") + by).alias("dst"))
+    shortcuts = leap(inside.where("k % 7 = 0"), False, 5)
+    rings = leap(inside.where("k % 5000 = 4999"), True, 3)
+    return graph.levels(chain.unionAll(shortcuts).unionAll(rings), finish=0)
+
+
 @query("graph_valid_edges", "J18", "SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def valid(t):
     e = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """A folder of its own in the shared folder for the tables of a loop; `keep` writes what stays, `drop` removes the rest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark).rstrip('/')}/loop-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The same rows as a written table: without lineage, with known size."""
+        self.n += 1
+        return self._written(df, f"{self.folder}/{self.n}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df, f"{self.folder}-result")
+
+    def drop(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that they need no copy of it."""
     sc = spark.sparkContext
