@@ -103,13 +103,17 @@ def stamped(df: DataFrame, status: str, at: Column) -> DataFrame:
 #: Letters of a name by which texts are looked for that may contain it.
 GRAM = 6
 
+#: Different grams of names that are broadcast, to drop all other grams of texts where they are read; more are met by a join.
+GRAMS_SENT = 200_000
+
 
 def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     """texts (key, text) and names (target, name) to key, target: which text contains which name, anywhere, as it stands.
 
-    A name is looked up by the GRAM letters of it whose hash is least (by all of a
-    shorter one) among the letters of the texts, so that nothing is compared with
-    everything; the exact test follows.  An empty name, or null, is in no text.
+    A name is looked up by the GRAM letters of it whose hash is least (by all of a shorter one)
+    among the letters of the texts, so that nothing is compared with everything.  Only keys and
+    grams travel; a text meets the names that may be in it by its key, once for each of them, for
+    the exact test.  An empty name, or null, is in no text; rows without a key are left out.
     """
     known = names.select("target", "name").where("name <> ''").distinct()
     size = F.least(F.length("name"), F.lit(GRAM))
@@ -120,7 +124,13 @@ def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
         return texts.select("key").join(known.select("target"), F.lit(False))
 
     def windows(n: int):
-        return F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    held = texts.select("key", "text", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("gram"))
-    return held.join(known, "gram").where(F.contains("text", F.col("name"))).select("key", "target").distinct()
+        # Every place's letters, by a look ahead that takes none of them: one pass, whatever the length.
+        return F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+    texts = texts.select("key", "text").where("key IS NOT NULL AND text IS NOT NULL")
+    held = texts.select("key", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("gram"))
+    wanted = known.select("gram").distinct()
+    if wanted.limit(GRAMS_SENT + 1).count() <= GRAMS_SENT:
+        held = held.join(F.broadcast(wanted), "gram", "left_semi")
+    maybe = held.join(known, "gram").select("key", "target", "name").distinct()
+    return texts.join(maybe, "key").where(F.contains("text", F.col("name"))).select("key", "target").distinct()
