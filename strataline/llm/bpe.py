@@ -65,12 +65,25 @@ _NEWER = (
 _CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _CAPITALS_BEGIN = b"\xe1\xb2\x89", b"\xea\x9f", b"\xf0\x90\xb5", b"\xf0\x96\xba"
+# Marks, in hexadecimal, that the library's composition doesn't know (it is of an older Unicode than that of its letters):
+# it neither moves them among other marks nor joins them to a letter. The last of them is no mark, but the second half of a letter.
+_LATER = (
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e "
+    "11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef 11930"
+)
 
 #: Classes of letters.
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _AT_SPACE = re.compile(r"[ \t\n\r]")
 
 
+def _ranges(listed: str) -> list[tuple[int, int]]:
+    return [tuple(int(x, 16) for x in (r.split("-") * 2)[:2]) for r in listed.split()]
+
+
+_AT_LATER = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(_LATER)) + "])")
+
+
 def byte_letters() -> list[str]:
     """A printable letter for each byte: itself where Latin-1 prints it, else the next unused one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -246,7 +259,8 @@ class Transducer:
 
     def _normal(self, text: str) -> bytes:
         if self.composes and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            later = _AT_LATER.search(text) is not None
+            text = "".join(unicodedata.normalize("NFC", t) for t in _AT_LATER.split(text)) if later else unicodedata.normalize("NFC", text)
         if self.lowers:  # letter by letter: a sigma at a word's end has no form of its own
             text = text.replace("\u03a3", "\u03c3").lower()
             data = text.encode()
@@ -413,8 +427,7 @@ def classes() -> np.ndarray:
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
             for m in regex.finditer(pattern, every):
                 table[first + m.start() : first + m.end()] = kind
-    for newer in _NEWER.split():
-        first, last = (int(x, 16) for x in (newer.split("-") * 2)[:2])
+    for first, last in _ranges(_NEWER):
         table[first : last + 1] = OTHER
     table[[ord(c) for c in _SPACE]] = SPACE
     return table

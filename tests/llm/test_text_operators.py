@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -77,6 +78,25 @@ def test_classes_are_the_library_s(coder, library):
         assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, points[at]
 
 
+def test_marks_are_composed_as_the_library_does(coder, library):
+    """Every pair of marks after a letter, those that its composition doesn't know included; and Hangul and joined letters."""
+    import unicodedata
+
+    same = lambda text: re.sub(r"\s+", " ", coder._normal(text).decode()) == library.normalizer.normalize_str(text)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    for m in marks:
+        assert same(" ".join(f"a{m}{x}" for x in marks)), hex(ord(m))
+    assert coder.encode("x\u073f\u1ac4y").tolist() == library.encode("x\u073f\u1ac4y", add_special_tokens=False).ids
+    rng = random.Random(7)
+    joined = [c for c in map(chr, range(0x110000)) if unicodedata.decomposition(c)[:1] not in ("", "<")]
+    halves = [unicodedata.normalize("NFD", c) for c in joined]
+    pool = [*halves, *joined, *marks, "a", "o", "\u1100", "\u1161", "\u11a8", "\uac00"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pool) for _ in range(12))
+        assert same(text), ascii(text)
+    assert all(map(same, halves))
+
+
 def test_other_tokenizer_files_are_refused(tmp_path):
     import json
 
@@ -260,8 +280,6 @@ def test_page_rows(spark):
 def test_extracted_articles_are_whole(spark):
     if not os.path.exists(DATA):
         pytest.skip("no tables")
-    import re
-
     for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         body = re.search(r"(?s)<article>(.*)</article>", r["html"])[1]
         import html as h
@@ -354,13 +372,11 @@ def test_densities_are_those_of_the_definition():
 
 
 def test_an_article_is_found_without_its_name(spark):
-    import re
-
     for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         assert htmltext.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])) == htmltext.main_text(r["html"]), r["page_id"]
 
 
-def test_broken_pages():
+def test_pages_broken_in_odd_places():
     assert htmltext.main_text("<p><![CDATA[hello world") == "hello world" and htmltext.main_text("<p><![CDATA[a]]> b") == "a b"
     assert htmltext.main_text("<i>" * 30_000 + "x" + "</b>" * 30_000) == "x"
     assert htmltext.main_text("<div>" * 3000 + "deep " * 30 + "</div>" * 3000).startswith("deep deep")
