@@ -47,6 +47,8 @@ from .common import batch
 
 #: Pairs of tokens that are remembered, and steps of the transducer; all are forgotten when there are more.
 PAIRS, STEPS = 250_000, 500_000
+#: Bytes of words and their ids that are remembered between slices of text, with what Python adds to each, and the longest of such words.
+WORD_BYTES, SHORT = 48 << 20, 32
 #: Letters of text whose words are encoded together, letters that are cut into words at once, and ids decoded at once.
 SLICE, CUT, IDS = 1 << 22, 1 << 20, 1 << 16
 
@@ -137,6 +139,8 @@ class Transducer:
         #: Beginnings of longer tokens.
         self.stems = {t[:k] for t in self.tokens for k in range(1, self._size(t))}
         self._forget()
+        self._known: dict[bytes, bytes] = {}
+        self._known_bytes = 0
         self.lookahead = max((len(self._symbols(t)) for t in self.ids), default=1)
 
     # -- the merge list ---------------------------------------------------
@@ -316,7 +320,17 @@ class Transducer:
         return ids, ends[np.concatenate(([0], np.cumsum(np.concatenate(per_row))))]
 
     def _ids_of(self, word: bytes) -> bytes:
-        return b"".join(self.word_ids(word))
+        """Ids of a word; those of short words are remembered, up to WORD_BYTES."""
+        ids = self._known.get(word)
+        if ids is None:
+            ids = b"".join(self.word_ids(word))
+            if len(word) <= SHORT:
+                self._known_bytes += len(word) + len(ids) + 200
+                if self._known_bytes > WORD_BYTES:
+                    self._known.clear()
+                    self._known_bytes = 0
+                self._known[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of one text."""
