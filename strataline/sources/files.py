@@ -2,66 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators.relational import last_wins
-
-
-_FILE = "path string, size long, modified timestamp, content binary"
-
-
-def left_out(spark: SparkSession, root: str, wanted) -> DataFrame:
-    """The files that Spark's readers don't list: empty ones, and names that begin with _ or a dot, such as package markers.
-
-    They are few and small beside the rest of a tree, and are read through the same
-    file system on the driver. wanted(path) says which of them count.
-    """
-    import datetime
-
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    rows = []
-    found = fs.listFiles(top, True)
-    while found.hasNext():
-        f = found.next()
-        path = f.getPath().toUri().getPath()[len(base) :]
-        if (f.getLen() == 0 or any(p[0] in "_." for p in path.split("/"))) and wanted(path):
-            stream = fs.open(f.getPath())
-            content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-            stream.close()
-            rows.append((path, f.getLen(), datetime.datetime.fromtimestamp(f.getModificationTime() / 1000), bytearray(content)))
-    return spark.createDataFrame(rows, _FILE)
+from ..session import cut
+from . import tree as tree_walk
 
 
 def source_files(spark: SparkSession, root: str, extensions: list[str] | None = None, folders: list[str] | None = None) -> DataFrame:
-    """path (below root), size, modified, content of supported files; skipped and dotted folders are left out.
+    """path (below root), size, modified, content and error of supported files; skipped and dotted folders are left out.
 
-    The names are filtered while files are listed, folders before contents are read.
+    folders: only paths that begin so. Names are filtered before contents are read, folders before they are listed.
     """
-    root = root.rstrip("/")
     wanted = [e for e in fixed.SOURCE_EXTENSIONS if extensions is None or e in extensions]
-    # Any case of an extension: *.[pP][yY]
-    glob = "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted) + "}" if wanted else "*.none"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    path = F.regexp_extract("path", "^.*?" + _quoted(root.split("://")[-1]) + r"/+(.*)$", 1)
-    rows = rows.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    rows = rows.unionByName(left_out(spark, root, lambda p: any(p.lower().endswith(e) for e in wanted)))
-    rows = rows.where(~skipped("path"))
-    if folders:
-        test = F.lit(False)
-        for f in folders:
-            test = test | F.col("path").startswith(f)
-        rows = rows.where(test)
-    return rows
-
-
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if c in r"\.[]{}()*+?^$|" else c for c in text)
+    test = reduce(or_, [F.lower("path").endswith(e) for e in wanted], F.lit(False))
+    found = tree_walk.entries(spark, root, beginnings=folders or None).where("type = 'file'").where(test)
+    return tree_walk.contents(spark, root, found)
 
 
 def skipped(path) -> Column:
@@ -75,7 +37,7 @@ def texts(files: DataFrame) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    keep = files.select("path", "size", "content")
+    keep = files.select("path", "size", "content").where("content IS NOT NULL")
     schema = T.StructType([*keep.drop("content").schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches):
@@ -87,14 +49,15 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def unreadable(files: DataFrame) -> DataFrame:
-    """Files that are refused, and why."""
-    return files.select("path", tx.file_error("path", "size").alias("error")).where("error <> ''")
+    """Files that are refused or couldn't be read, and why."""
+    own = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    return files.select("path", F.coalesce(own, tx.file_error("path", "size")).alias("error")).where("error <> ''")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """name, kind and size of the files below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    return rows.select(tx.basename("path").alias("name"), tx.file_kind(tx.basename("path")).alias("kind"), F.col("length").alias("size"))
+    """name, kind and size of the files below a folder, skipped folders included."""
+    rows = tree_walk.entries(spark, root, prune=False).where("type = 'file'")
+    return rows.select(tx.basename("path").alias("name"), tx.file_kind(tx.basename("path")).alias("kind"), "size")
 
 
 def tree(files: DataFrame, path: str = "path", suffixes: list[str] | None = None) -> DataFrame:
@@ -107,19 +70,37 @@ def tree(files: DataFrame, path: str = "path", suffixes: list[str] | None = None
 
 
 def contexts(spark: SparkSession, root: str) -> DataFrame:
-    """directory, description and files of each `.context.yaml` below root; broken ones have an error."""
+    """directory, description and files of each `.context.yaml` below root; broken ones and unreadable ones have an error."""
+    return contexts_at(spark, root).drop("at")
+
+
+def contexts_at(spark: SparkSession, root: str) -> DataFrame:
+    """contexts, and at: the folder that each file lies in."""
     from ..functions.parsing import flat
 
-    raw = left_out(spark, root, lambda p: p.rsplit("/", 1)[-1] == ".context.yaml")
-    raw = raw.select("path", F.decode("content", "UTF-8").alias("text"))
-    return flat(raw, context_rows, CONTEXT, "path", "text")
+    found = tree_walk.entries(spark, root).where("type = 'file'").where(tx.basename("path") == ".context.yaml")
+    raw = tree_walk.contents(spark, root, found).select(tx.dirname("path").alias("at"), F.col("error").alias("unread"), F.decode("content", "UTF-8").alias("text"))
+    return flat(raw, context_rows, CONTEXT, "at", "text", "unread")
+
+
+def inherited(contexts: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """files with the context (directory, description, at) of the nearest folder at or above each that has a valid one."""
+    at = F.when(F.col("at") == ".", "").otherwise(F.col("at"))
+    valid = contexts.where("error IS NULL").select(at.alias("_at"), F.struct("directory", "description", at.alias("at")).alias("context"))
+    parts = F.split(F.col(path), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    rows = files.select(path, F.posexplode(above).alias("_depth", "_at")).join(valid, "_at")
+    nearest = rows.groupBy(path).agg(F.max_by("context", "_depth").alias("context"))
+    return files.join(nearest, path, "left")
 
 
 CONTEXT = "directory string, description string, files array<struct<name:string,purpose:string,type:string,key_apis:array<string>>>, error string"
 
 
-def context_rows(text: str, path: str = "") -> list[dict]:
-    """One row of a context file; what it lacks has defaults."""
+def context_rows(text: str, unread: str = "") -> list[dict]:
+    """One row of a context file; what it lacks has defaults. unread: why the file couldn't be read, if it couldn't."""
+    if unread:
+        return [{"directory": "", "description": "", "files": [], "error": unread}]
     try:
         import yaml
 
@@ -144,17 +125,72 @@ def context_rows(text: str, path: str = "") -> list[dict]:
 
 
 def runtime_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each key of a JSON object of statistics."""
+    """One row for each key of the JSON objects of statistics in a file or a folder of files; a broken file gives no rows."""
     kind = "map<string,struct<error_rate:double,avg_latency_ms:double,p99_latency_ms:double,request_count:long,last_error:string,last_error_time:string>>"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
     return raw.select(F.explode("m").alias("key", "s")).select("key", "s.*")
 
 
-def decisions(spark: SparkSession, root: str, limit: int = 1000) -> DataFrame:
-    """JSON decisions of a folder, the newest files first."""
-    schema = "id string, title string, description string, context string, decision string, reasoning string, source_ref string, status string, tags array<string>, made_at string, embedding array<double>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(root).withColumn("modified", F.col("_metadata.file_modification_time"))
-    return with_decision_defaults(rows.orderBy(F.desc("modified"), "id").limit(limit))
+_DECISION = "id string, title string, description string, context string, decision string, reasoning string, source_ref string, status string, tags array<string>, made_at string, embedding array<double>"
+
+
+def decisions(spark: SparkSession, root: str, limit: int | None = 1000) -> DataFrame:
+    """JSON decisions of a folder, the newest files first (then by id); broken files are in `broken_decisions`."""
+    rows = spark.read.schema(f"{_DECISION}, _broken string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(root)
+    rows = rows.withColumn("modified", F.col("_metadata.file_modification_time")).where("_broken IS NULL").drop("_broken").orderBy(F.desc("modified"), "id")
+    return with_decision_defaults(rows if limit is None else rows.limit(limit))
+
+
+def broken_decisions(spark: SparkSession, root: str) -> DataFrame:
+    """name and text of the files of a folder that hold no JSON object or array."""
+    raw = spark.read.text(root, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    return raw.where(kind.isNull() | ~kind.rlike("^(OBJECT|ARRAY)"))
+
+
+def rules(spark: SparkSession, path: str, fallback: list[tuple] = fixed.RULES) -> DataFrame:
+    """rule_id, category, pattern, severity, message of the YAML files of rules at a path, read by tasks.
+
+    A file maps categories to lists of rules (pattern, severity, message), or has them under
+    `rules`; a rule may be its pattern alone.  Rules without a pattern that compiles are left
+    out.  Where no file gives a rule (none is there, or all are broken), the built-in ones hold.
+    """
+    from ..functions.parsing import flat
+    from ..operators.rules import rules_table
+
+    found = tree_walk.entries(spark, path).where("type = 'file'").where(F.lower("path").rlike(r"\.ya?ml$"))
+    raw = tree_walk.contents(spark, path, found).select("path", F.decode("content", "UTF-8").alias("text"))
+    loaded = cut(flat(raw, rule_rows, "place int, category string, pattern string, severity string, message string", "path", "text"))
+    if loaded.isEmpty():
+        return rules_table(spark, fallback)
+    order = Window.orderBy("path", "place")  # as many rows as people have written rules
+    return loaded.select((F.row_number().over(order) - 1).alias("rule_id"), "category", "pattern", "severity", "message")
+
+
+def rule_rows(text: str, path: str = "") -> list[dict]:
+    """The rules of one YAML text, in order; none if it is broken."""
+    import re
+
+    import yaml
+
+    try:
+        data = yaml.safe_load(text)
+    except yaml.YAMLError:
+        return []
+    data = data.get("rules", data) if isinstance(data, dict) else {}
+    out = []
+    for category, listed in data.items() if isinstance(data, dict) else ():
+        for rule in listed if isinstance(listed, list) else ():
+            rule = {"pattern": rule} if isinstance(rule, str) else rule
+            if not isinstance(rule, dict) or not isinstance(rule.get("pattern"), str):
+                continue
+            try:
+                re.compile(rule["pattern"])
+            except re.error:
+                continue
+            severity = str(rule.get("severity", "medium")).lower()
+            out.append({"place": len(out), "category": str(category), "pattern": rule["pattern"], "severity": severity if severity in fixed.SEVERITIES else "medium", "message": str(rule.get("message", ""))})
+    return out
 
 
 def with_decision_defaults(rows: DataFrame) -> DataFrame:
