@@ -55,15 +55,16 @@ class Engine:
         texts = files.texts(files.source_files(self.spark, root))
         come = changes.where("kind <> 'deleted'").select("path").distinct()
         fresh = self.embedded(self.chunks(texts.join(come, "path", "left_semi").select("path", "text")))
-        old = self.spark.read.parquet(f"{self.store}/chunks")
-        stores.replace(maintenance.reindexed(old, changes, fresh.select(old.columns)), f"{self.store}/chunks")
+        path = f"{self.store}/chunks"
+        old = lambda v: stores.read(self.spark, path, version=v)
+        stores.change(self.spark, path, lambda v: maintenance.reindexed(old(v), changes, fresh.select(old(v).columns)))
         return self.index_check()
 
     def index_check(self) -> DataFrame:
-        return vector.stats(self.spark.read.parquet(f"{self.store}/chunks"))
+        return vector.stats(stores.read(self.spark, f"{self.store}/chunks"))
 
     def delete_index(self) -> None:
-        chunks = self.spark.read.parquet(f"{self.store}/chunks")
+        chunks = stores.read(self.spark, f"{self.store}/chunks")
         stores.replace(chunks.limit(0), f"{self.store}/chunks")
 
     def estimate(self, root: str) -> DataFrame:
@@ -74,14 +75,14 @@ class Engine:
         path = f"{self.store}/history"
         if entry is not None:
             stores.append_history(entry, path, "date")
-        return self.spark.read.parquet(path).orderBy(F.desc("date"))
+        return stores.read(self.spark, path).orderBy(F.desc("date"))
 
     # -- questions ------------------------------------------------------------
 
     def search(self, query: list[float], k: int = 10, filters: dict | None = None) -> DataFrame:
         from ..operators.relational import select
 
-        rows = select(self.spark.read.parquet(f"{self.store}/chunks"), filters=filters)
+        rows = select(stores.read(self.spark, f"{self.store}/chunks"), filters=filters)
         return vector.nearest(rows, query, max(1, min(20, k)))
 
     def ask(self, query: list[float], k: int = 10) -> DataFrame:
@@ -148,7 +149,7 @@ class Engine:
         stores.put(report, f"{self.store}/impact", ["file"])
 
     def saved_impact(self, file: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store}/impact").where(F.col("file") == file)
+        return stores.read(self.spark, f"{self.store}/impact").where(F.col("file") == file)
 
     def breaking_changes(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """What changed between two versions of files (path, text)."""
@@ -187,7 +188,7 @@ class Engine:
     def compliance_report(self, findings: DataFrame) -> DataFrame:
         report = rules.histogram(findings).withColumn("project", F.lit(self.project))
         stores.put(report, f"{self.store}/compliance", ["project"])
-        return self.spark.read.parquet(f"{self.store}/compliance").where(F.col("project") == self.project)
+        return stores.read(self.spark, f"{self.store}/compliance").where(F.col("project") == self.project)
 
     def checks(self) -> DataFrame:
         return rules.checks_table(self.spark)
@@ -226,7 +227,7 @@ class Engine:
         """Files to read first: the best chunk of each over several queries, as far as a budget of characters goes."""
         from ..operators.relational import within_budget
 
-        chunks = self.spark.read.parquet(f"{self.store}/chunks").withColumn("vec_id", F.xxhash64("id"))
+        chunks = stores.read(self.spark, f"{self.store}/chunks").withColumn("vec_id", F.xxhash64("id"))
         hits = vector.nearest_many(chunks, queries, 10).join(chunks.select("vec_id", "file_path", "chunk_text"), "vec_id")
         best = hits.groupBy("file_path").agg(F.max("sim").alias("score"), F.max_by("chunk_text", "sim").alias("snippet")).orderBy(F.desc("score"), "file_path").limit(20)
         return within_budget(best.withColumn("_k", F.lit(1)), ["_k"], [F.desc("score"), F.asc("file_path")], F.length("snippet"), budget).drop("_k")

@@ -78,7 +78,7 @@ def incremental(t):
     schema = "file_path string, v string"
     q = streams.apply_changes(changes, lambda: stores.read(t.spark, f"{base}/index", schema), lambda df: stores.replace(df, f"{base}/index"), lambda b: b.where("kind <> 'deleted'").select(F.col("path").alias("file_path"), F.lit("kept").alias("v")))
     q.awaitTermination()
-    return t.spark.read.parquet(f"{base}/index")
+    return stores.read(t.spark, f"{base}/index")
 
 
 @query("stream_last_messages", "ST5 W7", "SELECT user_id::VARCHAR AS session, list_sort(list(event_id ORDER BY event_id DESC)[1:5])::VARCHAR AS turns FROM events GROUP BY user_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 class Tables:

@@ -92,7 +92,7 @@ def test_index_and_update(spark, root, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     first = e.index(root).first()
     assert first["n"] > 8 and first["dimension"] == 64
-    chunks = spark.read.parquet(f"{e.store}/chunks")
+    chunks = stores.read(spark, f"{e.store}/chunks")
     one = chunks.where("file_path = 'a.py' and chunk_type = 'function'").first()
     assert (one["start_line"], one["end_line"]) == (2, 10)
     top = e.search(list(one["embedding"]), 3)
@@ -100,7 +100,7 @@ def test_index_and_update(spark, root, tmp_path):
     assert e.ask(list(one["embedding"])).count() == 10
     changes = spark.createDataFrame([("deleted", "a.py", None), ("modified", "z.ts", None)], "kind string, path string, old_path string")
     after = e.update(root, changes).first()["n"]
-    now = spark.read.parquet(f"{e.store}/chunks")
+    now = stores.read(spark, f"{e.store}/chunks")
     assert now.where("file_path = 'a.py'").count() == 0 and now.where("file_path = 'z.ts'").count() == 1 and after < first["n"]
     e.index_history(spark.createDataFrame([(k, f"c{k}") for k in range(25)], "date long, sha string"))
     assert e.index_history().count() == 20
@@ -240,9 +240,9 @@ def test_stores(spark, tmp_path):
     df = lambda *xs: spark.createDataFrame(list(xs), "id long, v string")
     stores.put(df((1, "a"), (2, "b")), p, ["id"])
     stores.put(df((2, "c"), (3, "d")), p, ["id"])
-    assert rows(spark.read.parquet(p), "id", "v") == [(1, "a"), (2, "c"), (3, "d")]
+    assert rows(stores.read(spark, p), "id", "v") == [(1, "a"), (2, "c"), (3, "d")]
     stores.drop_rows(spark, p, spark.createDataFrame([(1,)], "id long"))
-    assert spark.read.parquet(p).count() == 2
+    assert stores.read(spark, p).count() == 2
     with pytest.raises(ValueError):
         stores.append_vectors(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "k long, embedding array<double>"), str(tmp_path / "v"))
     s = stores.Sessions(spark, str(tmp_path / "s"))

@@ -11,7 +11,7 @@ import pytest
 from strataline import plans
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 pytestmark = pytest.mark.skipif(not os.path.exists(FOLDER), reason="no tables")
 
