@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -45,10 +46,10 @@ from pyspark.sql import DataFrame
 from .bytesops import pieces
 from .common import batch
 
-#: Pairs of tokens that are remembered, and steps of the transducer; all are forgotten when there are more.
-PAIRS, STEPS = 250_000, 500_000
+#: Pairs of tokens that are remembered (all are forgotten when there are more), and steps of the transducer (the first ones met).
+PAIRS, STEPS = 150_000, 150_000
 #: Bytes of words and their ids that are remembered between slices of text, with what Python adds to each, and the longest of such words.
-WORD_BYTES, SHORT = 48 << 20, 32
+WORD_BYTES, SHORT = 32 << 20, 32
 #: Letters of text whose words are encoded together, letters that are cut into words at once, and ids decoded at once.
 SLICE, CUT, IDS = 1 << 22, 1 << 20, 1 << 16
 
@@ -110,7 +111,10 @@ class State(dict):
         self.coder, self.ways = coder, ways
 
     def __missing__(self, byte: int) -> tuple[State | None, bytes]:
-        got = self[byte] = self.coder._step(self.ways, byte)
+        got = self.coder._step(self.ways, byte)
+        if self.coder.steps < STEPS:
+            self.coder.steps += 1
+            self[byte] = got
         return got
 
 
@@ -132,16 +136,24 @@ class Transducer:
         self.letters = byte_letters()
         self._byte = {c: b for b, c in enumerate(self.letters)}
         self._split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._apart: dict[tuple[str, str], bool] = {}
         self._parts = {a + b: (a, b) for a, b in reversed(self.ranks)}
         self._spines: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.tokens = {t for t in self.ids if self.merged(self._symbols(t)) == [t]}
         #: Beginnings of longer tokens.
         self.stems = {t[:k] for t in self.tokens for k in range(1, self._size(t))}
-        self._forget()
+        self.let_go()
+        self.lookahead = max((len(self._symbols(t)) for t in self.ids), default=1)
+
+    def let_go(self) -> None:
+        """Forgets states, words and pairs: a worker that goes on with other work needn't hold them."""
+        self._states: dict[tuple, State] = {}
+        #: Steps that are remembered. Later ones are worked out again when they are met, which is seldom, as words are remembered too.
+        self.steps = 0
+        self._start = self._state((("", "", ()),))
         self._known: dict[bytes, bytes] = {}
         self._known_bytes = 0
-        self.lookahead = max((len(self._symbols(t)) for t in self.ids), default=1)
+        self._apart: dict[tuple[str, str], bool] = {}
+        gc.collect()  # states lead to each other in circles
 
     # -- the merge list ---------------------------------------------------
 
@@ -205,15 +217,12 @@ class Transducer:
     def _size(self, token: str) -> int:
         return len(token) - (len(self.end) if self.end and token.endswith(self.end) and len(token) > len(self.end) else 0)
 
-    def _forget(self) -> None:
-        self._states: dict[tuple, State] = {}
-        self._steps = 0
-        self._start = self._state((("", "", ()),))
-
     def _state(self, ways: tuple) -> State:
         got = self._states.get(ways)
         if got is None:
-            got = self._states[ways] = State(self, ways)
+            got = State(self, ways)
+            if self.steps < STEPS:
+                self._states[ways] = got
         return got
 
     def _new(self, ways: tuple, letters: str) -> tuple[str, tuple[int, ...]] | None:
@@ -226,9 +235,6 @@ class Transducer:
 
     def _step(self, ways: tuple, byte: int) -> tuple[State | None, bytes]:
         """The state after one more letter, and the ids that are stable now; after the word's end all are."""
-        if self._steps >= STEPS:
-            self._forget()
-        self._steps += 1
         c = self.letters[byte % LAST]
         found = self._new(ways, c if byte < LAST else c + self.end)
         after = [(stem + c, left, unsent) for stem, left, unsent in ways if stem + c in self.stems] if byte < LAST else []
@@ -558,6 +564,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 ids, off = coder.encode_rows(texts)
                 rows += [one(coder, None, ids[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield batch(_DIGEST, b.column(0), *map(list, zip(*rows, strict=True))) if rows else _DIGEST.empty_table().to_batches()[0]
+        coder.let_go()
 
     return df.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -586,5 +593,6 @@ def encoded(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "de
                 rows += [got[x:y].astype(np.int32) for x, y in zip(off, off[1:], strict=False)]
                 texts += ["".join(coder.decode(got[x:y])) for x, y in zip(off, off[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*b.schema.names, ids, decoded])
+        coder.let_go()
 
     return keep.withColumn("text", F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))
