@@ -14,7 +14,7 @@ from .registry import query
 _OWN = "own AS (SELECT file, author, count(DISTINCT sha) AS commits, max(date) AS last_date FROM blame GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY commits DESC, author) AS rank FROM own)"
 
 
-@query("git_expertise_map", "A2 S5 S23 W1", f"WITH {_OWN} SELECT file, author, commits, last_date, rank::INT AS rank FROM rk", views="blame")
+@query("git_expertise_map", "A2 S5 W1", f"WITH {_OWN} SELECT file, author, commits, last_date, rank::INT AS rank FROM rk", views="blame")
 def expertise_map(t):
     return git.expertise_map(t.blame)
 

@@ -177,7 +177,7 @@ def merge(t):
 
 @query(
     "graph_toposort_level",
-    "G7 G8 X11",
+    "G7 G8",
     """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS src, 1000 + n_nationkey AS dst FROM nation UNION SELECT DISTINCT 1000 + c_nationkey, 100000 + c_custkey FROM customer UNION SELECT DISTINCT 100000 + o_custkey, 10000000 + o_orderkey FROM orders),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l0 AS (SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)),
 l AS (SELECT node, 0 AS level FROM l0 UNION ALL SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node)
@@ -221,7 +221,7 @@ def valid(t):
 
 @query(
     "graph_tree_edges",
-    "G11 S34",
+    "G11",
     """WITH f AS (SELECT DISTINCT file FROM commits), p AS (SELECT string_split(file, '/') AS p FROM f), x AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM p)
 SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS src, array_to_string(p[1:i], '/') AS dst FROM x""",
     views="commits",

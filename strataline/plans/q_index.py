@@ -86,7 +86,7 @@ def incremental(t):
     return maintenance.reindexed(index, x, fresh)
 
 
-@query("idx_upsert_lastwins", "D2 S21 S25 S26", "SELECT o_custkey AS k, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS last_order FROM orders GROUP BY 1")
+@query("idx_upsert_lastwins", "D2 S21", "SELECT o_custkey AS k, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS last_order FROM orders GROUP BY 1")
 def upsert_last(t):
     rows = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("last_order"), "o_orderdate")
     return last_wins(rows, ["k"], [F.col("o_orderdate"), F.col("last_order")]).select("k", "last_order")
@@ -94,7 +94,7 @@ def upsert_last(t):
 
 @query(
     "idx_upsert_merge",
-    "D1 D2 S25",
+    "D1 D2",
     "WITH n AS (SELECT doc_id, 'new' AS v FROM labels) SELECT doc_id, 'old' AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT DISTINCT doc_id, v FROM n",
 )
 def upsert_merge(t):

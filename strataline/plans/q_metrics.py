@@ -124,7 +124,7 @@ _LEVEL = "CASE WHEN error_rate > 5 OR p99_latency_ms > 5000 THEN 'critical' WHEN
 
 @query(
     "runtime_alerts",
-    "F59 F60 S18",
+    "F59 F60",
     f"""SELECT key, error_rate, p99_latency_ms, {_LEVEL} AS level, CASE {_LEVEL} WHEN 'critical' THEN '🔴 CRITICAL:' WHEN 'warning' THEN '⚠️ WARNING:' ELSE '✅ Healthy:' END || ' | ' || CASE WHEN error_rate > 0 THEN 'Error rate: ' || format('{{:.1f}}', error_rate) || '%' ELSE 'No errors' END AS summary FROM runtime""",
     views="runtime",
 )

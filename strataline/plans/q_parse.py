@@ -157,7 +157,7 @@ _DECISION = "CASE turn % 3 WHEN 0 THEN concat('```json\\n[{\"title\": \"use ', c
 
 @query(
     "decisions_parsed",
-    "F82 S19 X6",
+    "F82 X6",
     """SELECT conv_id, turn, 'use ' || conv_id AS title, 'active' AS status, 1.0::DOUBLE AS confidence, 0 AS tags FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT conv_id, turn, 'two', 'active', 0.5, 1 FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT conv_id, turn, 'one', 'done', 0.5, 0 FROM conversations WHERE turn % 3 = 1""",
 )
 def decisions(t):

@@ -58,7 +58,7 @@ def _contexts(t):
     return g.select(F.col("source").alias("directory"), F.concat(F.lit("Documents of "), "source", F.lit(" in "), "l").alias("description"), "files", F.lit(None).cast("string").alias("error"))
 
 
-@query("rag_context_search", "F64 T9 S17", f"WITH {_CONTEXT} SELECT directory, (CASE WHEN contains(description, 'fr') THEN 2.0 ELSE 0.0 END + 2.5 * fr)::DOUBLE AS score FROM c WHERE contains(description, 'fr') OR fr > 0 ORDER BY score DESC, directory LIMIT 5")
+@query("rag_context_search", "F64 T9", f"WITH {_CONTEXT} SELECT directory, (CASE WHEN contains(description, 'fr') THEN 2.0 ELSE 0.0 END + 2.5 * fr)::DOUBLE AS score FROM c WHERE contains(description, 'fr') OR fr > 0 ORDER BY score DESC, directory LIMIT 5")
 def context_search(t):
     return rag.context_search(_contexts(t), "FR").select("directory", "score")
 
@@ -70,7 +70,7 @@ def sections(t):
     return t.documents.groupBy("source").agg(F.sum(one).alias("score"))
 
 
-@query("rag_context_validate", "A33 S17", f"WITH {_CONTEXT} SELECT count(*) AS total, count(*) FILTER (directory <> 'src0') AS valid, count(*) FILTER (directory = 'src0') AS invalid FROM c")
+@query("rag_context_validate", "A33", f"WITH {_CONTEXT} SELECT count(*) AS total, count(*) FILTER (directory <> 'src0') AS valid, count(*) FILTER (directory = 'src0') AS invalid FROM c")
 def validate(t):
     return rag.validated(_contexts(t).withColumn("error", F.when(F.col("directory") == "src0", "broken")))
 

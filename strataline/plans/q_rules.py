@@ -18,7 +18,7 @@ def _findings(t):
     return rules.line_scan(t.documents, fixed.TEXT_RULES)
 
 
-@query("rules_line_scan", "R1 S16 F7 R10", f'WITH {_SCAN} SELECT doc_id, line, rule_id, severity, matched, (strpos(content, matched) - 1)::INT AS "column" FROM f')
+@query("rules_line_scan", "R1 F7 R10", f'WITH {_SCAN} SELECT doc_id, line, rule_id, severity, matched, (strpos(content, matched) - 1)::INT AS "column" FROM f')
 def line_scan(t):
     return _findings(t).select("doc_id", "line", "rule_id", "severity", "matched", "column")
 
@@ -44,7 +44,7 @@ def multi_lines(t):
 
 @query(
     "rules_severity_hist",
-    "A4 A5 A6 S26",
+    "A4 A5 A6",
     f"""WITH {_SCAN}, h AS (SELECT doc_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM f GROUP BY doc_id)
 SELECT *, greatest(0.0::DOUBLE, least(100.0, 100.0 - (25 * critical + 10 * high + 3 * medium + low))::DOUBLE) AS score, greatest(0.0, 100.0 - (25 * critical + 10 * high + 3 * medium + low)) >= 70 AND critical = 0 AS passed FROM h""",
 )
@@ -111,14 +111,30 @@ def secrets(t):
     return m.select("doc_id", tx.masked("s").alias("masked")).groupBy("doc_id", "masked").agg(F.count("*").alias("n"))
 
 
-@query("rules_checks", "R8", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in c) + ")" for c in fixed.CHECKS) + ") AS v(id, name, description, category, default_severity)")
+@query(
+    "rules_checks",
+    "R8",
+    f"WITH {_SCAN}, c AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in c) + ")" for c in fixed.CHECKS) + """) AS v(id, name, description, category, default_severity))
+SELECT id, name, description, c.category, default_severity, (SELECT count(*) FROM f WHERE f.severity = c.default_severity) AS findings FROM c""",
+)
 def checks(t):
-    return rules.checks_table(t.spark)
+    """The registry of checks, each with the findings in documents that have its severity."""
+    found = _findings(t).groupBy(F.col("severity").alias("default_severity")).agg(F.count("*").alias("findings"))
+    return rules.checks_table(t.spark).join(found, "default_severity", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
-@query("rules_catalogue", "S16 R10", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n})" for c, n in sorted({c: sum(r[0] == c for r in fixed.RULES) for c, *_ in fixed.RULES}.items())) + ") AS v(category, n)")
+@query(
+    "rules_catalogue",
+    "R10",
+    "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n})" for c, n in sorted({c: sum(r[0] == c for r in fixed.RULES) for c, *_ in fixed.RULES}.items())) + ") AS v(category, n)) SELECT category, n, count(doc_id) AS documents FROM c LEFT JOIN documents ON contains(lower(text), split_part(category, '_', 1)) GROUP BY category, n",
+)
 def catalogue(t):
-    return rules.rules_table(t.spark, [*fixed.RULES, ("broken", "(", "high", "left out")]).groupBy("category").agg(F.count("*").cast("int").alias("n"))
+    """How many rules each category has (one that doesn't compile is left out), and how many documents name it."""
+    sizes = rules.rules_table(t.spark, [*fixed.RULES, ("broken", "(", "high", "left out")]).groupBy("category").agg(F.count("*").cast("int").alias("n"))
+    names = sorted({c for c, *_ in fixed.RULES})
+    named = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(c.split("_")[0])), c) for c in names]))
+    told = t.documents.select(F.explode(named).alias("category")).groupBy("category").agg(F.count("*").alias("documents"))
+    return sizes.join(told, "category", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
 
 
 @query(

@@ -59,7 +59,7 @@ def dedupe(t):
     return streams.drained(streams.deduped(twice.unionAll(_events(t)), ["event_id"], late="60 days").select("event_id")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("stream_running_severity", "ST3 ST1", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("stream_running_severity", "ST3", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def running(t):
     out = streams.drained(streams.running_counts(_events(t), ["event_type"]), "update")
     return streams.latest_updates(out, ["event_type"])

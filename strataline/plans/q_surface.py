@@ -28,7 +28,7 @@ def table_functions(t):
 
 @query(
     "context_generated",
-    "X7 S33 G11",
+    "X7 G11",
     """WITH f AS (SELECT DISTINCT file FROM commits), d AS (SELECT array_to_string(string_split(file, '/')[1:2], '/') AS directory, count(*) AS n FROM f GROUP BY 1)
 SELECT directory, 'Directory containing ' || n || ' files and 0 subdirectories.' AS description, n FROM d UNION ALL SELECT 'src', 'Directory containing 0 files and ' || (SELECT count(*) FROM d) || ' subdirectories.', 0 UNION ALL SELECT '', 'Directory containing 0 files and 1 subdirectories.', 0""",
     views="commits",

@@ -40,7 +40,7 @@ def path_parts(t):
 _NAME = "CASE doc_id % 9 WHEN 0 THEN 'test_' || source || '.py' WHEN 1 THEN 'routes' WHEN 2 THEN source || '_schema.py' WHEN 3 THEN 'middleware.ts' WHEN 4 THEN 'user_model.py' WHEN 5 THEN 'config' WHEN 6 THEN 'helpers' WHEN 7 THEN 'useThing' ELSE source || '.vue' END"
 
 
-@query("file_kind", "F3 P28 S33", f"SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'test' WHEN 1 THEN 'api' WHEN 2 THEN 'schema' WHEN 3 THEN 'middleware' WHEN 4 THEN 'model' WHEN 5 THEN 'config' WHEN 6 THEN 'util' WHEN 7 THEN 'hook' ELSE 'component' END AS kind, doc_id % 9 = 0 AS is_test, {_NAME} AS name FROM documents")
+@query("file_kind", "F3 P28", f"SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'test' WHEN 1 THEN 'api' WHEN 2 THEN 'schema' WHEN 3 THEN 'middleware' WHEN 4 THEN 'model' WHEN 5 THEN 'config' WHEN 6 THEN 'util' WHEN 7 THEN 'hook' ELSE 'component' END AS kind, doc_id % 9 = 0 AS is_test, {_NAME} AS name FROM documents")
 def file_kind(t):
     d = t.documents.select("doc_id", F.expr(_NAME).alias("name"))
     return d.select("doc_id", tx.file_kind("name").alias("kind"), tx.is_test_file("name").alias("is_test"), "name")
@@ -176,7 +176,7 @@ def js(t):
     return r.select("l_linenumber", F.array_join(tx.js_parameters("raw"), ",").alias("params"), F.array_join(tx.js_parameters("raw", required=True), ",").alias("required"))
 
 
-@query("json_defaults", "F84 F85 S17", "SELECT event_id, coalesce((json_extract(props, '$.k'))::INT, 0) AS k, 'none' AS missing FROM events")
+@query("json_defaults", "F84 F85", "SELECT event_id, coalesce((json_extract(props, '$.k'))::INT, 0) AS k, 'none' AS missing FROM events")
 def json_defaults(t):
     p = F.from_json("props", "k int, note string")
     m = F.from_json("props", "map<string,string>")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance
+from ..session import shared_folder
 
 
 def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -23,9 +22,8 @@ def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int |
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"streams-{spark.sparkContext.applicationId}")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
