@@ -92,3 +92,43 @@ def last_messages(t):
 def batches(t):
     d = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return streams.batches_of(d, 32, lambda texts: [len(x) for x in texts], "text", "n", "long").select("doc_id", "n")
+
+
+# Tokens of each user's text: tags come in pieces, and the last token ends the text.
+_TOKENS = "CASE event_id % 5 WHEN 0 THEN concat('w', event_id, ' <th') WHEN 1 THEN 'ink>' WHEN 2 THEN concat('n', event_id, '</') WHEN 3 THEN 'think>' ELSE '<' END"
+
+
+@query(
+    "stream_thoughts",
+    "ST8 F14",
+    rf"""WITH e AS (SELECT user_id, string_agg({_TOKENS}, '' ORDER BY event_id) AS t FROM events GROUP BY user_id), s AS (SELECT user_id, t, regexp_replace(t, '<think>.*?(</think>|$)', '', 'g') AS answer, regexp_extract_all(t, '<think>(.*?)(</think>|$)', 1) AS th FROM e)
+SELECT user_id::VARCHAR AS session, answer, array_to_string(th, '') AS thought FROM s""",
+)
+def thoughts(t):
+    """What each user's token stream thinks and answers, put together; it arrives in three parts, with a restart before each."""
+    e = t.events.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("place"), F.expr(_TOKENS).alias("token"))
+    ends = e.groupBy("session").agg((F.max("place") + 1).alias("place")).select("session", "place", F.lit(None).cast("string").alias("token"))
+    low, high = t.events.agg(F.percentile_approx("event_id", [0.33, 0.7])).first()[0]
+    parts = [e.where(F.col("place") <= low), e.where((F.col("place") > low) & (F.col("place") <= high)), e.where(F.col("place") > high).unionAll(ends)]
+    out = streams.in_parts(parts, streams.thoughts).groupBy("session", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
+    # Pieces of one place and kind stand next to each other in the text, and in no order that matters to which kind they are.
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return out.groupBy("session").agg(F.coalesce(F.max(F.when(F.col("kind") == "answer", text)), F.lit("")).alias("answer"), F.coalesce(F.max(F.when(F.col("kind") == "thought", text)), F.lit("")).alias("thought"))
+
+
+@query(
+    "stream_expiring",
+    "ST6",
+    """WITH RECURSIVE l AS (SELECT user_id, min(ts) AS t FROM events WHERE ts IS NOT NULL GROUP BY user_id
+UNION ALL SELECT l.user_id, min(e.ts) FROM l JOIN events e ON e.user_id = l.user_id AND e.ts >= l.t + INTERVAL 300 SECOND GROUP BY l.user_id, l.t)
+SELECT user_id AS key, count(*) AS loads, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last FROM l GROUP BY user_id""",
+)
+def expiring(t):
+    """How often a value of each user that lasts 300 seconds is loaded, for requests that arrive in three parts with restarts between."""
+    e = t.events.where("ts IS NOT NULL").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    first, last = e.agg(F.min("at"), F.max("at")).first()
+    steps = [first + (last - first) * k / 3 for k in (1, 2)]
+    parts = [e.where(F.col("at") <= steps[0]), e.where((F.col("at") > steps[0]) & (F.col("at") <= steps[1])), e.where(F.col("at") > steps[1])]
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    out = streams.in_parts(parts, streams.loads)
+    return out.groupBy("key").agg(F.count("*").alias("loads"), stamp(F.min("at")).alias("first"), stamp(F.max("at")).alias("last"))

@@ -145,24 +145,94 @@ def expiring(spark: SparkSession, load: Callable[[], DataFrame], seconds: float
     return get
 
 
+_TAGS = {False: "<think>", True: "</think>"}
+
+
+def _fed(held: str, inside: bool, part: str | None) -> tuple[list[tuple[str, str]], str, bool]:
+    """What one more part of text makes certain, and what is held then; None ends the text."""
+    out: list[tuple[str, str]] = []
+    held += part or ""
+    while held:
+        tag, kind = _TAGS[inside], "thought" if inside else "answer"
+        k = held.find(tag)
+        if k >= 0:
+            out += [(kind, held[:k])] * (k > 0)
+            held, inside = held[k + len(tag) :], not inside
+            continue
+        # What may be a tag's beginning waits for more.
+        keep = 0 if part is None else next((n for n in range(min(len(tag) - 1, len(held)), 0, -1) if tag.startswith(held[-n:])), 0)
+        out += [(kind, held[: len(held) - keep])] * (len(held) > keep)
+        held = held[len(held) - keep :]
+        break
+    return out, held, inside
+
+
 def split_thoughts(parts: list[str]) -> list[tuple[str, str]]:
     """A stream of text parts as (thought or answer, text), whatever the parts' borders cut through."""
     out: list[tuple[str, str]] = []
     held, inside = "", False
     for part in [*parts, None]:
-        held += part or ""
-        while held:
-            tag = "</think>" if inside else "<think>"
-            k = held.find(tag)
-            if k >= 0:
-                if k:
-                    out.append(("thought" if inside else "answer", held[:k]))
-                held, inside = held[k + len(tag) :], not inside
-                continue
-            # What may be a tag's beginning waits for more.
-            keep = 0 if part is None else next((n for n in range(min(len(tag) - 1, len(held)), 0, -1) if tag.startswith(held[-n:])), 0)
-            if len(held) > keep:
-                out.append(("thought" if inside else "answer", held[: len(held) - keep]))
-            held = held[len(held) - keep :]
-            break
+        found, held, inside = _fed(held, inside, part)
+        out += found
     return out
+
+
+def thoughts(tokens: DataFrame) -> DataFrame:
+    """session, place, kind (thought, answer) and text of a stream of tokens, each as soon as it is certain.
+
+    tokens: session, place, token; a null token ends a session's text. State is the tail of the
+    text that may be a tag's beginning, and whether a thought is open; so tags may be cut by the
+    borders of tokens, of batches and of restarts. A session's tokens come in order from batch to batch;
+    those of one batch are sorted.
+    """
+
+    def step(key, frames, state):
+        held, inside = state.get if state.exists else ("", False)
+        rows = pd.concat(list(frames)).sort_values("place", kind="stable")
+        out = []
+        for place, token in zip(rows["place"].tolist(), rows["token"].tolist(), strict=True):
+            found, held, inside = _fed(held, inside, None if token is None or token != token else token)
+            out += [(key[0], place, kind, text) for kind, text in found]
+        state.update((held, inside))
+        yield pd.DataFrame(out, columns=["session", "place", "kind", "text"])
+
+    return tokens.groupBy("session").applyInPandasWithState(step, "session string, place long, kind string, text string", "held string, inside boolean", "append", "NoTimeout")
+
+
+def loads(requests: DataFrame, seconds: int = 300, late: str = "1 hour") -> DataFrame:
+    """key and at of the requests (key, at) that find no value younger than so many seconds, and so load one.
+
+    A key's state is when its value was loaded; it is dropped when the watermark has passed the
+    value's end, so state holds the keys in use and not all that were ever asked for.
+    """
+    width = pd.Timedelta(seconds=seconds)
+
+    def step(key, frames, state):
+        loaded = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out = []
+        for at in sorted(x for f in frames for x in f["at"]):
+            if loaded is None or at >= loaded + width:
+                loaded = at
+                out.append((key[0], at))
+        state.update((int(loaded.value // 1000),))
+        ends = int((loaded + width).value // 1_000_000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "at"])
+
+    kind = requests.schema["key"].dataType.simpleString()
+    timed = requests.withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(step, f"key {kind}, at timestamp", "loaded long", "append", "EventTimeTimeout")
+
+
+def in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream gives whose rows arrive in parts, the query being started anew for each on the same checkpoint."""
+    spark = parts[0].sparkSession
+    base = scratch(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out = build(files_stream(spark, f"{base}/in", part.schema))
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators import graph, rag
 from strataline.operators.relational import containing
+from strataline.streaming import streams
 
 
 def test_a_long_chain_is_ordered(spark):
@@ -54,3 +55,39 @@ def test_loose_imports(spark):
     nodes = spark.createDataFrame([("a/b.py", "b.py", 0), ("x/a/b/c.py", "c.py", 1), ("d.py", "d.py", 2)], "id string, name string, place int")
     imports = spark.createDataFrame([("d.py", "a.b"), ("a/b.py", "b"), ("d.py", "c"), ("d.py", "none"), ("d.py", "c")], "source string, name string")
     assert {tuple(r) for r in rag.loose_imports(imports, nodes).collect()} == {("d.py", "a/b.py"), ("d.py", "x/a/b/c.py")}
+
+
+def test_thoughts_in_a_stream_equal_the_whole_text(spark):
+    """Every way to cut a text into tokens and batches gives its thoughts and answers."""
+    rng = random.Random(3)
+    texts = {f"s{k}": "".join(rng.choice(["<think>", "</think>", "<", "thi", "x", "</", "k>", "é "]) for _ in range(40)) for k in range(6)}
+    rows, place = [], 0
+    for s, text in texts.items():
+        at = 0
+        while at < len(text):
+            n = rng.randrange(1, 6)
+            rows.append((s, place, text[at : at + n]))
+            at, place = at + n, place + 1
+        rows.append((s, place, None))
+        place += 1
+    kinds = "session string, place long, token string"
+    third = len(rows) // 3
+    parts = [spark.createDataFrame(rows[a:b], kinds) for a, b in ((0, third), (third, 2 * third), (2 * third, len(rows)))]
+    got: dict = {}
+    for r in streams.in_parts(parts, streams.thoughts).orderBy("place").collect():
+        got.setdefault((r["session"], r["kind"]), []).append(r["text"])
+    want: dict = {}
+    for s, text in texts.items():
+        for kind, piece in streams.split_thoughts([text]):
+            want.setdefault((s, kind), []).append(piece)
+    assert {k: "".join(v) for k, v in got.items()} == {k: "".join(v) for k, v in want.items()}
+
+
+def test_values_expire_over_restarts(spark):
+    import datetime as d
+
+    start = d.datetime(2024, 1, 1)
+    times = [0, 10, 299, 300, 301, 599, 600, 5000, 5299, 5300, 20_000]
+    frames = [spark.createDataFrame([("a", start + d.timedelta(seconds=s)) for s in times[i:j]] + [("b", start + d.timedelta(seconds=times[i]))], "key string, at timestamp") for i, j in ((0, 4), (4, 8), (8, 11))]
+    got = sorted((r["key"], int((r["at"] - start).total_seconds())) for r in streams.in_parts(frames, lambda s: streams.loads(s, 300, "1 second")).collect())
+    assert got == [("a", s) for s in (0, 300, 600, 5000, 5300, 20_000)] + [("b", s) for s in (0, 301, 5299)]
