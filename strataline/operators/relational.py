@@ -100,37 +100,63 @@ def stamped(df: DataFrame, status: str, at: Column) -> DataFrame:
     )
 
 
-#: Letters of a name by which texts are looked for that may contain it.
-GRAM = 6
+#: Letters by which a name is looked for: all of it up to so many, so that a text meets no name but those in it.
+WHOLE = 32
 
-#: Different grams of names that are broadcast, to drop all other grams of texts where they are read; more are met by a join.
+#: First letters of names that are broadcast, to drop all other places of texts where they are read; GRAM letters, or as few as keeps to that number.
+GRAM = 6
 GRAMS_SENT = 200_000
 
 
 def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     """texts (key, text) and names (target, name) to key, target: which text contains which name, anywhere, as it stands.
 
-    A name is looked up by the GRAM letters of it whose hash is least (by all of a shorter one)
-    among the letters of the texts, so that nothing is compared with everything.  Only keys and
-    grams travel; a text meets the names that may be in it by its key, once for each of them, for
-    the exact test.  An empty name, or null, is in no text; rows without a key are left out.
+    What `candidates` finds is whole for names of up to WHOLE letters; a longer one's texts are met
+    once more by their keys for the exact test.  An empty name, or null, is in no text; rows
+    without a key are left out.
     """
-    known = names.select("target", "name").where("name <> ''").distinct()
-    size = F.least(F.length("name"), F.lit(GRAM))
-    grams = F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring("name", i, size))
-    known = known.withColumn("gram", F.array_min(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    sizes = [r["n"] for r in known.select(size.alias("n")).distinct().collect()]  # GRAM of them at most
-    if not sizes:
-        return texts.select("key").join(known.select("target"), F.lit(False))
+    maybe = candidates(texts, names)
+    exact = maybe.where(F.length("name") <= WHOLE).select("key", "target")
+    if not names.where(F.length("name") > WHOLE).isEmpty():
+        apart = maybe.where(F.length("name") > WHOLE).distinct()
+        exact = exact.unionByName(texts.join(apart, "key").where(F.contains("text", F.col("name"))).select("key", "target"))
+    return exact.distinct()
 
-    def windows(n: int):
-        # Every place's letters, by a look ahead that takes none of them: one pass, whatever the length.
-        return F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
+def candidates(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """key, target, name of the texts that may contain a name: those that do, if it has WHOLE letters at most.
+
+    A name of up to WHOLE letters is met by all of its letters, so pairs come up only where the
+    text holds the name, however alike the names are.  A longer one is met by the WHOLE letters of
+    it that the fewest names share.  Of a text only those places travel whose first letters begin
+    a name (or a longer one's letters), and only in the lengths that such names have.
+    """
+    known = names.select("target", "name").where("name <> ''").distinct()
+    short = known.where(F.length("name") <= WHOLE).select("target", "name", F.col("name").alias("gram"))
+    long = known.where(F.length("name") > WHOLE)
+    if not long.isEmpty():
+        held = long.select("target", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - WHOLE + 1), lambda i: F.substring("name", i, F.lit(WHOLE))))).alias("gram"))
+        shared = held.groupBy("gram").agg(F.count_distinct("name").alias("n"))
+        rarest = held.join(shared, "gram").groupBy("target", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        known = short.unionByName(rarest)
+    else:
+        known = short
+    # Which lengths the names have that begin with some letters: a row for each beginning, with as many letters as may be sent.
+    for n in range(GRAM, 0, -1):
+        begun = known.select(F.substring("gram", 1, n).alias("begin"), F.length("gram").alias("n")).groupBy("begin").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+        sent = begun.limit(GRAMS_SENT + 1).count()
+        if sent <= GRAMS_SENT:
+            break
+    if not sent:
+        return texts.select("key").join(known.select("target", "name"), F.lit(False))
     texts = texts.select("key", "text").where("key IS NOT NULL AND text IS NOT NULL")
-    held = texts.select("key", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("gram"))
-    wanted = known.select("gram").distinct()
-    if wanted.limit(GRAMS_SENT + 1).count() <= GRAMS_SENT:
-        held = held.join(F.broadcast(wanted), "gram", "left_semi")
-    maybe = held.join(known, "gram").select("key", "target", "name").distinct()
-    return texts.join(maybe, "key").where(F.contains("text", F.col("name"))).select("key", "target").distinct()
+    most = known.agg(F.max(F.length("gram"))).first()[0]
+    # Every place's letters, by a look ahead that takes none of them: one pass, whatever the length.
+    places = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{most}}}))"), F.lit(1)))).alias("ahead"))
+    begins = F.broadcast(begun) if sent <= GRAMS_SENT else begun
+    # Names shorter than the beginnings have beginnings of their own length.
+    sizes = sorted(r["n"] for r in begun.select(F.length("begin").alias("n")).distinct().collect())
+    tried = F.array_distinct(F.array(*[F.substring("ahead", 1, k) for k in sizes]))
+    found = places.select("key", "ahead", F.explode(tried).alias("begin")).join(begins, "begin")
+    grams = found.select("key", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("ahead")), lambda n: F.substring(F.col("ahead"), F.lit(1), n))).alias("gram")).distinct()
+    return grams.join(known, "gram").select("key", "target", "name")

@@ -60,7 +60,7 @@ def gap_simple(t):
 SELECT DISTINCT d.id AS source, e.id AS target FROM e AS d JOIN e ON strpos(lower(d.doc), lower(e.name)) > 0 WHERE d.id <> e.id""",
 )
 def cross_refs(t):
-    e = t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Cust"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("see cust"), (F.col("c_custkey") * 7 % 1500).cast("string"), F.lit(" and (CUST"), (F.col("c_custkey") + 1).cast("string"), F.lit("), also nation"), F.col("c_nationkey").cast("string")).alias("doc"))
+    e = t.dealt("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Cust"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("see cust"), (F.col("c_custkey") * 7 % 1500).cast("string"), F.lit(" and (CUST"), (F.col("c_custkey") + 1).cast("string"), F.lit("), also nation"), F.col("c_nationkey").cast("string")).alias("doc"))
     return exports.cross_references(e)
 
 

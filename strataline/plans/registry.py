@@ -24,6 +24,14 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table's rows for work that is heavy for each row: dealt to all cores where its files have too few parts for them."""
+        rows = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() >= 3 * cores:
+            return rows
+        return rows.repartition(max(4 * cores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+
     @property
     def edges(self) -> DataFrame:
         """src, dst: parts that follow each other in an order."""

@@ -50,6 +50,18 @@ def test_containing_is_every_substring(spark):
     assert got == {(k, t) for k, x in texts for t, n in names if x and n and n in x} and len(got) > 100
 
 
+def test_names_that_are_alike_meet_only_texts_that_hold_them(spark):
+    """Pairs to test grow with what is found, though all names begin alike; names beyond the whole length are tested."""
+    from strataline.operators.relational import candidates
+
+    names = [(k, f"cust{k}") for k in range(1, 1500)] + [(k, f"a/folder/that/many/names/have/in/common/{k}.py") for k in range(2000, 2040)]
+    texts = [(k, f"see cust{k * 7} and {k}.py, a/folder/that/many/names/have/in/common/{2000 + k % 50}.py, cust") for k in range(400)]
+    df = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame(names, "target long, name string")
+    want = {(k, t) for k, x in texts for t, n in names if n in x}
+    assert {tuple(r) for r in containing(*df).collect()} == want
+    assert candidates(*df).distinct().count() <= 2 * len(want)
+
+
 def test_loose_imports(spark):
     nodes = spark.createDataFrame([("a/b.py", "b.py", 0), ("x/a/b/c.py", "c.py", 1), ("d.py", "d.py", 2)], "id string, name string, place int")
     imports = spark.createDataFrame([("d.py", "a.b"), ("a/b.py", "b"), ("d.py", "c"), ("d.py", "none"), ("d.py", "c")], "source string, name string")
