@@ -62,6 +62,32 @@ def test_names_that_are_alike_meet_only_texts_that_hold_them(spark):
     assert candidates(*df).distinct().count() <= 2 * len(want)
 
 
+def test_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    """Rows of a table in one file are dealt out before they are parsed, and each text is parsed once."""
+    import ast
+
+    from strataline.functions import parsing
+    from strataline.plans import q_parse
+    from strataline.plans.registry import Tables
+
+    spark.range(50).selectExpr("id AS p_partkey", "CAST(id % 7 AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    for rows in (q_parse._py(t), q_parse._js(t)):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert q_parse.dependencies(t).where("target = 'eval'").first()["n"] == 50
+
+    code = q_parse._py(t).first()["code"]
+    called, real = [], ast.parse
+    parsing.ast.parse = lambda *a, **k: called.append(1) or real(*a, **k)
+    try:
+        found = parsing.dependencies(code, "a.py")
+    finally:
+        parsing.ast.parse = real
+    assert len(called) == 1 and [f["target"] for f in found if f["kind"] == "base"] == ["Base"]
+    shown = lambda nodes: [ast.dump(n) for n in nodes if not isinstance(n, ast.expr_context)]
+    assert shown(parsing._walk(ast.parse(code))) == shown(ast.walk(ast.parse(code)))
+
+
 def test_loose_imports(spark):
     nodes = spark.createDataFrame([("a/b.py", "b.py", 0), ("x/a/b/c.py", "c.py", 1), ("d.py", "d.py", 2)], "id string, name string, place int")
     imports = spark.createDataFrame([("d.py", "a.b"), ("a/b.py", "b"), ("d.py", "c"), ("d.py", "none"), ("d.py", "c")], "source string, name string")
