@@ -44,9 +44,9 @@ def commit_diffs(trees: DataFrame, commits: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 64):
                 part, out = b.slice(at, 64), []
                 for sha, path, new, old in zip(*(part[c].to_pylist() for c in ("sha", "path", "new", "old")), strict=True):
-                    hunks = linediff.unified(old, new)
+                    hunks, added, removed = linediff.compared(old, new)
                     status = "A" if old is None else "D" if new is None else "M"
-                    out.append((sha, path, status, *linediff.counts(hunks), hunks))
+                    out.append((sha, path, status, added, removed, hunks))
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["sha", "path", "status", "additions", "deletions", "diff"])
 

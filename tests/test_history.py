@@ -98,6 +98,24 @@ def test_hunks_equal_a_plain_differs(monkeypatch, keep):
 
 
 @pytest.mark.skipif(not shutil.which("git"), reason="no git")
+def test_texts_of_usual_size_take_no_search(monkeypatch):
+    """The table of common lines gives the scripts that the search gives, and the search isn't needed for them."""
+    rng = random.Random(8)
+    cases = []
+    for _ in range(300):
+        a = [f"{rng.randrange(6)}\n" for _ in range(rng.randrange(40))]
+        b = [x for x in a if rng.random() > 0.2] + [f"{rng.randrange(6)}\n" for _ in range(rng.randrange(9))]
+        cases.append((a, b))
+    found = [linediff.changes(a, b) for a, b in cases]
+    monkeypatch.setattr(linediff, "TABLE", -1)
+    assert found == [linediff.changes(a, b) for a, b in cases]
+    monkeypatch.undo()
+    monkeypatch.setattr(linediff, "_Furthest", None)
+    lines = [f"{k % 50} of {k}\n" for k in range(3000)]
+    hunks, added, removed = linediff.compared("".join(lines), "".join(lines[::2] + lines[:900:3]))
+    assert (added, removed) == linediff.counts(hunks) and removed - added == 1200
+
+
 def test_scripts_are_as_short_as_git_s(tmp_path):
     """Another program has no shorter script, and takes the hunks."""
     for k, (old, new) in enumerate(pairs(9, 40)):
