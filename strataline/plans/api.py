@@ -169,8 +169,8 @@ class Engine:
 
     def review(self, diff: DataFrame) -> DataFrame:
         """Findings in the added lines of diffs (id, text), the worst first."""
-        added = parsing.flat(diff, parsing.added_lines, parsing.ADDED, "id", "text").select(F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"), "file", "line", "content")
-        found = rules.multi_scan(added, fixed.REVIEW_PATTERNS, key="at", text="content").drop("line").join(added.select("at", "file", F.col("line")), "at")
+        added = parsing.flat(diff, parsing.added_lines, parsing.ADDED, "id", "text").select(F.struct("file", "line").alias("at"), "content")
+        found = rules.multi_scan(added, fixed.REVIEW_PATTERNS, key="at", text="content").drop("line").select("*", "at.file", "at.line")
         return rules.ranked(rules.deduped(found.select("file", "category", "message", "severity", "line", "matched"), [F.col("matched")], ["file"]), [F.col("file"), F.col("line")])
 
     # -- rules ----------------------------------------------------------------------

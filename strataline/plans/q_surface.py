@@ -58,9 +58,9 @@ _DIFF = "concat('+++ b/f', o_orderkey, '.py\\n@@ -1 +1,3 @@\\n+api_key = \\'abcd
     "SELECT 'f' || o_orderkey || '.py' AS file, k.* FROM orders, (VALUES (1, 'secret', 'critical', 0), (3, 'path_traversal', 'high', 1)) AS k(line, category, severity, rank)",
 )
 def review(t):
-    d = t.orders.select(F.col("o_orderkey").alias("id"), F.expr(_DIFF).alias("text"))
-    added = parsing.flat(d, parsing.added_lines, parsing.ADDED, "id", "text").withColumn("at", F.concat_ws(":", "file", F.col("line").cast("string")))
-    found = rules.multi_scan(added, fixed.REVIEW_PATTERNS, key="at", text="content").drop("line").join(added.select("at", "file", "line"), "at")
+    d = t.dealt("orders").select(F.col("o_orderkey").alias("id"), F.expr(_DIFF).alias("text"))
+    added = parsing.flat(d, parsing.added_lines, parsing.ADDED, "id", "text").select(F.struct("file", "line").alias("at"), "content")
+    found = rules.multi_scan(added, fixed.REVIEW_PATTERNS, key="at", text="content").drop("line").select("*", "at.file", "at.line")
     from ..functions import scores
 
     return rules.deduped(found.select("file", "line", "category", "message", "severity"), [F.col("severity")], ["file"]).select("file", "line", "category", "severity", scores.severity_rank("severity").alias("rank"))
