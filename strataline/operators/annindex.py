@@ -30,6 +30,9 @@ SAMPLE = 20_000
 CODE_BLOCK = 4096
 QUERY_BLOCK = 512
 
+#: Queries that are compared with a block at once.
+QUERIES_AT_ONCE = 128
+
 #: A code's steps, and how many standard deviations of a dimension they span to either side.
 STEPS = 16
 SPAN = 3.0
@@ -83,6 +86,13 @@ def matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good], place[good]
 
 
+def cut_up(batches, rows: int):
+    """Batches in slices of so many rows: what is made of a batch is bounded, however many blocks it holds."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class CodedIndex:
     """Built by `fit`, kept by `save` and `load`, asked by `search`. Rows without a vector of the index's dimension aren't in it."""
 
@@ -152,7 +162,7 @@ class CodedIndex:
         def run(batches):
             c = sent.value
             turn, n = rotation(c.shape[1]), min(probes, len(c))
-            for b in batches:
+            for b in cut_up(batches, 1024):
                 m, place = matrix(b.column(1), c.shape[1])
                 if len(m):
                     m = unit(m)
@@ -173,12 +183,13 @@ class CodedIndex:
         met = self.blocks.join(self._asked(queries, probes), "cell")
 
         def run(batches):
-            for b in batches:
-                for ids, codes, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    mine = np.frombuffer(ids, np.int64)
-                    rows = decode(np.frombuffer(codes, np.uint8).reshape(len(mine), -1), dimension)
-                    names = np.array([a["id"] for a in asked])
-                    q = np.frombuffer(b"".join(a["q"] for a in asked), np.float32).reshape(len(names), dimension)
+            for b in cut_up(batches, 1):
+                mine = np.frombuffer(b.column(0)[0].as_buffer(), np.int64)
+                rows = decode(np.frombuffer(b.column(1)[0].as_buffer(), np.uint8).reshape(len(mine), -1), dimension)
+                every = b.column(2).flatten()
+                for some in cut_up([pa.RecordBatch.from_arrays(every.flatten(), ["id", "q"])], QUERIES_AT_ONCE):
+                    names = some.column(0).to_numpy()
+                    q = np.frombuffer(b"".join(some.column(1).to_pylist()), np.float32).reshape(len(names), dimension)
                     guess = q @ rows.T
                     guess[names[:, None] == mine[None, :]] = -np.inf
                     n = min(refine, len(mine))

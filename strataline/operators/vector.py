@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .annindex import matrix, unit
+from .annindex import cut_up, matrix, unit
 from .relational import top_per
 
-#: Queries in one block, and how many of them are compared with a block of rows at once.
+#: Queries in one block, and how many of them are compared with a block of rows at once; rows in a block.
 QUERY_BLOCK = 4096
 ROWS_AT_ONCE = 512
+ROW_BLOCK = 2048
 
 #: Bytes of packed queries that are broadcast; more meet the rows by a join, each block of queries in so many copies.
 BROADCAST_BYTES = 16 << 20
@@ -51,7 +52,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).where("e IS NOT NULL AND id IS NOT NULL")
 
     def pack(batches):
-        for b in batches:
+        for b in cut_up(batches, ROW_BLOCK):
             m, place = matrix(b.column(1), width)
             if len(m):
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0).take(pa.array(place)).to_numpy().tobytes()], pa.binary()), pa.array([unit(m).tobytes()], pa.binary())], ["ids", "units"])
@@ -73,13 +74,15 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
         met = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts).cast("int")).join(salted, ["part", "salt"])
 
     def run(batches):
-        for b in batches:
-            for ids, units, names, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for b in cut_up(batches, 1):
+            for ids, units, names, asked in [[c[0].as_buffer() for c in b.columns]]:
                 mine, m = np.frombuffer(ids, np.int64), np.frombuffer(units, np.float64).reshape(-1, width)
                 who, q = np.frombuffer(names, np.int64), np.frombuffer(asked, np.float64).reshape(-1, width)
                 for at in range(0, len(who), ROWS_AT_ONCE):
                     some = who[at : at + ROWS_AT_ONCE]
-                    sims = np.round(q[at : at + ROWS_AT_ONCE] @ m.T, 6) + 0.0
+                    sims = q[at : at + ROWS_AT_ONCE] @ m.T
+                    np.round(sims, 6, out=sims)
+                    sims += 0.0
                     if skip_self:
                         sims[some[:, None] == mine[None, :]] = -np.inf
                     best = min(k, sims.shape[1])

@@ -85,3 +85,19 @@ def test_exact_search_with_many_query_blocks(spark, monkeypatch):
     for size in (16 << 20, 0):
         monkeypatch.setattr(vector, "BROADCAST_BYTES", size)
         assert [tuple(r) for r in vector.nearest_many(rows, rows, 4).orderBy("query_id", "rank").collect()] == want
+
+
+def test_blocks_are_bounded_and_met_one_by_one(spark, monkeypatch):
+    """However many rows a batch has, blocks of rows stay small, and no more than one pair of blocks is compared at once."""
+    import pyarrow as pa
+
+    from strataline.operators import annindex, vector
+
+    assert [b.num_rows for b in annindex.cut_up([pa.record_batch({"x": list(range(5))})], 2)] == [2, 2, 1]
+    assert vector.ROW_BLOCK * vector.ROWS_AT_ONCE * 8 <= 8 << 20 and 2 * annindex.CODE_BLOCK * annindex.QUERIES_AT_ONCE * 8 <= 8 << 20
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    whole = sorted(map(tuple, vector.nearest_many(df, df.where("vec_id % 50 = 0"), 5).collect()))
+    monkeypatch.setattr(vector, "ROW_BLOCK", 7)
+    assert sorted(map(tuple, vector.nearest_many(df, df.where("vec_id % 50 = 0"), 5).collect())) == whole
