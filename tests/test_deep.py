@@ -88,6 +88,15 @@ def test_one_file_is_parsed_by_all_cores(spark, tmp_path):
     assert shown(parsing._walk(ast.parse(code))) == shown(ast.walk(ast.parse(code)))
 
 
+def test_reviewed_diffs_are_parsed_once(spark, tmp_path):
+    from strataline.plans import queries
+
+    spark.range(20).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = queries()["review_findings"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == 40
+
+
 def test_loose_imports(spark):
     nodes = spark.createDataFrame([("a/b.py", "b.py", 0), ("x/a/b/c.py", "c.py", 1), ("d.py", "d.py", 2)], "id string, name string, place int")
     imports = spark.createDataFrame([("d.py", "a.b"), ("a/b.py", "b"), ("d.py", "c"), ("d.py", "none"), ("d.py", "c")], "source string, name string")
