@@ -126,9 +126,9 @@ SELECT user_id AS key, count(*) AS loads, strftime(min(t), '%Y-%m-%d %H:%M:%S')
 def expiring(t):
     """How often a value of each user that lasts 300 seconds is loaded, for requests that arrive in three parts with restarts between."""
     e = t.events.where("ts IS NOT NULL").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
-    first, last = e.agg(F.min("at"), F.max("at")).first()
+    first, last, n = e.agg(F.min("at"), F.max("at"), F.count("*")).first()
     steps = [first + (last - first) * k / 3 for k in (1, 2)]
     parts = [e.where(F.col("at") <= steps[0]), e.where((F.col("at") > steps[0]) & (F.col("at") <= steps[1])), e.where(F.col("at") > steps[1])]
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    out = streams.in_parts(parts, streams.loads)
+    out = streams.in_parts(parts, lambda s: streams.loads(s, buckets=streams.buckets_for(n)))
     return out.groupBy("key").agg(F.count("*").alias("loads"), stamp(F.min("at")).alias("first"), stamp(F.max("at")).alias("last"))

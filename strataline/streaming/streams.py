@@ -177,54 +177,86 @@ def split_thoughts(parts: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def thoughts(tokens: DataFrame) -> DataFrame:
+#: Keys share states, so many to a bucket that Python is called for some thousands of rows and not for each key.
+BUCKETS, BUCKET_ROWS = 64, 10_000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for so many rows in all. A checkpoint keeps its number: the same one goes with it at each restart."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def _bucket(key: str, buckets: int):
+    """The bucket of a key; nulls have one of their own, so that no column of keys turns into floats in pandas."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).alias("_bucket")
+
+
+def _keys(bucket: tuple, column) -> list:
+    return [None] * len(column) if bucket[0] == -1 else column.tolist()
+
+
+def thoughts(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """session, place, kind (thought, answer) and text of a stream of tokens, each as soon as it is certain.
 
     tokens: session, place, token; a null token ends a session's text. State is the tail of the
-    text that may be a tag's beginning, and whether a thought is open; so tags may be cut by the
-    borders of tokens, of batches and of restarts. A session's tokens come in order from batch to batch;
-    those of one batch are sorted.
+    text that may be a tag's beginning, and whether a thought is open, of those sessions that have either; so tags may be
+    cut by the borders of tokens, of batches and of restarts. A session's tokens come in order from batch to batch;
+    those of one batch are sorted. Sessions are kept in so many buckets, each one state.
     """
 
-    def step(key, frames, state):
-        held, inside = state.get if state.exists else ("", False)
+    def step(bucket, frames, state):
+        held = {s: (h, i) for s, h, i in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(frames)).sort_values("place", kind="stable")
         out = []
-        for place, token in zip(rows["place"].tolist(), rows["token"].tolist(), strict=True):
-            found, held, inside = _fed(held, inside, None if token is None or token != token else token)
-            out += [(key[0], place, kind, text) for kind, text in found]
-        state.update((held, inside))
+        for session, place, token in zip(_keys(bucket, rows["session"]), rows["place"].tolist(), rows["token"].tolist(), strict=True):
+            text, inside = held.get(session, ("", False))
+            found, text, inside = _fed(text, inside, None if token is None or token != token else token)
+            out += [(session, place, kind, piece) for kind, piece in found]
+            if text or inside:
+                held[session] = (text, inside)
+            else:
+                held.pop(session, None)
+        if held or state.exists:
+            state.update((list(held), [h for h, _ in held.values()], [i for _, i in held.values()]))
         yield pd.DataFrame(out, columns=["session", "place", "kind", "text"])
 
-    return tokens.groupBy("session").applyInPandasWithState(step, "session string, place long, kind string, text string", "held string, inside boolean", "append", "NoTimeout")
+    rows = tokens.select(_bucket("session", buckets), "session", "place", "token")
+    return rows.groupBy("_bucket").applyInPandasWithState(step, "session string, place long, kind string, text string", "sessions array<string>, held array<string>, inside array<boolean>", "append", "NoTimeout")
 
 
-def loads(requests: DataFrame, seconds: int = 300, late: str = "1 hour") -> DataFrame:
+def loads(requests: DataFrame, seconds: int = 300, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """key and at of the requests (key, at) that find no value younger than so many seconds, and so load one.
 
     A key's state is when its value was loaded; it is dropped when the watermark has passed the
-    value's end, so state holds the keys in use and not all that were ever asked for.
+    value's end, so state holds the keys in use and not all that were ever asked for. Keys are kept in so many buckets,
+    each one state. Requests without a time count for nothing.
     """
-    width = pd.Timedelta(seconds=seconds)
-
-    def step(key, frames, state):
-        loaded = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
+    width = seconds * 1_000_000
+
+    def step(bucket, frames, state):
+        loaded = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = [(at, key) for f in frames for key, at in zip(_keys(bucket, f["key"]), f["us"].tolist(), strict=True)]
+            out = []
+            for at, key in sorted(rows, key=lambda r: r[0]):
+                if key not in loaded or at >= loaded[key] + width:
+                    loaded[key] = at
+                    out.append((key, at))
+            yield pd.DataFrame(out, columns=["key", "us"])
+        # No request before the watermark comes any more.
+        now = state.getCurrentWatermarkMs() * 1000
+        loaded = {k: at for k, at in loaded.items() if at + width > now}
+        if not loaded:
+            if state.exists:
+                state.remove()
             return
-        out = []
-        for at in sorted(x for f in frames for x in f["at"]):
-            if loaded is None or at >= loaded + width:
-                loaded = at
-                out.append((key[0], at))
-        state.update((int(loaded.value // 1000),))
-        ends = int((loaded + width).value // 1_000_000)
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "at"])
+        state.update((list(loaded), list(loaded.values())))
+        state.setTimeoutTimestamp(-(-(max(loaded.values()) + width) // 1000))
 
     kind = requests.schema["key"].dataType.simpleString()
-    timed = requests.withWatermark("at", late)
-    return timed.groupBy("key").applyInPandasWithState(step, f"key {kind}, at timestamp", "loaded long", "append", "EventTimeTimeout")
+    timed = requests.where(F.col("at").isNotNull()).withWatermark("at", late).select(_bucket("key", buckets), "key", "at", F.unix_micros("at").alias("us"))
+    made = timed.groupBy("_bucket").applyInPandasWithState(step, f"key {kind}, us long", f"keys array<{kind}>, loaded array<long>", "append", "EventTimeTimeout")
+    return made.select("key", F.timestamp_micros("us").alias("at"))
 
 
 def in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -137,3 +137,33 @@ def test_values_expire_over_restarts(spark):
     frames = [spark.createDataFrame([("a", start + d.timedelta(seconds=s)) for s in times[i:j]] + [("b", start + d.timedelta(seconds=times[i]))], "key string, at timestamp") for i, j in ((0, 4), (4, 8), (8, 11))]
     got = sorted((r["key"], int((r["at"] - start).total_seconds())) for r in streams.in_parts(frames, lambda s: streams.loads(s, 300, "1 second")).collect())
     assert got == [("a", s) for s in (0, 300, 600, 5000, 5300, 20_000)] + [("b", s) for s in (0, 301, 5299)]
+
+
+def test_streams_keep_a_state_for_many_keys(spark):
+    """Python is called for a bucket of keys, not for each: states don't grow with the keys, and null is a key like any other."""
+    import datetime as d
+
+    start = d.datetime(2024, 1, 1)
+    states = lambda base: spark.read.format("statestore").load(f"{base}/state").count()
+    made: list[str] = []
+    plain = streams.scratch
+
+    def noted(s):
+        made.append(plain(s))
+        return made[-1]
+
+    streams.scratch = noted
+    try:
+        keys = [*range(300), None, 2**62 + 1]
+        at = lambda k, s, us=0: (k, start + d.timedelta(seconds=s, microseconds=us))
+        frames = [[at(k, 0, 500) for k in keys], [at(k, 300) for k in keys] + [at(k, 300, 500) for k in keys]]
+        got = streams.in_parts([spark.createDataFrame(f, "key long, at timestamp") for f in frames], lambda s: streams.loads(s, 300, "1 day", buckets=8))
+        rows = sorted(((r["key"], r["at"]) for r in got.collect()), key=str)
+        assert rows == sorted((at(k, s, 500) for k in keys for s in (0, 300)), key=str)
+        tokens = [[(f"s{k}", 0, "a<th")] for k in range(300)], [[(f"s{k}", 1, "ink>b"), (f"s{k}", 2, None)] for k in range(300)]
+        tokens = [[r for rows in part for r in rows] for part in tokens]
+        got = streams.in_parts([spark.createDataFrame(p, "session string, place long, token string") for p in tokens], lambda s: streams.thoughts(s, 8))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(x for k in range(300) for x in [(f"s{k}", 0, "answer", "a"), (f"s{k}", 1, "thought", "b")])
+    finally:
+        streams.scratch = plain
+    assert [0 < states(base) <= 9 for base in made] == [True, True]
