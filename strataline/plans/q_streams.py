@@ -108,9 +108,9 @@ def thoughts(t):
     """What each user's token stream thinks and answers, put together; it arrives in three parts, with a restart before each."""
     e = t.events.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("place"), F.expr(_TOKENS).alias("token"))
     ends = e.groupBy("session").agg((F.max("place") + 1).alias("place")).select("session", "place", F.lit(None).cast("string").alias("token"))
-    low, high = t.events.agg(F.percentile_approx("event_id", [0.33, 0.7])).first()[0]
+    (low, high), n = t.events.agg(F.percentile_approx("event_id", [0.33, 0.7]), F.count("*")).first()
     parts = [e.where(F.col("place") <= low), e.where((F.col("place") > low) & (F.col("place") <= high)), e.where(F.col("place") > high).unionAll(ends)]
-    out = streams.in_parts(parts, streams.thoughts).groupBy("session", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
+    out = streams.in_parts(parts, lambda s: streams.thoughts(s, streams.buckets_for(n))).groupBy("session", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
     # Pieces of one place and kind stand next to each other in the text, and in no order that matters to which kind they are.
     text = F.array_join(F.transform("p", lambda x: x["text"]), "")
     return out.groupBy("session").agg(F.coalesce(F.max(F.when(F.col("kind") == "answer", text)), F.lit("")).alias("answer"), F.coalesce(F.max(F.when(F.col("kind") == "thought", text)), F.lit("")).alias("thought"))
