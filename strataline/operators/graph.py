@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, cut
-from .relational import top_per
+from .relational import SMALL_ROWS, dealt_by, tasks_for, top_per
 
-#: Rounds between checkpoints: a round's plan holds all rounds since.
+#: Rounds between tests of convergence.
 EVERY = 4
+#: Targets in one row of a node's links.
+LINKS = 1024
 #: Edges that one task orders, after chains and trees are gone: some 30 MB, however large the graph was.
 SMALL_EDGES = 1 << 18
 
@@ -21,8 +23,9 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, start, depth: int, reverse: bool = False, include_start: bool = False) -> DataFrame:
     """node, distance: the least number of steps from the start, at most `depth`."""
-    e = cut((reversed_edges(edges) if reverse else edges).select("src", "dst").distinct())
     spark = edges.sparkSession
+    e = cut((reversed_edges(edges) if reverse else edges).select("src", "dst").distinct())
+    e = dealt_by(e, tasks_for(spark, e.count()), "src")
     kind = edges.schema["src"].dataType
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"))
     seen = frontier.withColumn("distance", F.lit(0))
@@ -50,36 +53,45 @@ def closure_count(edges: DataFrame, start, depth: int) -> DataFrame:
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, fixed_rounds: int | None = None) -> DataFrame:
     """node, rank: power iteration, dangling rank spread over all nodes; uniform if it doesn't converge.
 
-    Convergence is tested every few rounds, so there may be up to three more than needed.
+    A node's links are rows of some LINKS targets at most; a round joins them with what the nodes
+    were given, a row each, and sums what they give. Dangling nodes give to null, which is no target, and of which a
+    round knows what all nodes share. Convergence is tested every few rounds, so there may be up to three more than needed.
 
     fixed_rounds: exactly so many rounds, without a test for convergence.
     """
     e = cut(edges.select("src", "dst").distinct())
-    nodes = cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct())
+    degree = e.groupBy("src").agg(F.count("*").alias("degree"))
+    nodes = cut(e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct().join(degree, F.col("node") == F.col("src"), "left").select("node", "degree"))
     n = nodes.count()
     if n == 0:
-        return nodes.withColumn("rank", F.lit(0.0))
-    out = e.groupBy("src").agg(F.count("*").alias("degree"))
-    links = cut(e.join(out, "src"))
-    rank = nodes.join(out, nodes.node == out.src, "left").select("node", F.lit(1.0 / n).alias("rank"), F.col("degree").isNull().alias("dangling"))
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    tasks = tasks_for(edges.sparkSession, e.count())
+    targets, keys = dealt_by(e.where("dst IS NOT NULL").select(F.col("src").alias("node"), "dst"), tasks, "node"), ["node"]
+    hubs = nodes.where(F.col("degree") > LINKS)
+    n_hubs = hubs.count()
+    if n_hubs:
+        targets = targets.join(F.broadcast(hubs) if n_hubs <= SMALL_ROWS else hubs, "node", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / LINKS)), F.lit(0)))
+        keys = ["node", "part"]
+    lists = targets.groupBy(*keys).agg(F.collect_list("dst").alias("to")).select("node", "to")
+    kind = lists.schema["to"].dataType.simpleString()
+    to_null = F.array(F.lit(None)).cast(kind)
+    links = lists.join(nodes.where("degree IS NOT NULL"), "node").unionAll(nodes.where("degree IS NULL").select("node", to_null.alias("to"), F.lit(1).cast("long")))
+    links = cut(links)
+    # What links, or nodes, have as their rank after a round.
+    ranked = lambda rows, given, base, name="rank": dealt_by(rows, tasks, "node").join(dealt_by(given, tasks, "dst"), F.col("node") == F.col("dst"), "left").withColumn(name, F.lit(alpha) * F.coalesce("given", F.lit(0.0)) + F.lit(base)).drop("dst", "given")
+    ids, uniform = nodes.select("node"), F.lit(1.0 / n)
+    rank, before = links.withColumn("rank", uniform), ids.withColumn("before", uniform)
     steps = rounds if fixed_rounds is None else fixed_rounds
     for step in range(steps):
-        loose = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        given = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        after = (
-            rank.select("node", "dangling", F.col("rank").alias("before"))
-            .join(given, F.col("node") == F.col("dst"), "left")
-            .crossJoin(F.broadcast(loose))  # one row
-            .select("node", (F.lit(alpha) * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("rank"), "dangling", "before")
-        )
-        # Convergence is looked at where the rounds are written down anyway.
-        written = step % EVERY == EVERY - 1 or step == steps - 1
-        if written:
-            after = cut(after)
-        rank = after.drop("before")
-        if written and fixed_rounds is None and after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
-            return rank.select("node", "rank")
-    return rank.select("node", "rank") if fixed_rounds is not None else nodes.withColumn("rank", F.lit(1.0 / n))
+        given = cut(rank.select(F.explode("to").alias("dst"), (F.col("rank") / F.col("degree")).alias("r")).groupBy("dst").agg(F.sum("r").alias("given")))
+        loose = given.where("dst IS NULL").agg(F.sum("given")).first()[0] or 0.0
+        base = alpha * loose / n + (1 - alpha) / n
+        if fixed_rounds is None and (step % EVERY == EVERY - 1 or step == steps - 1):
+            after = cut(ranked(before, given, base))
+            if after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+                return after.select("node", "rank")
+        rank, before = ranked(links, given, base), ranked(ids, given, base, "before")
+    return before.select("node", F.col("before").alias("rank")) if fixed_rounds is not None else ids.withColumn("rank", uniform)
 
 
 #: Stands for the level of what is in or behind a cycle; longer than any path.

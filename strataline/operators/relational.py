@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a dimension up to which it is broadcast; more are left to the optimizer.
 SMALL_ROWS = 10_000
 
 
+#: Rows that one task sorts or groups; some 100 MB.
+TASK_ROWS = 1 << 20
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Into how many parts so many rows are dealt by their keys; none if the session's number of parts will do."""
+    tasks = -(-rows // TASK_ROWS)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt_by(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in so many tasks: groups, windows and joins by these keys move no row again."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def select(df: DataFrame, columns: list[str] | None = None, filters: dict | None = None, limit: int | None = None) -> DataFrame:
     """Columns of the rows that equal every filter, some of them if limited. A filter by None holds for nulls."""
     for key, value in (filters or {}).items():
