@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import git, graph
+from ..operators.relational import dealt_by
+from ..session import cut
 from .registry import query
 
 _BFS = """b1 AS (SELECT DISTINCT src AS node, 1 AS distance FROM edges WHERE dst = 1 AND src <> 1),
@@ -171,7 +173,8 @@ SELECT kind, count(*) AS n FROM (SELECT coalesce(b.kind, a.kind) AS kind FROM a
 )
 def merge(t):
     a = t.edges.withColumn("kind", F.lit("import"))
-    b = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().withColumn("kind", F.lit("owns"))
+    tasks = t.tasks("lineitem")
+    b = dealt_by(t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), tasks, "src", "dst").distinct().withColumn("kind", F.lit("owns"))
     return graph.merged(a, b).groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import dealt_by, tasks_for
 from ..session import ship
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
@@ -32,14 +33,20 @@ class Tables:
             return rows
         return rows.repartition(max(4 * cores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
+    def tasks(self, name: str) -> int | None:
+        """Into how many parts a table's rows are dealt by their keys."""
+        return tasks_for(self.spark, getattr(self, name).count())
+
     @property
     def edges(self) -> DataFrame:
         """src, dst: parts that follow each other in an order."""
-        return self.spark.sql(
-            """SELECT DISTINCT s AS src, t AS dst FROM (SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey
+        tasks = self.tasks("lineitem")
+        follow = self.spark.sql(
+            """SELECT s AS src, t AS dst FROM (SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey
             ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS t FROM {lineitem}) WHERE t IS NOT NULL AND s <> t""",
-            lineitem=self.lineitem,
+            lineitem=dealt_by(self.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), tasks, "l_orderkey"),
         )
+        return dealt_by(follow, tasks, "src", "dst").distinct()
 
     @property
     def commits(self) -> DataFrame:
