@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .relational import dealt_by
 
 #: Lines of a window, and how many it shares with the next.
 LINES, OVERLAP = 40, 5
@@ -80,10 +81,11 @@ def leftover_blocks(lines: DataFrame, key: str, most: int = 50) -> DataFrame:
     return rows.groupBy(key, "_g", "_b").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("_g", "_b")
 
 
-def line_ranges(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
-    """key, ranges: runs of neighbouring lines as text such as 1-3, 7."""
+def line_ranges(lines: DataFrame, key: str, line: str = "line", tasks: int | None = None) -> DataFrame:
+    """key, ranges: runs of neighbouring lines as text such as 1-3, 7. tasks: into how many parts they are dealt, if they are many."""
     w = Window.partitionBy(key).orderBy(line)
-    runs = lines.select(key, line).distinct().withColumn("_g", F.col(line) - F.row_number().over(w)).groupBy(key, "_g").agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    once = dealt_by(lines.select(key, line), tasks, key, line).distinct()
+    runs = dealt_by(once, tasks, key).withColumn("_g", F.col(line) - F.row_number().over(w)).groupBy(key, "_g").agg(F.min(line).alias("a"), F.max(line).alias("b"))
     shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
     parts = F.array_sort(F.collect_list(F.struct("a", shown.alias("t"))))
     return runs.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), ", ").alias("ranges"))

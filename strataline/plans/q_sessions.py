@@ -34,7 +34,7 @@ def status_log(t):
 SELECT file, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY file""",
 )
 def line_ranges(t):
-    return chunking.line_ranges(t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")), "file")
+    return chunking.line_ranges(t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")), "file", tasks=t.tasks("lineitem"))
 
 
 @query("chat_role_counts", "A28 A29", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, bool_and(text IS NOT NULL) AS complete FROM conversations GROUP BY role")
