@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions import text as tx
-from .relational import top_per
+from .relational import dealt_by, top_per
 
 
-def expertise_map(blame: DataFrame) -> DataFrame:
-    """file, author, commits (different), last_date, rank by commits of each file."""
-    rows = blame.groupBy("file", "author").agg(F.count_distinct("sha").alias("commits"), F.max("date").alias("last_date"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("commits"), "author")))
+def expertise_map(blame: DataFrame, tasks: int | None = None) -> DataFrame:
+    """file, author, commits (different), last_date, rank by commits of each file. tasks: into how many parts the rows are dealt, if they are many."""
+    rows = dealt_by(blame, tasks, "file", "author").groupBy("file", "author").agg(F.count_distinct("sha").alias("commits"), F.max("date").alias("last_date"))
+    return dealt_by(rows, tasks, "file").withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("commits"), "author")))
 
 
 def primary_owner(owners: DataFrame) -> DataFrame:

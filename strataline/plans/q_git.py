@@ -16,12 +16,12 @@ _OWN = "own AS (SELECT file, author, count(DISTINCT sha) AS commits, max(date) A
 
 @query("git_expertise_map", "A2 S5 W1", f"WITH {_OWN} SELECT file, author, commits, last_date, rank::INT AS rank FROM rk", views="blame")
 def expertise_map(t):
-    return git.expertise_map(t.blame)
+    return git.expertise_map(t.blame, t.tasks("lineitem"))
 
 
 @query("git_primary_owner", "W2 J7", f"WITH {_OWN} SELECT file, author AS owner, commits, p_brand FROM rk JOIN part ON p_partkey = file WHERE rank = 1", views="blame")
 def primary(t):
-    own = git.primary_owner(git.expertise_map(t.blame))
+    own = git.primary_owner(git.expertise_map(t.blame, t.tasks("lineitem")))
     return own.join(t.part, F.col("file") == F.col("p_partkey")).select("file", "owner", "commits", "p_brand")
 
 

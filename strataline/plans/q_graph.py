@@ -101,7 +101,7 @@ def reviewers(t):
     from pyspark.sql import Window
 
     ranked = top.withColumn("r", F.row_number().over(Window.orderBy("distance", "node")))
-    owners = git.primary_owner(git.expertise_map(t.blame))
+    owners = git.primary_owner(git.expertise_map(t.blame, t.tasks("lineitem")))
     return ranked.join(owners, F.col("node") == F.col("file")).groupBy(F.col("owner").alias("reviewer")).agg(F.min("r").cast("long").alias("rank")).orderBy("rank").limit(10)
 
 
