@@ -67,8 +67,9 @@ concat_ws('; ', CASE WHEN distance = 1 THEN 'direct importer' ELSE distance || '
     views="edges",
 )
 def blast(t):
-    near = graph.distances(t.edges, 1, 4, reverse=True)
-    rank = graph.pagerank(t.edges, fixed_rounds=_RANKS)
+    edges = cut(t.edges)
+    near = graph.distances(edges, 1, 4, reverse=True)
+    rank = graph.pagerank(edges, fixed_rounds=_RANKS)
     most = rank.agg(F.max("rank").alias("most"))
     last = t.lineitem.agg(F.max("l_shipdate").alias("now"))
     recent = t.lineitem.crossJoin(F.broadcast(last)).where(F.col("l_shipdate") >= F.col("now") - F.expr("INTERVAL 30 DAYS")).groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("commits"))

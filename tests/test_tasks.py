@@ -59,3 +59,12 @@ def test_pagerank_joins_a_row_for_each_node(spark, monkeypatch):
     monkeypatch.setattr(graph, "LINKS", 8)
     monkeypatch.setattr(relational, "TASK_ROWS", 100)
     assert {r["node"]: r["rank"] for r in graph.pagerank(df, fixed_rounds=7).collect()} == pytest.approx(rank, abs=1e-12)
+
+
+def test_blast_report_makes_its_edges_once(spark, monkeypatch):
+    from strataline.plans import registry
+
+    made, plain = [], registry.Tables.edges.fget
+    monkeypatch.setattr(registry.Tables, "edges", property(lambda t: made.append(1) or plain(t)))
+    assert plans.queries()["graph_blast_report"](spark, FOLDER).columns == ["node", "distance", "risk", "level", "reason"]
+    assert made == [1]
