@@ -44,7 +44,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bytesops import pieces
-from .common import batch
+from .common import batch, give_back
 
 #: Pairs of tokens that are remembered (all are forgotten when there are more), and steps of the transducer (the first ones met).
 PAIRS, STEPS = 150_000, 150_000
@@ -565,6 +565,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 rows += [one(coder, None, ids[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield batch(_DIGEST, b.column(0), *map(list, zip(*rows, strict=True))) if rows else _DIGEST.empty_table().to_batches()[0]
         coder.let_go()
+        give_back()
 
     return df.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -594,5 +595,6 @@ def encoded(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "de
                 texts += ["".join(coder.decode(got[x:y])) for x, y in zip(off, off[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*b.schema.names, ids, decoded])
         coder.let_go()
+        give_back()
 
     return keep.withColumn("text", F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,14 @@ def cut(spark: SparkSession, df: DataFrame, rows: int | None = None) -> DataFram
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system as a task's rows end: Spark keeps the worker, and the executor's memory has what its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and alone needs it
+    if trim is not None:
+        trim(0)
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A name like base that none of the columns has, whatever its case."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import mix, pieces
-from .common import cut, free_name
+from .common import cut, free_name, give_back
 from .components import components
 from .repeats import NO_ID, ids
 
@@ -42,8 +42,8 @@ MOST_TASKS = 8192
 #: Fingerprints on each side of a tile.
 TILE = 512
 SEED = 42
-#: Shingles whose bits are counted at once.
-STRETCH = 1 << 17
+#: Shingles whose bits are counted at once, for one lane; their counts need five bytes a bit.
+STRETCH = 1 << 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -68,6 +68,7 @@ def _wide(hashes: np.ndarray, lanes: int) -> np.ndarray:
 def fingerprints(texts: list[str | None], size: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
     """One row of `lanes` 64-bit words for each text."""
     out = np.zeros((len(texts), lanes), np.uint64)
+    stretch = max(1, STRETCH // lanes)
     held: list[np.ndarray] = []
     rows: list[int] = []
     total = 0
@@ -80,8 +81,8 @@ def fingerprints(texts: list[str | None], size: int, lanes: int = 1, distinct: b
             starts = np.cumsum(lengths) - lengths
             every = np.concatenate(held)
             if len(held) == 1:  # one long text, bit by bit of it
-                for a in range(0, len(every), STRETCH):
-                    sums[0] += _bits(every[a : a + STRETCH], lanes).sum(axis=0, dtype=np.int64)
+                for a in range(0, len(every), stretch):
+                    sums[0] += _bits(every[a : a + stretch], lanes).sum(axis=0, dtype=np.int64)
             else:
                 sums[:] = np.add.reduceat(_bits(every, lanes), starts, axis=0, dtype=np.int32)
             ones = sums * 2 > lengths[:, None]
@@ -94,7 +95,7 @@ def fingerprints(texts: list[str | None], size: int, lanes: int = 1, distinct: b
             continue
         if distinct:
             h = np.unique(h)
-        if total + len(h) > STRETCH:
+        if total + len(h) > stretch:
             settle()
         held.append(h)
         rows.append(i)
@@ -119,6 +120,7 @@ def fingerprinted(docs: DataFrame, size: int, lanes: int = 1, distinct: bool = F
                 [pa.array(ids(b.column(0))), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary()), pa.array(np.bitwise_count(fp).sum(axis=1).astype(np.int32))],
                 ["doc_id", "fp", "ones"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int")
 
@@ -286,14 +288,17 @@ def alike(sets: list[np.ndarray], left: int, similarity: float) -> tuple[np.ndar
     """Places of the pairs of sets of hashes whose Jaccard similarity reaches `similarity`; the first of a pair is one of the first `left`."""
     n = np.array([len(s) for s in sets])
     common = np.zeros((left, len(sets)), np.int64)
-    code, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    _, column, times = np.unique(code, return_inverse=True, return_counts=True)
-    held = times[column] > 1  # what one set alone has is in no intersection
-    column, row = column[held], row[held]
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
-    many = int(column[-1]) + 1 if len(column) else 0
+    code = np.concatenate(sets)
+    by = np.argsort(code, kind="stable")
+    code, row = code[by], np.repeat(np.arange(len(sets), dtype=np.int32), n)[by]
+    del by
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    del code
+    times = np.diff(np.append(np.flatnonzero(new), len(new)))
+    shared = times > 1  # what one set alone has is in no intersection
+    row, many = row[np.repeat(shared, times)], int(shared.sum())
+    column = np.repeat(np.arange(many, dtype=np.int32), times[shared])
     for a in range(0, many, COLUMNS):
         lo, hi = np.searchsorted(column, [a, a + COLUMNS])
         x = np.zeros((len(sets), min(COLUMNS, -(-(many - a) // 64) * 64)), bool)
@@ -320,6 +325,7 @@ def similar(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, si
             fp = fingerprints(texts, size, LANES, True).astype(">u8")
             found = [np.unique(np.array(shingle_hashes(t, size), np.uint64)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in fp], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["fp", "shingles"])
+        give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.col("text").cast("string").alias("text"))
     reps = members.select("rep").distinct()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import mix
 from .bytesops import pieces as small
-from .common import cut, set_aside
+from .common import cut, give_back, set_aside
 
 #: Bounds of the training sample: documents of each class, bytes of each class's text.
 TOXIC, ORDINARY, SAMPLE_BYTES = 1200, 2400, 16 << 20
@@ -300,6 +300,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = np.array([own.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
         own.forget()
+        give_back()
 
     return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
