@@ -14,6 +14,10 @@ task sends one link for each class that it joins to another, never all pairs.  T
 comparison is exact, so its work grows with the square of the number of different
 fingerprints, divided among as many tasks.
 
+Where a similarity is asked for, classes are dealt to blocks by their number of
+shingles instead, and blocks, tiles and pairs are left out whose numbers alone keep
+the similarity from being reached: of sets of 79 and 100 not even 0.8 are common.
+
 Rows that share a doc_id are one document.  A null doc_id is the smallest of all.  A
 null text has no words.
 """
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,9 @@ MOST_TASKS = 8192
 #: Fingerprints on each side of a tile.
 TILE = 512
 SEED = 42
-#: Shingles whose bits are counted at once, for one lane; their counts need five bytes a bit.
+#: Bands of numbers of shingles, to each factor of e.
+BANDS = 32
+#: Shingles whose bits are counted at once, for one lane.
 STRETCH = 1 << 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -67,7 +74,12 @@ def _wide(hashes: np.ndarray, lanes: int) -> np.ndarray:
 
 def fingerprints(texts: list[str | None], size: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
     """One row of `lanes` 64-bit words for each text."""
-    out = np.zeros((len(texts), lanes), np.uint64)
+    return _prints((np.array(shingle_hashes(t, size), np.uint64) for t in texts), len(texts), lanes, distinct)[0]
+
+
+def _prints(hashes: Iterable[np.ndarray], n_texts: int, lanes: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of so many texts from the hashes of their shingles, and how many hashes each counts."""
+    out, counted = np.zeros((n_texts, lanes), np.uint64), np.zeros(n_texts, np.int64)
     stretch = max(1, STRETCH // lanes)
     held: list[np.ndarray] = []
     rows: list[int] = []
@@ -77,52 +89,68 @@ def fingerprints(texts: list[str | None], size: int, lanes: int = 1, distinct: b
         nonlocal held, rows, total
         if held:
             lengths = np.array([len(h) for h in held])
-            sums = np.zeros((len(held), lanes * 64), np.int64)
             starts = np.cumsum(lengths) - lengths
             every = np.concatenate(held)
-            if len(held) == 1:  # one long text, bit by bit of it
+            if len(held) == 1:  # one long text, stretch by stretch of it
+                sums = np.zeros((1, lanes * 64), np.int64)
                 for a in range(0, len(every), stretch):
-                    sums[0] += _bits(every[a : a + stretch], lanes).sum(axis=0, dtype=np.int64)
+                    sums += _sums(every[a : a + stretch], starts[:1], lanes)
             else:
-                sums[:] = np.add.reduceat(_bits(every, lanes), starts, axis=0, dtype=np.int32)
+                sums = _sums(every, starts, lanes)
             ones = sums * 2 > lengths[:, None]
             out[rows] = np.packbits(ones, axis=1, bitorder="little").view("<u8").astype(np.uint64)
         held, rows, total = [], [], 0
 
-    for i, text in enumerate(texts):
-        h = np.array(shingle_hashes(text, size), np.uint64)
+    for i, h in enumerate(hashes):
         if not len(h):
             continue
         if distinct:
             h = np.unique(h)
+        counted[i] = len(h)
         if total + len(h) > stretch:
             settle()
         held.append(h)
         rows.append(i)
         total += len(h)
     settle()
-    return out
+    return out, counted
 
 
-def _bits(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(_wide(hashes, lanes).astype("<u8")).view(np.uint8).reshape(len(hashes), lanes * 8), axis=1, bitorder="little")
+#: The lowest bit of each byte; so many hashes' bits can be added in bytes.
+_LOWEST, _ADDED = np.uint64(0x0101010101010101), 255
+
+
+def _sums(hashes: np.ndarray, starts: np.ndarray, lanes: int) -> np.ndarray:
+    """How many hashes from each start to the next have each bit: eight bits of a hash are counted in one addition, a byte for each."""
+    ends = np.append(starts[1:], len(hashes))
+    parts = -(-(ends - starts) // _ADDED)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(starts, parts) + _ADDED * (np.arange(parts.sum()) - np.repeat(first, parts))
+    out = np.empty((len(starts), lanes, 8, 8), np.int64)
+    wide = _wide(hashes, lanes)
+    for k in range(lanes):
+        word = np.ascontiguousarray(wide[:, k])
+        for bit in range(8):
+            added = np.add.reduceat((word >> np.uint64(bit)) & _LOWEST, cuts)
+            out[:, k, :, bit] = np.add.reduceat(added.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return out.reshape(len(starts), lanes * 64)
 
 
 def fingerprinted(docs: DataFrame, size: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id (bigint, the least number for null), fp (big-endian bytes) and ones of every row."""
+    """doc_id (bigint, the least number for null), fp (big-endian bytes), ones and shingles (how many) of every row."""
 
     def run(batches):
         for b in pieces(batches):
-            fp = fingerprints(b.column(1).to_pylist(), size, lanes, distinct)
+            fp, n_shingles = _prints((np.array(shingle_hashes(t, size), np.uint64) for t in b.column(1).to_pylist()), b.num_rows, lanes, distinct)
             raw = fp.astype(">u8").tobytes()
             n = 8 * lanes
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids(b.column(0))), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary()), pa.array(np.bitwise_count(fp).sum(axis=1).astype(np.int32))],
-                ["doc_id", "fp", "ones"],
+                [pa.array(ids(b.column(0))), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary()), pa.array(np.bitwise_count(fp).sum(axis=1).astype(np.int32)), pa.array(n_shingles)],
+                ["doc_id", "fp", "ones", "shingles"],
             )
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, ones int, shingles long")
 
 
 def _plan(counts: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
@@ -162,34 +190,54 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def tile_links(fa: np.ndarray, fb: np.ndarray, radius: int, same: bool) -> np.ndarray:
-    """For fingerprints fa then fb, the least index that each is joined to. Exact, tile by tile."""
+def tile_links(fa: np.ndarray, fb: np.ndarray, radius: int, same: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = 0.0) -> np.ndarray:
+    """For fingerprints fa then fb, the least index that each is joined to. Exact, tile by tile.
+
+    sizes: the numbers of shingles of fa and fb; pairs whose numbers keep them from that similarity aren't joined, and most of them not compared.
+    """
     n, m = len(fa), len(fb)
     label = np.arange(n + m if not same else n)
 
-    def order(f: np.ndarray):
-        quarters = np.bitwise_count(f.view("<u2").reshape(len(f), -1)).astype(np.int16) if f.shape[1] == 1 else np.bitwise_count(f).astype(np.int16)
-        by = np.lexsort(quarters.T[::-1])
-        q = quarters[by]
+    def order(f: np.ndarray, numbers: np.ndarray | None):
+        if numbers is not None:
+            by_what = numbers.astype(np.int64)[:, None]
+        else:
+            by_what = np.bitwise_count(f.view("<u2").reshape(len(f), -1)).astype(np.int16) if f.shape[1] == 1 else np.bitwise_count(f).astype(np.int16)
+        by = np.lexsort(by_what.T[::-1])
+        q = by_what[by]
         edges = [(k, min(k + TILE, len(f))) for k in range(0, len(f), TILE)]
         return by, np.ascontiguousarray(f[by].T), edges, np.array([q[a:b].min(axis=0) for a, b in edges]), np.array([q[a:b].max(axis=0) for a, b in edges])
 
     fa = np.ascontiguousarray(fa.astype("<u8"))
-    by_a, cols_a, tiles_a, lo_a, hi_a = order(fa)
-    by_b, cols_b, tiles_b, lo_b, hi_b = (by_a, cols_a, tiles_a, lo_a, hi_a) if same else order(np.ascontiguousarray(fb.astype("<u8")))
+    na, nb = sizes or (None, None)
+    by_a, cols_a, tiles_a, lo_a, hi_a = order(fa, na)
+    by_b, cols_b, tiles_b, lo_b, hi_b = (by_a, cols_a, tiles_a, lo_a, hi_a) if same else order(np.ascontiguousarray(fb.astype("<u8")), nb)
     shift = 0 if same else n
     for t, (a0, a1) in enumerate(tiles_a):
-        gap = np.maximum(0, np.maximum(lo_b - hi_a[t], lo_a[t] - hi_b)).sum(axis=1)
-        for u in np.flatnonzero(gap <= radius):
+        if sizes is None:
+            meets = np.maximum(0, np.maximum(lo_b - hi_a[t], lo_a[t] - hi_b)).sum(axis=1) <= radius
+        else:
+            meets = (_reaches(hi_a[t], lo_b, similarity) & _reaches(hi_b, lo_a[t], similarity))[:, 0]
+        for u in np.flatnonzero(meets):
             if same and u < t:
                 continue
             b0, b1 = tiles_b[u]
             i, j = _near(cols_a[:, a0:a1], cols_b[:, b0:b1], radius)
+            i, j = by_a[a0 + i], by_b[b0 + j]
+            if sizes is not None and len(i):
+                x, y = na[i], nb[j]
+                keep = _reaches(x, y, similarity) & _reaches(y, x, similarity)
+                i, j = i[keep], j[keep]
             if len(i):
-                _merge(label, by_a[a0 + i], by_b[b0 + j] + shift)
+                _merge(label, i, j + shift)
     return label
 
 
+def _reaches(few: np.ndarray, many: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have that Jaccard similarity, as far as the first's being the smaller goes."""
+    return few >= similarity * many - 1e-9
+
+
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a tile that differ in `radius` bits at most. x, y: one row for each lane."""
     first = max(1, len(x) // 2)
@@ -198,7 +246,7 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     apart = np.bitwise_count(x[0][:, None] ^ y[0][None, :])
     for k in range(1, first):
         apart += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
-    i, j = np.nonzero(apart <= radius)
+    i, j = np.divmod(np.flatnonzero(apart <= radius), apart.shape[1])  # nonzero of two dimensions takes longer than all before it
     if first < len(x) and len(i):
         rest = apart[i, j].astype(np.int32)
         for k in range(first, len(x)):
@@ -208,11 +256,17 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
-    """a, b: links that join the classes (fp, rep, ones) within the radius; each task sends a forest."""
+def linked(classes: DataFrame, radius: int, lanes: int, similarity: float | None = None) -> DataFrame:
+    """a, b: links that join the classes (fp, rep, ones, shingles) within the radius; each task sends a forest.
+
+    similarity: only those whose numbers of shingles allow it.
+    """
     spark = classes.sparkSession
-    counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # one row for each number of bits
-    blocks, reach = _plan(counts, radius)
+    if similarity is not None:
+        classes = classes.withColumn("ones", F.floor(F.log(F.greatest("shingles", F.lit(1))) * BANDS).cast("int"))  # a band takes the place of the number of bits
+    counts = {r["ones"]: r["n"] for r in classes.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # one row for each number of bits or band
+    # Bands farther apart than this hold no two numbers that allow the similarity; one more for the logarithm's rounding.
+    blocks, reach = _plan(counts, radius if similarity is None else math.ceil(BANDS * math.log(1 / similarity)) + 1)
     if not blocks:
         return spark.createDataFrame([], "a long, b long")
     firsts: dict[int, tuple[int, int]] = {}
@@ -225,9 +279,9 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
     block = (F.element_at(where, F.col("ones")) + F.pmod(F.xxhash64("fp"), F.element_at(split, F.col("ones"))).cast("int")).alias("block")
 
     def gather(key: tuple, group: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "fps": pa.array([b"".join(group["fp"].to_pylist())], pa.binary()), "reps": pa.array([group["rep"].to_numpy().tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "fps": pa.array([b"".join(group["fp"].to_pylist())], pa.binary()), **{c: pa.array([group[c].to_numpy().tobytes()], pa.binary()) for c in ("rep", "shingles")}})
 
-    packed = classes.select(block, "fp", "rep").groupBy("block").applyInArrow(gather, "block int, fps binary, reps binary")
+    packed = classes.select(block, "fp", "rep", "shingles").groupBy("block").applyInArrow(gather, "block int, fps binary, rep binary, shingles binary")
     # One row for each block comes from the driver; their pairs, which grow with the square, are made where they are used.
     pairs = spark.createDataFrame(list(enumerate(reach)), "one int, reach int").select("one", F.explode(F.sequence("one", "reach")).alias("other"))
     met = pairs.select("one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
@@ -236,14 +290,14 @@ def linked(classes: DataFrame, radius: int, lanes: int) -> DataFrame:
     tasks = met.join(packed, "block").repartition(min(n, MOST_TASKS), "one", "other")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        sides = {r["block"]: (np.frombuffer(r["fps"], ">u8").reshape(-1, lanes), np.frombuffer(r["reps"], np.int64)) for r in group.select(["block", "fps", "reps"]).to_pylist()}
+        sides = {r["block"]: (np.frombuffer(r["fps"], ">u8").reshape(-1, lanes), *(np.frombuffer(r[c], np.int64) for c in ("rep", "shingles"))) for r in group.select(["block", "fps", "rep", "shingles"]).to_pylist()}
         one, other = key[0].as_py(), key[1].as_py()
-        a, reps = sides[one]
-        b = a
+        a, reps, n_a = sides[one]
+        b, n_b = a, n_a
         if one != other:
-            b, more = sides[other]
+            b, more, n_b = sides[other]
             reps = np.concatenate((reps, more))
-        label = tile_links(a, b, radius, one == other)
+        label = tile_links(a, b, radius, one == other, None if similarity is None else (n_a, n_b), similarity or 0.0)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(reps[moved]), "b": pa.array(reps[label[moved]])})
 
@@ -257,11 +311,13 @@ def grouped(docs: DataFrame, size: int, radius: int, lanes: int = 1, distinct: b
     """
     spark = docs.sparkSession
     prints = cut(spark, fingerprinted(docs, size, lanes, distinct))
-    classes = cut(spark, prints.groupBy("fp", "ones").agg(F.min("doc_id").alias("rep")), prints.count())
+    # A class has the number of shingles of its rep; where rows share that id, the most.
+    first = F.min(F.struct("doc_id", (-F.col("shingles")).alias("less")))
+    classes = cut(spark, prints.groupBy("fp", "ones").agg(first.alias("first")).select("fp", "ones", F.col("first.doc_id").alias("rep"), (-F.col("first.less")).alias("shingles")), prints.count())
     # Rows that share a doc_id are one document: its fingerprints are linked.
     shared = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
     own = prints.join(shared, "doc_id").join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = linked(classes, radius, lanes)
+    links = linked(classes, radius, lanes, similarity)
     if similarity is not None:
         links = similar(docs, classes, links, size, similarity)
     roots = components(links.unionAll(own))
@@ -321,17 +377,17 @@ def similar(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, si
 
     def sets(batches):
         for b in pieces(batches):
-            texts = b.column(1).to_pylist()
-            fp = fingerprints(texts, size, LANES, True).astype(">u8")
-            found = [np.unique(np.array(shingle_hashes(t, size), np.uint64)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in fp], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["fp", "shingles"])
+            found = [np.unique(np.array(shingle_hashes(t, size), np.uint64)) for t in b.column(1).to_pylist()]
+            fp = _prints(found, len(found), LANES, False)[0].astype(">u8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tobytes() for f in fp], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["rep", "fp", "shingles"])
         give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), F.col("text").cast("string").alias("text"))
     reps = members.select("rep").distinct()
     reps = F.broadcast(reps) if reps.count() <= SMALL else reps  # so that texts needn't move
-    rows = rows.join(reps, "rep", "left_semi").mapInArrow(sets, "fp binary, shingles binary")
-    held = cut(spark, members.join(rows.groupBy("fp").agg(F.max("shingles").alias("shingles")), "fp"))
+    rows = rows.join(reps, "rep", "left_semi").mapInArrow(sets, "rep long, fp binary, shingles binary")
+    most = F.max(F.struct(F.octet_length("shingles"), "shingles")).getField("shingles")
+    held = cut(spark, members.join(rows.groupBy("rep", "fp").agg(most.alias("shingles")), ["rep", "fp"]))
     sizes = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum(F.octet_length("shingles")) / (8 * SIDE_SHINGLES))).cast("int").alias("sides"))
     dealt = held.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int"))
     # A class goes to the comparison of its side with each.

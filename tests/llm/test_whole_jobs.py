@@ -70,3 +70,35 @@ def test_a_null_id_is_in_the_first_of_all_ranges(spark, monkeypatch):
     bucket = fingerprint._ranges(spark, df)
     got = bucket(np.array([np.iinfo(np.int64).min, *range(1000, 1100)], np.int64))
     assert got[0] == 0 and (np.diff(got) >= 0).all() and got.max() > 4
+
+
+def test_sizes_keep_classes_from_being_compared(spark, monkeypatch):
+    """Numbers of shingles leave out most pairs, and none that allow the similarity, at any edge of bands, blocks and tiles."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (80, simhash.LANES), dtype=np.uint64)
+    fp, n = [], []
+    for k, f in enumerate(base):
+        size = int(np.exp(rng.uniform(3, 8))) if k % 4 else 100
+        for part in (1.0, 0.8, 0.79, 0.64, 1.25, 1.26):
+            g = f.copy()
+            g[rng.integers(0, simhash.LANES)] ^= np.uint64(int(rng.integers(0, 1 << 62)) & 0xFFFFF)
+            fp.append(g)
+            n.append(max(1, round(size * part)))
+    fp, n = np.array(fp), np.array(n)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    few, many = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
+    expected = np.arange(len(n))
+    simhash._merge(expected, *np.nonzero((apart <= 62) & (few >= 0.8 * many - 1e-9)))
+    rows = [(bytearray(f.astype(">u8").tobytes()), i, int(np.bitwise_count(f).sum()), int(s)) for i, (f, s) in enumerate(zip(fp, n, strict=True))]
+    classes = spark.createDataFrame(rows, "fp binary, rep long, ones int, shingles long")
+    for least in (512, 8):
+        monkeypatch.setattr(simhash, "LEAST_BLOCK", least)
+        links = simhash.linked(classes, 62, simhash.LANES, 0.8).collect()
+        got = np.arange(len(n))
+        simhash._merge(got, np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
+        assert (got == expected).all()
+    compared, near = [], simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda x, y, radius: compared.append(x.shape[1] * y.shape[1]) or near(x, y, radius))
+    monkeypatch.setattr(simhash, "TILE", 16)
+    assert (simhash.tile_links(fp, fp, 62, True, (n, n), 0.8) == expected).all()
+    assert sum(compared) < 0.2 * len(n) ** 2
