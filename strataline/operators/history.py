@@ -1,8 +1,10 @@
 """History with contents: what each commit changed against its first parent, and any file at any commit.
 
 A commit has sha and parents (an array; the first counts; none: the empty tree).  A tree is rows
-of sha, path, content: every file of every commit.  `commit_diffs` joins each commit's tree with
-its first parent's and puts the unified hunks of the files that differ in place of their texts.
+of sha, path, content: every file of every commit.  `commit_diffs` brings each commit's files together
+with its first parent's and puts the unified hunks of those that differ in place of their texts.  A text
+moves once, to its commit's segment (see below), and once more for each other segment that a child of its
+commit begins; what a task has of a file moves as one compressed value, since its versions are alike.
 
 `packed` keeps of a history those hunks, and whole trees only every so many commits of the
 first-parent chain; `contents` gives any (sha, path) back.  A commit belongs to the segment of
@@ -14,6 +16,8 @@ hunks, so a long history is many tasks and no group holds more than its segment.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,30 +31,86 @@ EVERY = 16
 
 DIFF = "sha string, path string, status string, additions int, deletions int, diff string"
 
+#: Commits that are broadcast, at most; more are joined by a shuffle.
+SMALL = 1 << 18
+#: Rows that are packed at once.
+PACKED = 512
 
-def _pairs(trees: DataFrame, commits: DataFrame) -> DataFrame:
-    """sha, path, old, new of every file that a commit changed against its first parent."""
-    first = commits.select("sha", F.get("parents", 0).alias("parent"))
-    now = trees.join(first.select("sha"), "sha").select("sha", "path", F.coalesce("content", F.lit("")).alias("new"))
-    before = trees.withColumnRenamed("sha", "parent").join(first.where("parent IS NOT NULL"), "parent").select("sha", "path", F.coalesce("content", F.lit("")).alias("old"))
-    return now.join(before, ["sha", "path"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
 
+def _small(commits: DataFrame) -> DataFrame:
+    """Commits to join with: broadcast, so that texts needn't move, if they are few enough."""
+    return F.broadcast(commits) if commits.count() <= SMALL else commits
 
-def commit_diffs(trees: DataFrame, commits: DataFrame) -> DataFrame:
-    """sha, path, status (A, M, D), additions, deletions, diff (unified hunks) of every file that each commit changed."""
 
-    def run(batches):
+def _dealt(rows: DataFrame, run: Callable[[str, list], Iterable[tuple]], schema: str) -> DataFrame:
+    """What run(path, items) gives for each group and path: rows have these two, and an item has their other columns.
+
+    Rows of a key that follow each other in a task move as one compressed value.
+    """
+    names = [c for c in rows.columns if c not in ("group", "path")]
+    kinds = [(field.split()[0], {"string": pa.string(), "int": pa.int32()}[field.split()[1]]) for field in schema.split(", ")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
+        for b in batches:
+            for at in range(0, b.num_rows, PACKED):
+                part, found = b.slice(at, PACKED), {}
+                for group, path, *item in zip(*(part[c].to_pylist() for c in ("group", "path", *names)), strict=True):
+                    found.setdefault((group, path), []).append(item)
+                raw = [pickle.dumps(items, 5) for items in found.values()]
+                columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(map(len, raw), pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "path", "size", "items"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
+        codec, key, items = pa.Codec("zstd"), None, []
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part, out = b.slice(at, 64), []
-                for sha, path, new, old in zip(*(part[c].to_pylist() for c in ("sha", "path", "new", "old")), strict=True):
-                    hunks, added, removed = linediff.compared(old, new)
-                    status = "A" if old is None else "D" if new is None else "M"
-                    out.append((sha, path, status, added, removed, hunks))
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["sha", "path", "status", "additions", "deletions", "diff"])
+            for at in range(0, b.num_rows, PACKED):
+                for group, path, size, raw in zip(*(b.slice(at, PACKED)[c].to_pylist() for c in ("group", "path", "size", "items")), strict=True):
+                    if (group, path) != key and items:
+                        yield key[1], items
+                        items = []
+                    key = (group, path)
+                    items += pickle.loads(codec.decompress(raw, size, asbytes=True))
+        if items:
+            yield key[1], items
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+        for path, items in groups(batches):
+            for row in run(path, items):
+                out.append(row)
+                if len(out) == 64:
+                    yield batch()
+                    out.clear()
+        if out:
+            yield batch()
+
+    packed = rows.select("group", "path", *names).mapInArrow(pack, "group string, path string, size long, items binary")
+    return packed.repartition("group", "path").sortWithinPartitions("group", "path").mapInArrow(made, schema)
 
-    return _pairs(trees, commits).select("sha", "path", "new", "old").mapInArrow(run, DIFF)
+
+def commit_diffs(trees: DataFrame, commits: DataFrame) -> DataFrame:
+    """sha, path, status (A, M, D), additions, deletions, diff (unified hunks) of every file that each commit changed."""
+    first = commits.where("sha IS NOT NULL").select("sha", F.get("parents", 0).alias("parent")).distinct()
+    # A commit on a cycle is in no segment and is a group of its own.
+    first = cut(first.join(segments(commits).select("sha", "segment"), "sha", "left").select("sha", "parent", F.coalesce("segment", "sha").alias("group")))
+    # Where a commit's files go, and which commits there follow it.
+    ends = first.select("sha", "group", F.lit(None).cast("string").alias("child")).unionAll(first.where("parent IS NOT NULL").select(F.col("parent").alias("sha"), "group", F.col("sha").alias("child")))
+    owns = first.select("sha", "group", F.lit(True).alias("own")).distinct()
+    sent = ends.groupBy("sha", "group").agg(F.array_sort(F.collect_set("child")).alias("children")).join(owns, ["sha", "group"], "left")
+    rows = trees.join(_small(cut(sent)), "sha").select("group", "path", "sha", "children", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("content", F.lit("")).alias("content"))
+
+    def run(path: str, items: list) -> Iterator[tuple]:
+        texts = {sha: text for sha, _, own, text in items if own}
+        pairs = [(child, old, texts.get(child)) for _, children, _, old in items for child in children]
+        followed = {child for child, _, _ in pairs}
+        for sha, old, new in [*pairs, *((sha, None, text) for sha, text in texts.items() if sha not in followed)]:
+            if old != new:
+                hunks, added, removed = linediff.compared(old, new)
+                yield sha, path, "A" if old is None else "D" if new is None else "M", added, removed, hunks
+
+    return _dealt(rows, run, DIFF)
 
 
 def patch_text(diffs: DataFrame) -> DataFrame:
@@ -82,7 +142,10 @@ def depths(commits: DataFrame) -> DataFrame:
 
 def segments(commits: DataFrame, every: int = EVERY) -> DataFrame:
     """sha, segment (the commit with a whole tree at or before it), chain (the commits after that, up to itself)."""
-    found = depths(commits)
+    return _segments(depths(commits), every)
+
+
+def _segments(found: DataFrame, every: int) -> DataFrame:
     whole = F.col("depth") % every == 0
     state = cut(found.select("sha", F.when(whole, F.col("sha")).otherwise(F.col("parent")).alias("segment"), F.when(whole, F.array().cast("array<string>")).otherwise(F.array("sha")).alias("chain"), whole.alias("done")))
     for _ in range(math.ceil(math.log2(max(2, every)))):

@@ -207,3 +207,53 @@ def test_hunks_that_do_not_fit_are_told(spark):
     bad = spark.createDataFrame([("b", "f", "M", "@@ -1 +1 @@\n-2\n+3\n")], "sha string, path string, status string, diff string")
     got = history.contents(spark.createDataFrame([("b", "f"), ("a", "f")], "sha string, path string"), commits, whole, bad).collect()
     assert {(r["sha"], r["content"], r["error"] is None) for r in got} == {("a", "1\n", True), ("b", None, False)}
+
+
+def test_diffs_across_segments(spark):
+    """Commits whose first parent is in another segment, on a ring, or no commit of the history: each text is met there too."""
+    trees, commits = repository(3, 60)
+    commits += [("ring1", ["ring2"]), ("ring2", ["ring1"]), ("late", ["elsewhere"])]
+    tree = {f"c{i}": t for i, t in trees.items()} | {"ring1": {"a": "1\n"}, "ring2": {"a": "2\n", "b": "x"}, "late": {"a": "n\n"}, "elsewhere": {"a": "o\n", "gone": "g"}}
+    expected = set()
+    for sha, parents in commits:
+        old, new = tree.get(parents[0], {}) if parents else {}, tree[sha]
+        for path in {*old, *new}:
+            if old.get(path) != new.get(path):
+                expected.add((sha, path, "A" if path not in old else "D" if path not in new else "M", linediff.unified(old.get(path), new.get(path))))
+    t = spark.createDataFrame([(sha, p, text) for sha, files in tree.items() for p, text in files.items()], "sha string, path string, content string").repartition(3)
+    got = history.commit_diffs(t, spark.createDataFrame(commits, "sha string, parents array<string>")).collect()
+    assert {(r["sha"], r["path"], r["status"], r["diff"]) for r in got} == expected and len(got) == len(expected)
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_texts_of_a_history_move_once(spark, tmp_path):
+    """Commits are few and sent to the texts: one shuffle for diffs."""
+    trees, commits = repository(4, 40)
+    spark.createDataFrame([(f"c{i}", p, text) for i, tree in trees.items() for p, text in tree.items()], "sha string, path string, content string").write.parquet(f"{tmp_path}/trees")
+    t, c = spark.read.parquet(f"{tmp_path}/trees"), spark.createDataFrame(commits, "sha string, parents array<string>")
+    assert shuffles(history.commit_diffs(t, c)) == 1
+
+
+def test_versions_of_a_file_are_packed_together(spark):
+    """Twelve versions of each file, side by side, take little more room than one."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(20):
+        lines = [f"{rng.getrandbits(64):x}" for _ in range(200)]
+        for v in range(12):
+            lines[rng.randrange(200)] = f"{v}"
+            rows.append(("all", f"f{k}", f"{v}", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "group string, path string, sha string, content string").coalesce(1)
+    moved = []
+    repartition = type(df).repartition
+    type(df).repartition = lambda self, *by: moved.append(self) or repartition(self, *by)
+    try:
+        got = history._dealt(df, lambda path, items: [(path, len(items), "".join(t for _, t in items))], "path string, n int, texts string").collect()
+    finally:
+        type(df).repartition = repartition
+    assert sorted((r["path"], r["n"]) for r in got) == sorted((f"f{k}", 12) for k in range(20))
+    one = sum(len(r[3]) for r in rows[::12])
+    assert sum(len(r["items"]) for r in moved[0].collect()) < 1.2 * one
