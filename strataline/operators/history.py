@@ -9,8 +9,9 @@ commit begins; what a task has of a file moves as one compressed value, since it
 `packed` keeps of a history those hunks, and whole trees only every so many commits of the
 first-parent chain; `contents` gives any (sha, path) back.  A commit belongs to the segment of
 the nearest whole tree at or before it; places in chains come from pointer doubling, in as many
-rounds as the length of the longest chain has binary digits.  Each (segment, path) replays its own
-hunks, so a long history is many tasks and no group holds more than its segment.
+rounds as the length of the longest chain has binary digits.  Each segment of a path replays its own
+hunks; short segments that follow each other share a group, of some EVERY commits of a chain, so a long
+history is many groups and none holds more than its own stretch.
 """
 
 from __future__ import annotations
@@ -157,46 +158,51 @@ def _segments(found: DataFrame, every: int) -> DataFrame:
 def packed(trees: DataFrame, commits: DataFrame, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
     """(whole, diffs): the trees of every `every`-th commit of the chains, and what all commits changed."""
     ends = depths(commits).where(F.col("depth") % every == 0).select("sha")
-    return trees.join(ends, "sha"), commit_diffs(trees, commits).select("sha", "path", "status", "diff")
+    return trees.join(_small(cut(ends)), "sha"), commit_diffs(trees, commits).select("sha", "path", "status", "diff")
 
 
 def contents(wanted: DataFrame, commits: DataFrame, whole: DataFrame, diffs: DataFrame, every: int = EVERY) -> DataFrame:
     """wanted (sha, path) with content, null where the commit has no such file, and error where hunks don't fit."""
-    place = segments(commits, every)
-    asked = wanted.select("sha", "path").distinct().join(place, "sha").select("segment", "path", "sha", "chain", F.lit(None).cast("string").alias("text"), F.lit("?").alias("kind"))
-    whole = whole.select(F.col("sha").alias("segment"), "path", "sha", F.lit(None).cast("array<string>").alias("chain"), F.coalesce("content", F.lit("")).alias("text"), F.lit("=").alias("kind"))
-    steps = diffs.join(place.where(F.size("chain") > 0).select("sha", "segment"), "sha").select("segment", "path", "sha", F.lit(None).cast("array<string>").alias("chain"), F.col("diff").alias("text"), F.col("status").alias("kind"))
-
-    def replay(group: pa.Table) -> pa.Table:
-        start, diff, asked = None, {}, []
-        for sha, chain, text, kind in zip(*(group[c].to_pylist() for c in ("sha", "chain", "text", "kind")), strict=True):
+    found = cut(depths(commits))
+    place = _segments(found, every)
+    # Segments that follow each other go together: their files are alike, and so take little room.
+    stretch = _segments(found, every * max(1, EVERY // every)).select("sha", F.col("segment").alias("group"))
+    place = cut(place.join(stretch, "sha"))
+    small = _small(place)
+    begin = _small(place.where(F.size("chain") == 0).select("sha", "segment", "group"))
+    steps = _small(place.where(F.size("chain") > 0).select("sha", "segment", "group"))
+    none = F.lit(None).cast("array<string>").alias("chain")
+    rows = wanted.select("sha", "path").join(small, "sha").select("group", "path", "segment", "sha", "chain", F.lit(None).cast("string").alias("text"), F.lit("?").alias("kind"))
+    rows = rows.unionAll(whole.join(begin, "sha").select("group", "path", "segment", "sha", none, F.coalesce("content", F.lit("")).alias("text"), F.lit("=").alias("kind")))
+    rows = rows.unionAll(diffs.join(steps, "sha").select("group", "path", "segment", "sha", none, F.col("diff").alias("text"), F.col("status").alias("kind")))
+
+    def replay(path: str, items: list) -> Iterator[tuple]:
+        starts: dict[str, str] = {}
+        diff: dict[str, tuple[str, str]] = {}
+        asked: dict[str, tuple[str, list[str]]] = {}
+        for segment, sha, chain, text, kind in items:
             if kind == "?":
-                asked.append((sha, chain))
+                asked[sha] = (segment, chain)
             elif kind == "=":
-                start = text
+                starts[segment] = text
             else:
                 diff[sha] = (kind, text)
-        made: dict[str | None, str | None] = {None: start}
+        made: dict[str, str | None] = {}
 
-        def content(chain: list[str]) -> str | None:
+        def content(segment: str, chain: list[str]) -> str | None:
             # Back to the last commit that is made already, then forward.
             todo = [c for c in chain if c in diff]
             known = max((i for i, c in enumerate(todo) if c in made), default=-1)
-            at = made[todo[known] if known >= 0 else None]
+            at = made[todo[known]] if known >= 0 else starts.get(segment)
             for c in todo[known + 1 :]:
                 kind, hunks = diff[c]
                 at = made[c] = None if kind == "D" else linediff.applied(None if kind == "A" else at, hunks)
             return at
 
-        out = []
-        path = group["path"][0].as_py()
-        for sha, chain in asked:
+        for sha, (segment, chain) in asked.items():
             try:
-                out.append((sha, path, content(chain), None))
+                yield sha, path, content(segment, chain), None
             except ValueError as e:
-                out.append((sha, path, None, str(e)))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, pa.string()) for c in columns], names=["sha", "path", "content", "error"])
+                yield sha, path, None, str(e)
 
-    rows = asked.unionByName(whole.join(place.select("segment").distinct(), "segment")).unionByName(steps)
-    return rows.groupBy("segment", "path").applyInArrow(replay, "sha string, path string, content string, error string")
+    return _dealt(rows, replay, "sha string, path string, content string, error string")

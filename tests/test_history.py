@@ -230,11 +230,14 @@ def shuffles(df) -> int:
 
 
 def test_texts_of_a_history_move_once(spark, tmp_path):
-    """Commits are few and sent to the texts: one shuffle for diffs."""
+    """Commits are few and sent to the texts: one shuffle for diffs, one more for contents."""
     trees, commits = repository(4, 40)
     spark.createDataFrame([(f"c{i}", p, text) for i, tree in trees.items() for p, text in tree.items()], "sha string, path string, content string").write.parquet(f"{tmp_path}/trees")
     t, c = spark.read.parquet(f"{tmp_path}/trees"), spark.createDataFrame(commits, "sha string, parents array<string>")
     assert shuffles(history.commit_diffs(t, c)) == 1
+    whole, diffs = history.packed(t, c, 2)
+    assert shuffles(whole) == 0
+    assert shuffles(history.contents(t.select("sha", "path"), c, whole, diffs, 2)) == 2
 
 
 def test_versions_of_a_file_are_packed_together(spark):
